@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import OP7_SQL, op7_decontaminate
+from .minimax_shards import op6_minimax_shards
+from .mix_sources import op5_mix_sources
 from .token_files import op1_token_binary
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_binary": op1_token_binary}
+    return {
+        "op1_token_binary": op1_token_binary,
+        "op5_mix_sources": op5_mix_sources,
+        "op6_minimax_shards": op6_minimax_shards,
+        "op7_decontaminate": op7_decontaminate,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_decontaminate": OP7_SQL}
