@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP7_SQL, op7_decontaminate
+from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .minimax_shards import op6_minimax_shards
 from .mix_sources import op5_mix_sources
 from .token_files import op1_token_binary
@@ -18,8 +19,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mix_sources": op5_mix_sources,
         "op6_minimax_shards": op6_minimax_shards,
         "op7_decontaminate": op7_decontaminate,
+        "op9_exact_dedup": op9_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontaminate": OP7_SQL}
+    return {"op7_decontaminate": OP7_SQL, "op9_exact_dedup": OP9_SQL}
