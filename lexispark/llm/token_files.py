@@ -38,7 +38,9 @@ from .shared import documents, new_folder
 MAGIC = b"LXTOKEF1"
 EVERY = 256
 STRETCH = 1 << 20
-CACHED_WORDS = 800_000
+CACHED_WORDS = 1_000_000
+#: ASCII marks but the apostrophe: after letters, a run of them is a word of its own to the tokenizer.
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
 
 class EliasFano:
@@ -121,13 +123,10 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.known) > CACHED_WORDS:
-            self.known = {"": b""}
         known, words, later = self.known, set(), []
         for chunk in chunks:
-            word, mark = chunk, ""
-            if chunk[-1:] in (",", ".") and chunk[-2:-1].isalpha():
-                word, mark = chunk[:-1], chunk[-1]
+            word = chunk.rstrip(MARKS)
+            mark = chunk[len(word) :]
             if self.batched and word.isalpha() and max(word) < "ɐ" and "İ" not in word:
                 word = word.lower()
                 if word not in known:
@@ -162,7 +161,9 @@ class Encoder:
             try:
                 out.append(b"".join(map(self.known.__getitem__, chunks)))
             except KeyError:
-                self._learn(set(chunks))
+                if len(self.known) > CACHED_WORDS:
+                    self.known = {"": b""}
+                self._learn(set(chunks).difference(self.known))
                 out.append(b"".join(map(self.known.__getitem__, chunks)))
             at = cut
         return b"".join(out)
