@@ -8,18 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP7_SQL, op7_decontaminate
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .line_quality import op10_quality_crf
 from .minimax_shards import op6_minimax_shards
 from .mix_sources import op5_mix_sources
 from .token_files import op1_token_binary
+from .toxicity import op2_toxicity_crf
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_binary": op1_token_binary,
+        "op2_toxicity_crf": op2_toxicity_crf,
         "op5_mix_sources": op5_mix_sources,
         "op6_minimax_shards": op6_minimax_shards,
         "op7_decontaminate": op7_decontaminate,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_quality_crf": op10_quality_crf,
     }
 
 
