@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP7_SQL, op7_decontaminate
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .jaccard_join import op8_jaccard_join
 from .line_quality import op10_quality_crf
 from .minimax_shards import op6_minimax_shards
 from .mix_sources import op5_mix_sources
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mix_sources": op5_mix_sources,
         "op6_minimax_shards": op6_minimax_shards,
         "op7_decontaminate": op7_decontaminate,
+        "op8_jaccard_join": op8_jaccard_join,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_quality_crf": op10_quality_crf,
     }
