@@ -91,6 +91,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 13, id_col
     return both.select("doc_id", "text_key", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
+def keep_uncontaminated(docs: DataFrame, items: DataFrame, *, window: int = 13, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, all columns."""
+    found = decontaminate(docs, items, window=window, id_column=id_column, text_column=text_column).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
+    return docs.join(found, F.col(id_column).eqNullSafe(F.col("bad_id")) & (F.xxhash64(text_column) == F.col("bad_key")), "left_anti")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import discard, documents, materialize
@@ -336,13 +336,13 @@ def components(links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", n_buckets: int | None = None, small_list: int = 8) -> DataFrame:
-    """Per row: doc_id, rid (hash of the text), n_shingles, component_id."""
+    """Per row: doc_id, rid (hash of the text), n_shingles, component_id, leads (the row is its component's smallest doc_id)."""
     spark = docs.sparkSession
     n_buckets = n_buckets or min(60_000, max(4, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_column).alias("rid"), F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("text"))
     signed, signed_folder = materialize(sign(source, n_buckets), "signed")
     rows = signed.where("bucket is null").select("doc_id", "rid", "n", "a", "b")
-    classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "rid")).alias("place"))
+    classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid")).alias("place"))
     listed, listed_folder = materialize(match(signed.where("bucket is not null").select("bucket", "blob"), small_list).distinct(), "listed")
     members = listed.where("y is null").select("list", "x", "nx")
 
@@ -353,14 +353,25 @@ def jaccard_classes(docs: DataFrame, *, id_column: str = "doc_id", text_column:
 
     links = verify_all(listed.where("y is not null").select("x", "y").distinct(), members, texts)
     roots = components(links)
-    named = classes.join(roots, classes.a == roots.x, "left").select("a", "b", "least", F.coalesce("root", "a").alias("root"))
+    named = classes.join(roots, classes.a == roots.x, "left").select("a", "b", "least", "place", F.coalesce("root", "a").alias("root"))
     # Classes without links are their own component.
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    of_class, _ = materialize(named.join(least, "root").select("a", "b", "component"), "components")
+    least = named.groupBy("root").agg(F.min("least").alias("component"), F.min("place").alias("first"))
+    of_class, _ = materialize(named.join(least, "root").select("a", "b", "component", "first"), "components")
     kept, _ = materialize(rows, "sets")
     discard(spark, listed_folder, texts_folder, signed_folder)
     joined = kept.join(of_class.withColumnRenamed("a", "ca").withColumnRenamed("b", "cb"), (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")), "left")
-    return joined.select("doc_id", "rid", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    leads = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("rid") == F.col("first.rid"))
+    alone = F.col("n") == 0
+    return joined.select("doc_id", "rid", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), (alone | leads).alias("leads"))
+
+
+def keep_one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that lead their component (smallest doc_id), and those without shingles. Rows that repeat doc_id and text count once."""
+    leaders = jaccard_classes(docs, id_column=id_column, text_column=text_column).where("leads").select(F.col("doc_id").alias("lead_id"), F.col("rid").alias("lead_rid")).distinct()
+    keyed = docs.withColumns({"lead_key_id": F.col(id_column).cast("long"), "lead_key_rid": F.xxhash64(text_column)})
+    kept = keyed.join(leaders, F.col("lead_key_id").eqNullSafe(F.col("lead_id")) & (F.col("lead_key_rid") == F.col("lead_rid")), "left_semi")
+    order = Window.partitionBy("lead_key_id", "lead_key_rid").orderBy(F.lit(1))
+    return kept.withColumn("lead_row", F.row_number().over(order)).where("lead_row = 1").select(*docs.columns)
 
 
 def verify_all(pairs: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -391,8 +402,6 @@ def verify_all(pairs: DataFrame, members: DataFrame, texts: DataFrame) -> DataFr
 
 
 def _by_list():
-    from pyspark.sql import Window
-
     return Window.partitionBy("list").orderBy("x")
 
 

@@ -151,6 +151,20 @@ def score_quality(df: DataFrame, model: LineQuality, *, id_column: str = "doc_id
     return df.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).mapInArrow(score, "doc_id long, score double")
 
 
+def keep_good(df: DataFrame, model: LineQuality, *, threshold: float = 0.3, text_column: str = "text") -> DataFrame:
+    """The rows of ``df`` with a score of ``threshold`` or more, all columns."""
+    column = df.columns.index(text_column)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [text or "" for text in batch.column(column).to_pylist()]
+            pair = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.large_string())], ["row", "text"])
+            good = [model.scores(some) >= threshold for _, some in blocks(iter([pair]))]
+            yield batch.filter(pa.array(np.concatenate(good) if good else [], pa.bool_()))
+
+    return df.mapInArrow(keep, df.schema)
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, *, most_good: int = 2000, most_bad: int = 2000) -> LineQuality:
     return fit(training_texts(docs, labels, "quality", {1: most_good, 0: most_bad}))
 

@@ -134,5 +134,15 @@ def mix_sources(df: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0),
     return out.select("doc_id", F.when(~F.col("no_source"), F.col("source_key")).alias("source"), "size", "source_size", "target", "rate", F.col("own").alias("copies"), (F.col("own") * F.col("size")).alias("taken"), "mix")
 
 
+def repeat_to_mix(df: DataFrame, *, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` as often as the mix takes them. Rows that repeat doc_id and text appear as often as they take together."""
+    mixed = mix_sources(df, id_column=id_column, source_column=source_column, text_column=text_column, **options)
+    times = mixed.groupBy(F.col("doc_id").alias("mix_id"), F.col("mix").alias("mix_key")).agg(F.sum("copies").cast("int").alias("mix_copies")).where("mix_copies > 0")
+    keyed = df.withColumn("mix_own_key", F.xxhash64(id_column, text_column))
+    both = keyed.join(times, F.col(id_column).eqNullSafe(F.col("mix_id")) & (F.col("mix_own_key") == F.col("mix_key")))
+    once = both.withColumn("mix_row", F.row_number().over(Window.partitionBy(F.col(id_column), F.col("mix_own_key")).orderBy(F.lit(1)))).where("mix_row = 1")
+    return once.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*df.columns)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
