@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import OP4_SQL, op4_chat_format
 from .decontaminate import OP7_SQL, op7_decontaminate
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .jaccard_join import op8_jaccard_join
 from .line_quality import op10_quality_crf
 from .minimax_shards import op6_minimax_shards
 from .mix_sources import op5_mix_sources
+from .secrets import op3_secret_scan
 from .token_files import op1_token_binary
 from .toxicity import op2_toxicity_crf
 
@@ -20,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_binary": op1_token_binary,
         "op2_toxicity_crf": op2_toxicity_crf,
+        "op3_secret_scan": op3_secret_scan,
+        "op4_chat_format": op4_chat_format,
         "op5_mix_sources": op5_mix_sources,
         "op6_minimax_shards": op6_minimax_shards,
         "op7_decontaminate": op7_decontaminate,
@@ -30,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontaminate": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op4_chat_format": OP4_SQL, "op7_decontaminate": OP7_SQL, "op9_exact_dedup": OP9_SQL}
