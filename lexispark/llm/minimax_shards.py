@@ -5,8 +5,8 @@ hash of the text, whose top 16 bits name one of 65,536 cells; up to tens of
 thousands of groups a cell is a single group, beyond that it holds a few whole ones,
 so the ordered list of sizes that is cut has a proven length at any scale. A binary
 search finds the smallest capacity for which a greedy sweep over that list needs no
-more than ``n_shards`` shards. Cuts keep to that capacity, each as near to its
-even place as the capacity allows for what is left.
+more than ``n_shards`` shards. Cuts keep to that capacity, each as near to an
+even share of what is left as the capacity allows for the rest.
 
 Slots are gapless: rows are numbered inside (cell, salt) pieces of about
 ``piece_rows`` rows, and pieces follow one another inside a shard, so neither a
@@ -45,17 +45,27 @@ _CUTS = """
 aggregate(a, named_struct('cur', 0L, 'before', 0L, 'cuts', cast(array() as array<int>)),
   (s, x) -> if(s.before > 0 and (s.cur + x.bytes > capacity
                  or (size(s.cuts) + 1 < k and x.cell >= coalesce(get(least_starts, k - size(s.cuts) - 2), -1)
-                     and 2 * s.before + x.bytes > 2 * (size(s.cuts) + 1) * (total / k))),
+                     and 2 * s.cur + x.bytes > 2 * ((total - s.before + s.cur) / (k - size(s.cuts))))),
                named_struct('cur', x.bytes, 'before', s.before + x.bytes, 'cuts', concat(s.cuts, array(x.cell))),
                named_struct('cur', s.cur + x.bytes, 'before', s.before + x.bytes, 'cuts', s.cuts)),
   s -> s.cuts)"""
 
 
-def plan_cuts(cells: DataFrame, n_shards: int) -> DataFrame:
-    """One row: capacity, and the first cell of every shard but the first. ``cells``: cell int, bytes long."""
+def plan_cuts(cells: DataFrame, n_shards: int) -> tuple[int, list[int]]:
+    """The capacity, and the first cell of every shard but the first. ``cells``: cell int, bytes long.
+
+    Each fold is a query of its own, with what came before as literals: merged into
+    one, Spark would run the search anew for every cell.
+    """
     one = cells.agg(F.array_sort(F.collect_list(F.struct("cell", "bytes"))).alias("a"), F.sum("bytes").alias("total"), F.max("bytes").alias("largest"))
     one = one.where("total is not null").withColumn("k", F.lit(n_shards))
-    return one.withColumn("capacity", F.expr(_CAPACITY)).withColumn("least_starts", F.expr(_FROM_END)).withColumn("cuts", F.expr(_CUTS)).select("capacity", "cuts")
+    found = one.select(F.expr(_CAPACITY)).collect()
+    if not found:
+        return 0, []
+    one = one.withColumn("capacity", F.lit(found[0][0]).cast("long"))
+    starts = one.select(F.expr(_FROM_END)).first()[0]
+    one = one.withColumn("least_starts", F.array(*map(F.lit, starts)).cast("array<int>"))
+    return found[0][0], one.select(F.expr(_CUTS)).first()[0]
 
 
 def shard_minimax(df: DataFrame, n_shards: int = 24, *, id_column: str = "doc_id", text_column: str = "text", piece_rows: int = 512) -> DataFrame:
@@ -68,8 +78,7 @@ def shard_minimax(df: DataFrame, n_shards: int = 24, *, id_column: str = "doc_id
     ).withColumn("cell", (F.shiftright("text_key", 48) + 32768).cast("int"))
     rows, _ = materialize(rows, "minimax-rows")
     cells, _ = materialize(rows.groupBy("cell").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "minimax-cells")
-    found = plan_cuts(cells.select("cell", "bytes"), n_shards).collect()
-    cuts = found[0].cuts if found else []
+    _, cuts = plan_cuts(cells.select("cell", "bytes"), n_shards)
     shard = sum(((F.col("cell") >= c).cast("int") for c in cuts), F.lit(0))
     # At most 65,536 rows of two numbers, whatever the input.
     salts = F.broadcast(cells.select("cell", F.ceil(F.col("n") / piece_rows).alias("n_salts")))
