@@ -10,6 +10,7 @@ from .chat_format import OP4_SQL, op4_chat_format
 from .decontaminate import OP7_SQL, op7_decontaminate
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .jaccard_join import op8_jaccard_join
+from .jaccard_sql import OP8_SQL
 from .line_quality import op10_quality_crf
 from .minimax_shards import op6_minimax_shards
 from .mix_sources import op5_mix_sources
@@ -34,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4_SQL, "op7_decontaminate": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op4_chat_format": OP4_SQL, "op7_decontaminate": OP7_SQL, "op8_jaccard_join": OP8_SQL, "op9_exact_dedup": OP9_SQL}
