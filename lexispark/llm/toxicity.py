@@ -21,6 +21,7 @@ Rows that repeat get equal scores. An empty table gives no rows. Only doc_id and
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,7 +38,7 @@ from .shared import documents
 
 BEGINNINGS = (4, 5, 6)
 #: Characters of a text that are split together, cached words, and tokens of a training chain.
-STRETCH, CACHED, CHAIN = 1 << 20, 400_000, 64
+STRETCH, CACHED, CHAIN = 1 << 20, 300_000, 64
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 TOKEN = re.compile(r"\S+")
 
@@ -157,20 +158,17 @@ class ToxicSpans:
         return [(m.start(), m.end()) for i, m in enumerate(TOKEN.finditer(text)) if i in wanted] if wanted else []
 
 
-def choose_markers(toxic: list[set[str]], clean: list[set[str]], *, cost: float = 2.0, least: int = 2) -> list[str]:
-    """Greedy cover of the toxic documents by features that are rare in clean ones."""
-    found, spread = defaultdict(set), Counter()
-    for i, features in enumerate(toxic):
-        for name in features:
-            found[name].add(i)
-    found = {name: docs for name, docs in found.items() if len(docs) >= least}
-    for features in clean:
-        spread.update(features & found.keys())
-    ratio = len(toxic) / max(1, len(clean))
+def feature_set(text: str) -> set[str]:
+    return {name for token in set(text.split()) for name in names(token)}
+
+
+def choose_markers(found: dict[str, set[int]], spread: Counter, n_toxic: int, n_clean: int, *, cost: float = 2.0, least: int = 2) -> list[str]:
+    """Greedy cover of the toxic documents by features (each with the documents that have it) that are rare in clean ones."""
+    ratio = n_toxic / max(1, n_clean)
     # A marker must stand out from chance: far more often in toxic documents than its share of all.
     found = {n: d for n, d in found.items() if len(d) >= max(least, 4 * spread[n] * ratio)}
-    open_docs, markers = set(range(len(toxic))), []
-    least_gain = max(least, 0.01 * len(toxic))
+    open_docs, markers = set(range(n_toxic)), []
+    least_gain = max(least, 0.01 * n_toxic)
     while open_docs and found:
         name = max(found, key=lambda n: (len(found[n] & open_docs) - cost * spread[n] * ratio, len(n), n))
         if len(found[name] & open_docs) - cost * spread[name] * ratio < least_gain:
@@ -181,49 +179,66 @@ def choose_markers(toxic: list[set[str]], clean: list[set[str]], *, cost: float
     return markers
 
 
-def fit(rows: list[tuple[str, int]], *, most_features: int = 4000) -> ToxicSpans:
+def fit(rows: list[tuple[str, int]], *, most_features: int = 4000, most_candidates: int = 40_000) -> ToxicSpans:
+    """Texts are split anew in each pass, so that little is held besides them: ``most_candidates`` features with their toxic documents."""
     y = np.array([label for _, label in rows])
     rate = float(y.mean()) if len(y) else 0.5
     nothing = ToxicSpans({}, 0.0, np.zeros(3), None, rate)
     if len(set(y.tolist())) < 2:
         return nothing
-    known: dict[str, list[str]] = {}
-    split = [text.split() for text, _ in rows]
-    for tokens in split:
-        for token in set(tokens):
-            if token not in known:
-                known[token] = names(token)
-    features = [{name for token in set(tokens) for name in known[token]} for tokens in split]
-    markers = choose_markers([f for f, label in zip(features, y, strict=True) if label], [f for f, label in zip(features, y, strict=True) if not label])
+    toxic, clean = [text for text, label in rows if label], [text for text, label in rows if not label]
+    n1, n0, among = len(toxic), len(clean), Counter()
+    for i, text in enumerate(toxic):
+        among.update(feature_set(text))
+        if i % 200 == 199 and len(among) > 20 * most_candidates:  # what was seen once in all that came before is no candidate
+            among = Counter({n: c for n, c in among.items() if c > 1})
+    among = Counter(dict(sorted(((n, c) for n, c in among.items() if c >= 2), key=lambda x: (-x[1], x[0]))[:most_candidates]))
+    spread, held = Counter(), defaultdict(set)
+    for text in clean:
+        spread.update(feature_set(text) & among.keys())
+    odds = {n: (c / n1) / ((spread[n] + 0.5) / n0) for n, c in among.items()}
+    promising = {n for n in among if odds[n] >= 2}
+    for i, text in enumerate(toxic):
+        for name in feature_set(text) & promising:
+            held[name].add(i)
+    markers = choose_markers(held, spread, n1, n0)
+    del held
     if not markers:
         return nothing
-    among: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for f, label in zip(features, y, strict=True):
-        among[int(label)].update(f)
-    n1, n0 = int(y.sum()), int((1 - y).sum())
-    odds = {n: (c / n1) / ((among[0][n] + 0.5) / n0) for n, c in among[1].items() if c >= max(4, 0.004 * n1)}
-    kept = [n for n, o in sorted(odds.items(), key=lambda x: (-x[1] * among[1][x[0]], x[0])) if o >= 6][:most_features]
+    kept = [n for n in sorted(promising, key=lambda n: (-odds[n] * among[n], n)) if odds[n] >= 6 and among[n] >= max(4, 0.004 * n1)][:most_features]
     index = {n: i for i, n in enumerate(dict.fromkeys([*markers, *kept]))}
     # Markers explain the documents; what hardly ever occurs in clean ones is as toxic, though a marker explained its documents first.
-    constant, marked = len(index), {*markers, *(n for n in kept if odds[n] >= 25 and among[1][n] >= max(5, 0.02 * n1))}
+    constant, marked = len(index), {index[n] for n in (*markers, *(n for n in kept if odds[n] >= 25 and among[n] >= max(5, 0.02 * n1)))}
+    known: dict[str, list[int]] = {}
+    none: list[int] = []
     # Chains of CHAIN tokens; of those without any feature, every 16th is enough to learn the plain ones' weight.
-    at, of, labels, lengths, base, turn = [], [], [], [], 0, 0
-    for tokens, label in zip(split, y, strict=True):
+    at, of, labels, lengths, base, turn = array("l"), array("l"), array("b"), [], 0, 0
+    for text, label in rows:
+        tokens = text.split()
         for a in range(0, len(tokens), CHAIN):
             part = tokens[a : a + CHAIN]
-            held = [(i, index[n]) for i, token in enumerate(part) for n in known[token] if n in index]
-            turn += not held
-            if not held and turn % 16:
+            for token in part:
+                if token not in known:
+                    known[token] = [index[n] for n in names(token) if n in index] or none
+            own = [known[token] for token in part]
+            bare = not any(own)
+            turn += bare
+            if bare and turn % 16:
                 continue
-            at += [base + i for i, _ in held] + list(range(base, base + len(part)))
-            of += [f for _, f in held] + [constant] * len(part)
-            labels += [int(label and any(n in marked for n in known[token])) for token in part]
+            for i, features in enumerate(own):
+                at.extend([base + i] * (len(features) + 1))
+                of.extend(features)
+                of.append(constant)
+                labels.append(int(bool(label) and not marked.isdisjoint(features)))
             lengths.append(len(part))
             base += len(part)
+        if len(known) > CACHED:
+            known.clear()
     weights, t = crf.fit((np.array(at), np.array(of)), np.array(labels), np.array(lengths), constant + 1, steps=80, rate=0.3)
     model = ToxicSpans({n: float(weights[i]) for n, i in index.items() if abs(weights[i]) > 1e-6}, float(weights[constant]), t, None, rate)
     seen = np.array([model.summary(text) for text, _ in rows])
     model.calibration = crf.fit_logistic(seen, y.astype(float), np.ones(len(y)))
+    model.cache = None
     return model
 
 
@@ -240,7 +255,7 @@ def score_toxicity(df: DataFrame, model: ToxicSpans, *, id_column: str = "doc_id
     return plain.mapInArrow(score, "doc_id long, score double, spans array<struct<start: int, end: int>>")
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most_toxic: int = 2000, most_clean: int = 4000) -> ToxicSpans:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most_toxic: int = 1500, most_clean: int = 3000) -> ToxicSpans:
     return fit(training_texts(docs, labels, "toxic", {1: most_toxic, 0: most_clean}))
 
 
