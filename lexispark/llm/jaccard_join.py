@@ -5,17 +5,19 @@ similarity of 4/5 or more differ in at most (a + b) / 9 of them. Sizes fall into
 each band has a scheme that hashes the shingle domain into n1 partitions, and a set's projection to a
 partition, with the partition, is a token. Sets that differ in d shingles
 differ in d partitions at most, so they share all but d of n1 tokens. Enumerating
-one-partition subsets, a set emits its first d + 1 tokens in one order for all sets (projections with most shingles first, so
+one-partition subsets, a set emits its first d + 1 + e tokens in one order for all sets (projections with most shingles first, so
 that a signature is as telling as can be; empty ones last), with d the bound for the largest
-partner it can have. By the prefix argument two sets that are similar enough share a signature. A set whose partners
+partner it can have. By the prefix argument two sets that are similar enough share e + 1 signatures or more. A set whose partners
 may be in the next band also signs in that band's scheme.
 
 How it runs: equal sets are one class, signed once a task. Signatures travel packed, six bytes each.
-Classes that share a signature are candidates. Lists of up to ``small_list`` classes give their pairs;
-in longer ones a hub (then 4, 16, ... hubs) is compared with those members that no link has joined
-to it yet, so a large group of near copies is settled by about one comparison
-a member, and a list is only left when its members are one component or all pairs of different
-components were compared. Equal lists are handled once. Candidates are verified on
+Classes that share a signature are candidates. A class with no more than e signatures in long lists leaves those
+lists, since each of its partners shares another signature with it; so a passage that many documents contain makes
+no candidates of them. Lists of up to ``small_list`` classes give their pairs;
+in longer ones the first member is compared with the others, which settles most groups of near copies; then,
+where a list isn't one component yet, members of different components are compared by parity sketches,
+piece by piece, and only pairs that these can't rule out leave the task. Sketches of sets that differ in d
+shingles differ in d bits at most, so none is ruled out wrongly. Equal lists are handled once. Candidates that are left are verified on
 the whole texts' shingles. No link is lost and none is added.
 
 Words, shingles and classes are compared by 64-bit hashes (classes by 128).
@@ -88,9 +90,14 @@ def band_of(n: np.ndarray) -> np.ndarray:
 
 
 def partitions_of(band: np.ndarray) -> np.ndarray:
-    """n1 of a band's scheme: a fifth more than the most differences plus 1, since prefixes skip the emptiest partitions."""
+    """n1 of a band's scheme: more than the most differences plus 1, since prefixes skip the emptiest partitions."""
     top = 2 ** (band + 1) - 1
-    return (6 * (2 * top // 9 + 1) + 4) // 5
+    return (8 * (2 * top // 9 + 1) + 4) // 5 + 2
+
+
+def spare(need):
+    """e: signatures that a set has beyond those that it needs to meet its partners."""
+    return need // 4 + 2
 
 
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +114,7 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     scheme = np.concatenate([band, band[guest] + 1])
     need = np.concatenate([(size + np.minimum(top, largest)) // 9 + 1, (size[guest] + largest[guest]) // 9 + 1])
     n1 = partitions_of(scheme)
+    need = np.minimum(n1, need + spare(need))
     elements = np.concatenate([sets[i] for i in owner])
     entry = np.repeat(np.arange(len(owner)), n[owner])
     place = mix(elements, 1) >> np.uint64(32)
@@ -142,6 +150,27 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return who[by_set], sig[by_set]
 
 
+def sketches(sets: list[np.ndarray]) -> list[bytes]:
+    """Parities of the shingles' counts in 2 to 4 cells a shingle, a power of two and 64 at least.
+
+    Sets that differ in d shingles have sketches that differ in d bits at most. The
+    two halves of a sketch, added, are the sketch of half as many cells.
+    """
+    cells = [64 if len(s) < 16 else 4 << (len(s).bit_length() - 1) for s in sets]
+    base = np.cumsum(cells) - cells
+    at = np.concatenate([(mix(s, 7) & np.uint64(c - 1)).astype(np.int64) + b for s, c, b in zip(sets, cells, base.tolist(), strict=True)])
+    raw = np.packbits((np.bincount(at, minlength=int(base[-1]) + cells[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [raw[b // 8 : (b + c) // 8] for b, c in zip(base.tolist(), cells, strict=True)]
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """The words of a sketch of ``size`` bytes or more, brought to that size."""
+    words = np.frombuffer(sketch, np.uint64)
+    while len(words) * 8 > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
 def pack(classes: np.ndarray, sizes: np.ndarray, counts: np.ndarray, sig: np.ndarray) -> bytes:
     six = sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
     return b"".join((np.uint32(len(classes)).tobytes(), classes.tobytes(), sizes.astype("<u4").tobytes(), counts.astype("<u4").tobytes(), six.tobytes()))
@@ -174,7 +203,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[p
             at = stop
 
 
-SIGNED = "doc_id long, rid long, n long, a long, b long, bucket int, blob binary"
+SIGNED = "doc_id long, rid long, n long, a long, b long, sketch binary, bucket int, blob binary"
 
 
 def sign(docs: DataFrame, n_buckets: int) -> DataFrame:
@@ -197,7 +226,10 @@ def sign(docs: DataFrame, n_buckets: int) -> DataFrame:
                 if len(seen) > 1_000_000:
                     seen.clear()
                 who, sig = signatures([sets[i] for i in fresh])
-            docs_out = [rows.column(0), rows.column(1), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())]
+                drawn: list[bytes | None] = [None] * len(n)
+                for i, sketch in zip(fresh, sketches([sets[i] for i in fresh]) if fresh else [], strict=True):
+                    drawn[i] = sketch
+            docs_out = [rows.column(0), rows.column(1), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(drawn, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())]
             yield pa.RecordBatch.from_arrays(docs_out, names)
             if not len(sig):
                 continue
@@ -212,7 +244,7 @@ def sign(docs: DataFrame, n_buckets: int) -> DataFrame:
                 of = index[who[x:y][start]]
                 blobs.append(pack(a[of], n[of], np.diff(start, append=y - x), sig[x:y]))
             m = len(blobs)
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(m, pa.int64()) for _ in range(5)), pa.array(bucket[edges]), pa.array(blobs, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(m, pa.int64()) for _ in range(5)), pa.nulls(m, pa.binary()), pa.array(bucket[edges]), pa.array(blobs, pa.binary())], names)
 
     names = [x.split()[0] for x in SIGNED.split(", ")]
     return docs.mapInArrow(run, SIGNED)
@@ -222,7 +254,10 @@ LISTED = "list long, x long, nx long, y long, ny long"
 
 
 def match(blobs: DataFrame, small_list: int) -> DataFrame:
-    """Classes that share signatures: pairs (x, y) of short lists, and members (x alone) of long ones. ``list`` is a hash of a long list's members."""
+    """Classes that share signatures: pairs (x, y) of short lists, members (list and x) of long ones, and how many (ny) signatures of x are in long lists.
+
+    ``list`` is a hash of a long list's members, 0 for pairs and null for counts.
+    """
 
     def of_bucket(held: list[bytes]) -> pa.RecordBatch | None:
         parts = [unpack(blob) for blob in held]
@@ -241,6 +276,9 @@ def match(blobs: DataFrame, small_list: int) -> DataFrame:
         at = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(length.sum())
         with np.errstate(over="ignore"):
             lists = np.add.reduceat(mix(classes[at], 6), np.cumsum(length) - length)
+        in_long = at[np.repeat(length > small_list, length)]
+        busy, where, often = np.unique(classes[in_long], return_index=True, return_counts=True)
+        busy_sizes = sizes[in_long][where]
         _, keep = np.unique(lists, return_index=True)
         first, length, lists = first[keep], length[keep], lists[keep]
         out = []
@@ -260,11 +298,11 @@ def match(blobs: DataFrame, small_list: int) -> DataFrame:
         at = np.repeat(first[long] - (np.cumsum(length[long]) - length[long]), length[long]) + np.arange(length[long].sum())
         none = len(at)
         columns = [
-            pa.array(np.concatenate([np.zeros(len(x), np.uint64), np.repeat(lists[long], length[long])]).view(np.int64)),
-            pa.array(np.concatenate([x, classes[at]]).view(np.int64)),
-            pa.array(np.concatenate([nx, sizes[at]]).astype(np.int64)),
-            pa.concat_arrays([pa.array(y.view(np.int64)), pa.nulls(none, pa.int64())]),
-            pa.concat_arrays([pa.array(ny.astype(np.int64)), pa.nulls(none, pa.int64())]),
+            pa.concat_arrays([pa.array(np.concatenate([np.zeros(len(x), np.uint64), np.repeat(lists[long], length[long])]).view(np.int64)), pa.nulls(len(busy), pa.int64())]),
+            pa.array(np.concatenate([x, classes[at], busy]).view(np.int64)),
+            pa.array(np.concatenate([nx, sizes[at], busy_sizes]).astype(np.int64)),
+            pa.concat_arrays([pa.array(y.view(np.int64)), pa.nulls(none + len(busy), pa.int64())]),
+            pa.concat_arrays([pa.array(ny.astype(np.int64)), pa.nulls(none, pa.int64()), pa.array(often.astype(np.int64))]),
         ]
         return pa.RecordBatch.from_arrays(columns, ["list", "x", "nx", "y", "ny"])
 
@@ -317,9 +355,46 @@ def verify(pairs: DataFrame, texts: DataFrame, salts: int = 16) -> DataFrame:
     return together.select("x", "salt", "y", "text").mapInArrow(run, "x long, y long").distinct()
 
 
-def components(links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
-    """Class to the smallest class that links lead to (x, root), for every class in a link: labels go to neighbours, then to their label's label."""
-    both, folder_of_links = materialize(links.select("x", "y").union(links.select("y", "x")).distinct(), "links")
+#: Links that one task contracts; it holds a number or two for each class in them.
+CONTRACTED = 500_000
+
+
+def contracted(links: DataFrame, parts: int) -> DataFrame:
+    """(x, root): each task replaces its links by one from every class to the smallest one that its own links lead to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y]
+                x = up[x]
+            return x
+
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = top(x), top(y)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+        nodes = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["x", "root"])
+
+    return links.select("x", "y").repartition(parts).mapInArrow(run, "x long, root long")
+
+
+def components(links: DataFrame, *, most_rounds: int = 60, contract_links: int = CONTRACTED) -> DataFrame:
+    """Class to the smallest class that links lead to (x, root), for every class in a link.
+
+    Links are contracted in pieces of a bounded size. Where there is more than one piece, labels
+    then go to neighbours and on to their label's label, until none changes.
+    """
+    spark = links.sparkSession
+    parts = max(1, -(-links.count() // contract_links))
+    shorter, folder_of_links = materialize(contracted(links, parts), "contracted")
+    if parts == 1:
+        return shorter
+    pairs = shorter.select("x", F.col("root").alias("y"))
+    both, folder_of_both = materialize(pairs.union(pairs.select("y", "x")).distinct(), "links")
     labels, folder = materialize(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")), "labels")
     for _ in range(most_rounds):
         seen = both.join(labels.select(F.col("x").alias("y"), F.col("root").alias("theirs")), "y").groupBy("x").agg(F.min("theirs").alias("theirs"))
@@ -327,14 +402,22 @@ def components(links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
         jumped = nearer.join(labels.select(F.col("x").alias("near"), F.col("root").alias("further")), "near").select("x", F.least("near", "further").alias("next"), "root")
         step, newer = materialize(jumped, "labels")
         changed = step.where("next != root").limit(1).count()
-        discard(links.sparkSession, folder)
+        discard(spark, folder)
         labels, folder = step.select("x", F.col("next").alias("root")), newer
         if not changed:
-            discard(links.sparkSession, folder_of_links)
+            discard(spark, folder_of_links, folder_of_both)
             return labels
     raise RuntimeError("components did not settle")
 
 
+def too_busy(members: DataFrame, busy: DataFrame) -> DataFrame:
+    """Members of long lists without the classes that can do without: those with e or fewer signatures in such lists."""
+    top = F.expr("shiftleft(1L, length(bin(nx))) - 1")
+    need = F.floor((F.col("nx") + F.least(top, F.floor(5 * F.col("nx") / 4))) / 9) + 1
+    stay = busy.groupBy("x").agg(F.sum("ny").alias("often"), F.max("nx").alias("nx")).where(F.col("often") > F.floor(need / 4) + 2).select("x")
+    return members.join(stay, "x", "left_semi")
+
+
 def jaccard_classes(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", n_buckets: int | None = None, small_list: int = 8) -> DataFrame:
     """Per row: doc_id, rid (hash of the text), n_shingles, component_id, leads (the row is its component's smallest doc_id)."""
     spark = docs.sparkSession
@@ -343,22 +426,26 @@ def jaccard_classes(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     signed, signed_folder = materialize(sign(source, n_buckets), "signed")
     rows = signed.where("bucket is null").select("doc_id", "rid", "n", "a", "b")
     classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid")).alias("place"))
-    listed, listed_folder = materialize(match(signed.where("bucket is not null").select("bucket", "blob"), small_list).distinct(), "listed")
-    members = listed.where("y is null").select("list", "x", "nx")
+    drawn = signed.where("sketch is not null").select("a", "n", "sketch")
+    # Equal lists and pairs of different buckets are told apart later; the counts must not be.
+    listed, listed_folder = materialize(match(signed.where("bucket is not null").select("bucket", "blob"), small_list), "listed")
+    pairs = listed.where("y is not null").select("x", "y").distinct()
+    members, members_folder = materialize(too_busy(listed.where("list is not null and y is null").select("list", "x", "nx").distinct(), listed.where("list is null").select("x", "nx", "ny")), "members")
 
-    wanted = listed.select(F.col("x").alias("a")).union(listed.where("y is not null").select(F.col("y").alias("a"))).distinct()
+    wanted = members.select(F.col("x").alias("a")).union(pairs.select(F.explode(F.array("x", "y")).alias("a"))).distinct()
     places = classes.join(wanted, "a").select("a", F.col("place.doc_id").alias("at_id"), F.col("place.rid").alias("at_rid"))
     texts = source.join(places, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("rid") == F.col("at_rid"))).select("a", "text")
     texts, texts_folder = materialize(texts.dropDuplicates(["a"]), "texts")
 
-    links = verify_all(listed.where("y is not null").select("x", "y").distinct(), members, texts)
+    drawn, drawn_folder = materialize(drawn.join(wanted, "a", "left_semi").dropDuplicates(["a"]), "sketches")
+    links = verify_all(pairs, members, texts, drawn)
     roots = components(links)
     named = classes.join(roots, classes.a == roots.x, "left").select("a", "b", "least", "place", F.coalesce("root", "a").alias("root"))
     # Classes without links are their own component.
     least = named.groupBy("root").agg(F.min("least").alias("component"), F.min("place").alias("first"))
     of_class, _ = materialize(named.join(least, "root").select("a", "b", "component", "first"), "components")
     kept, _ = materialize(rows, "sets")
-    discard(spark, listed_folder, texts_folder, signed_folder)
+    discard(spark, listed_folder, members_folder, texts_folder, drawn_folder, signed_folder)
     joined = kept.join(of_class.withColumnRenamed("a", "ca").withColumnRenamed("b", "cb"), (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")), "left")
     leads = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("rid") == F.col("first.rid"))
     alone = F.col("n") == 0
@@ -374,35 +461,92 @@ def keep_one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     return kept.withColumn("lead_row", F.row_number().over(order)).where("lead_row = 1").select(*docs.columns)
 
 
-def verify_all(pairs: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified links that connect what all candidate pairs would: hubs of long lists go round by round."""
-    hubs, first = 1, True
-    links, state = None, members.withColumn("root", F.col("x"))
-    done = 0
-    while True:
-        ranked = state.withColumn("rank", F.row_number().over(_by_list())).where(F.col("rank") <= done + hubs)
-        heads = ranked.where(F.col("rank") > done).select("list", F.col("x").alias("hub"), F.col("nx").alias("hub_n"), F.col("root").alias("hub_root"))
-        fits = (5 * F.least("hub_n", "nx") >= 4 * F.greatest("hub_n", "nx")) & (F.col("hub_root") != F.col("root")) & (F.col("hub") < F.col("x"))
-        new = state.join(heads, "list").where(fits).select(F.col("hub").alias("x"), F.col("x").alias("y")).distinct()
-        new, folder = materialize(pairs.union(new).distinct() if first else new, "candidates")
-        if not first and not new.limit(1).count():
-            discard(members.sparkSession, folder)
-            return links
-        found, _ = materialize(verify(new, texts) if first else verify(new, texts).union(links), "verified")
-        discard(members.sparkSession, folder)
-        links, first = found, False
-        if not members.limit(1).count():
-            return links
-        done, hubs = done + hubs, hubs * 4
-        roots = components(links)
-        open_state = members.join(roots, "x", "left").select("list", "x", "nx", F.coalesce("root", "x").alias("root"))
-        # Lists that are one component have nothing left to compare, nor do those whose members all were hubs.
-        unsettled = open_state.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where(f"lo < hi and m > {done + 1}").select("list")
-        state, _ = materialize(open_state.join(unsettled, "list"), "open")
-
-
-def _by_list():
-    return Window.partitionBy("list").orderBy("x")
+def plausible(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Pairs whose sketches don't rule out that they are similar enough."""
+    one = drawn.select(F.col("a").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx"))
+    two = drawn.select(F.col("a").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy"))
+    both = pairs.join(two, "y").join(one, "x").select("x", "y", "nx", "ny", "sx", "sy")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for nx, ny, sx, sy in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                size = min(len(sx), len(sy))
+                good.append(int(np.bitwise_count(folded(sx, size) ^ folded(sy, size)).sum()) * 9 <= nx + ny)
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    return both.mapInArrow(run, "x long, y long")
+
+
+def plausible_in_lists(state: DataFrame, drawn: DataFrame, piece: int = 2048) -> DataFrame:
+    """Pairs of different components in one list whose sketches don't rule out that they are similar enough.
+
+    ``state``: list, x, nx, root. Members outside a list's largest component are compared with all
+    members, in pieces of about ``piece`` members that are held while the others stream by;
+    only pairs that pass leave the task.
+    """
+    by_root = state.groupBy("list", "root").agg(F.count(F.lit(1)).alias("m"))
+    lists = by_root.groupBy("list").agg(F.max_by("root", F.struct("m", "root")).alias("largest"), F.ceil(F.sum("m") / piece).alias("pieces"))
+    known = state.join(lists, "list").join(drawn.select(F.col("a").alias("x"), "sketch"), "x")
+    columns = ["list", "piece", "guest", "x", "nx", "root", "sketch"]
+    held = known.withColumn("guest", F.lit(False)).withColumn("piece", F.pmod(F.xxhash64("x"), "pieces")).select(*columns)
+    guests = known.where("root != largest").withColumn("guest", F.lit(True)).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).select(*columns)
+    dealt = held.unionByName(guests).repartition("list", "piece").sortWithinPartitions("list", "piece", "guest")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, ready = None, [], None
+
+        def prepare() -> tuple:
+            size = min(len(r[3]) for r in rows)
+            xs, ns, roots = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+            return size, xs, ns, roots, np.stack([folded(r[3], size) for r in rows])
+
+        for batch in batches:
+            found_x, found_y = [], []
+            for of_list, piece_, guest, x, n, root, sketch in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if (of_list, piece_) != now:
+                    now, rows, ready = (of_list, piece_), [], None
+                if not guest:
+                    rows.append((x, n, root, sketch))
+                    continue
+                if not rows:
+                    continue
+                ready = ready or prepare()
+                size, xs, ns, roots, words = ready
+                at = np.flatnonzero((roots != root) & (5 * np.minimum(ns, n) >= 4 * np.maximum(ns, n)))
+                if not len(at):
+                    continue
+                if len(sketch) < size:
+                    words = np.stack([folded(words[i].tobytes(), len(sketch)) for i in at])
+                else:
+                    words = words[at]
+                differ = np.bitwise_count(words ^ folded(sketch, min(size, len(sketch)))).sum(axis=1)
+                for y in xs[at[differ.astype(np.int64) * 9 <= ns[at] + n]].tolist():
+                    found_x.append(min(x, y))
+                    found_y.append(max(x, y))
+            yield pa.RecordBatch.from_arrays([pa.array(found_x, pa.int64()), pa.array(found_y, pa.int64())], ["x", "y"])
+
+    return dealt.mapInArrow(run, "x long, y long").distinct()
+
+
+def verify_all(pairs: DataFrame, members: DataFrame, texts: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Verified links that connect what all candidate pairs would.
+
+    First the pairs of short lists, and each long list's first member with the others. Then, in lists that
+    aren't one component, all pairs of different components that sketches let through.
+    """
+    heads = members.groupBy("list").agg(F.min(F.struct("x", "nx")).alias("head")).select("list", F.col("head.x").alias("hub"), F.col("head.nx").alias("hub_n"))
+    fits = (5 * F.least("hub_n", "nx") >= 4 * F.greatest("hub_n", "nx")) & (F.col("hub") < F.col("x"))
+    stars = members.join(heads, "list").where(fits).select(F.col("hub").alias("x"), F.col("x").alias("y"))
+    first, _ = materialize(plausible(pairs.union(stars).distinct(), drawn), "candidates")
+    links, _ = materialize(verify(first, texts), "verified")
+    if not members.limit(1).count():
+        return links
+    state = members.join(components(links), "x", "left").select("list", "x", "nx", F.coalesce("root", "x").alias("root"))
+    unsettled = state.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("list")
+    state, _ = materialize(state.join(unsettled, "list"), "open")
+    second, _ = materialize(plausible_in_lists(state, drawn), "candidates")
+    return links.union(verify(second, texts))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
