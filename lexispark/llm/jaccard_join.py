@@ -7,11 +7,11 @@ partition, with the partition, is a token. Sets that differ in d shingles
 differ in d partitions at most, so they share all but d of n1 tokens. Enumerating
 one-partition subsets, a set emits its first d + 1 + e tokens in one order for all sets (projections with most shingles first, so
 that a signature is as telling as can be; empty ones last), with d the bound for the largest
-partner it can have. By the prefix argument two sets that are similar enough share e + 1 signatures or more. A set whose partners
+partner it can have. By the prefix argument two sets that are similar enough share e + 1 signatures or more, with the smaller e of the two. A set whose partners
 may be in the next band also signs in that band's scheme.
 
 How it runs: equal sets are one class, signed once a task. Signatures travel packed, six bytes each.
-Classes that share a signature are candidates. A class with no more than e signatures in long lists leaves those
+Classes that share a signature are candidates. A class with no more signatures in long lists than the least e of its partners leaves those
 lists, since each of its partners shares another signature with it; so a passage that many documents contain makes
 no candidates of them. Lists of up to ``small_list`` classes give their pairs;
 in longer ones the first member is compared with the others, which settles most groups of near copies; then,
@@ -411,9 +411,14 @@ def components(links: DataFrame, *, most_rounds: int = 60, contract_links: int =
 
 
 def too_busy(members: DataFrame, busy: DataFrame) -> DataFrame:
-    """Members of long lists without the classes that can do without: those with e or fewer signatures in such lists."""
+    """Members of long lists without the classes that can do without.
+
+    Partners share more signatures than the smaller of their two e. So a class leaves only if it has no more
+    signatures in such lists than the e of its smallest partner, which has the least e of all in either scheme.
+    """
     top = F.expr("shiftleft(1L, length(bin(nx))) - 1")
-    need = F.floor((F.col("nx") + F.least(top, F.floor(5 * F.col("nx") / 4))) / 9) + 1
+    least = F.ceil(4 * F.col("nx") / 5)
+    need = F.floor((least + F.least(top, F.floor(5 * least / 4))) / 9) + 1
     stay = busy.groupBy("x").agg(F.sum("ny").alias("often"), F.max("nx").alias("nx")).where(F.col("often") > F.floor(need / 4) + 2).select("x")
     return members.join(stay, "x", "left_semi")
 

@@ -89,6 +89,19 @@ def test_long_lists_and_contraction(spark, monkeypatch):
     assert {r.x: r.root for r in jj.components(links, contract_links=10).collect()} == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_larger_partner_of_many_short_copies(spark, seed):
+    """A set with more spare signatures than its partners stays in the lists of those it shares with them."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(13)]
+        copies = [[*base, f"v{rng.randrange(10**6)}"] for _ in range(12)]
+        copies.append([*copies[rng.randrange(12)], "x1", "x2"])
+        rows += [(len(rows) + i, " ".join(words)) for i, words in enumerate(copies)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == plain(rows)
+
+
 def test_cases(spark):
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "a b"), (5, "A  B"), (6, "b a"), (6, "b a"), (None, "x y z"), (None, "x y z"), (9, "x Y z"), (10, "word " * 20_000), (11, "word word word word word"), (12, "é b")]
     df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, bucket string")
