@@ -13,7 +13,8 @@ were written. Base spans stay as they are.
 All offsets are code points, ends exclusive. Spans are ordered by start, then by kind as listed.
 
 Cases: null texts count as empty and have no spans. Unclosed strings end at their line's end.
-Names that refer to themselves have no value. Texts of any length are scanned whole; the lexer takes one line at a time. Rows
+Names that refer to themselves have no value. Texts of any length are scanned whole; the lexer takes one line at a time, and a target without its value,
+or an expression that ends in an operator, goes on in the next line that isn't blank. Rows
 that repeat get equal results. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -23,7 +24,7 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,14 +47,18 @@ SENSITIVE = {
 #: Words that say that a value is no secret.
 HARMLESS = {"name": -0.5, "id": -0.3, "file": -0.9, "path": -0.9, "url": -0.6, "public": -0.7, "length": -0.8, "count": -0.8, "type": -0.6, "field": -0.6, "label": -0.6, "example": -0.8, "placeholder": -1.0}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|true|false|undefined|changeme|your[-_ ].*|<.*>|todo.*|example.*|test|dummy|redacted)$")
-#: What makes the lexer look at a line: an assignment, an option or a closing tag. A colon needs a name before it and a value after it.
-CANDIDATE = re.compile(r"""=\x20*[^\s=]|["'A-Za-z0-9_\]]:\x20*["'$A-Za-z0-9]|--[A-Za-z]|</[A-Za-z]|->""")
+#: Each line with an assignment has one of these; a line without is lexed only where a target waits for its value.
+CANDIDATE = re.compile(r"[=:]|--[A-Za-z]|</|->")
+#: Elements that hold line breaks; those on one line are tokens.
+TAG = re.compile(r"<(?P<name>[A-Za-z_][\w.-]*+)[^<>]*+>(?P<held>[^<>]++)</(?P=name)\s*+>")
+#: Words at a line's end that say that its value follows.
+GOES_ON = {"\\", "|", "|-", "-"}
 #: Small letters of what an ``assign`` match must contain.
 HINTS = ("passw", "secret", "token", "api_key", "apikey")
 TOKEN = re.compile(
     r"""(?P<string>[rbfuRBFU]{0,2}(?P<quote>'''|\"\"\"|"|'|`)(?P<body>(?:\\.|(?!(?P=quote)).)*)(?P<close>(?P=quote))?)"""
     r"""|(?P<tag><(?P<tagname>[A-Za-z_][\w.-]*)[^<>]*>(?P<tagged>[^<>]+)</(?P=tagname)\s*>)"""
-    r"""|(?P<option>--(?P<optname>[A-Za-z][\w-]*)(?:=|\x20+))"""
+    r"""|(?P<option>--(?P<optname>[A-Za-z][\w-]*)(?:=|\s+))"""
     r"""|(?P<ref>\$\{(?P<refname>[A-Za-z_][\w.]*)[^}\s]*\}|\$(?P<refbare>[A-Za-z_]\w*))"""
     r"""|(?P<op>:=|=>|->|==+|!=|<=|>=|\+=|\?\?|=|:|\+)"""
     r"""|(?P<name>[A-Za-z_][\w]*(?:[.-][A-Za-z_]\w*)*)"""
@@ -80,13 +85,60 @@ def name_score(name: str) -> float:
     return sum(found) + sum(HARMLESS.get(w, 0.0) for w in words)
 
 
-def value_score(value: str) -> float:
+class Value:
+    """Literals in order, as a graph that shares what constants hold, with what the score needs of their text.
+
+    A constant can be used many times over, so its text may be far longer than the document.
+    """
+
+    EDGE = 64
+    __slots__ = ("blank", "counts", "head", "inner", "lead", "length", "parts", "span", "tail", "told", "trail")
+
+    def __init__(self, text: str = "", span: tuple[int, int] | None = None):
+        bare = text.strip()
+        self.parts, self.span, self.told = [], span, False
+        self.counts, self.length, self.head, self.tail = Counter(text), len(text), text[: self.EDGE], text[-self.EDGE :]
+        self.blank, self.inner = not bare, " " in bare
+        self.lead, self.trail = " " in text[: len(text) - len(text.lstrip())], " " in text[len(text.rstrip()) :]
+
+    def add(self, other: Value) -> None:
+        self.parts.append(other)
+        self.counts.update(other.counts)
+        self.length += other.length
+        self.head, self.tail = (self.head + other.head)[: self.EDGE], (self.tail + other.tail)[-self.EDGE :]
+        self.inner |= other.inner or not self.blank and not other.blank and (self.trail or other.lead)
+        if self.blank:
+            self.lead |= other.lead
+        self.trail = other.trail or other.blank and self.trail
+        self.blank &= other.blank
+
+    def placeholder(self) -> bool:
+        if self.length <= self.EDGE:
+            return bool(PLACEHOLDER.match(self.head))
+        if set(self.counts) <= {"x", "X"} or set(self.counts) in ({"*"}, {"."}):
+            return True
+        # Longer ones are told by their ends; no fixed word is so long. The mark in the middle is no run of one sign.
+        return bool(PLACEHOLDER.match(self.head + ("\n" if "\n" in self.counts else "-") + self.tail))
+
+    def spans(self) -> Iterator[tuple[int, int]]:
+        """Spans of its literals that weren't told before."""
+        left = [self]
+        while left:
+            value = left.pop()
+            if not value.told:
+                value.told = True
+                left += value.parts
+                if value.span and value.span[1] > value.span[0]:
+                    yield value.span
+
+
+def value_score(value: Value) -> float:
     """From -1 (a placeholder, or too short) to 0.6 (long, mixed and without repeats)."""
-    if len(value) < 6 or PLACEHOLDER.match(value) or " " in value.strip():
+    if value.length < 6 or value.inner or value.placeholder():
         return -1.0
-    counts = Counter(value)
-    entropy = -sum(c / len(value) * math.log2(c / len(value)) for c in counts.values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    entropy = -sum(p * math.log2(p) for c in value.counts.values() if (p := c / value.length))
+    signs = "".join(value.counts)
+    kinds = sum(bool(re.search(p, signs)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     return min(0.6, 0.1 * entropy + 0.1 * (kinds - 1))
 
 
@@ -112,10 +164,19 @@ Pair = tuple[str, list[tuple[str, str, int, int]]]
 GIVES = {"=", ":", ":=", "=>", "->", "+="}
 
 
-def pairs(line: str, base: int) -> Iterator[Pair]:
-    """Targets and the parts of what they are given: literals, names and references."""
+def pairs(line: str, base: int, opened: Pair | None = None) -> Generator[Pair, None, Pair | None]:
+    """Targets and the parts of what they are given: literals, names and references.
+
+    ``opened`` is what the line before left without its value, or its value's rest; returns the same of this line.
+    """
     tokens = list(lex(line, base))
-    target, parts, joined = None, [], True
+    if tokens and tokens[-1][0] == "word" and tokens[-1][1] in GOES_ON:
+        tokens.pop()
+        goes_on = True
+    else:
+        goes_on = False
+    target, parts = opened or (None, [])
+    joined = True
     for i, (kind, value, start, end) in enumerate(tokens):
         after = tokens[i + 1] if i + 1 < len(tokens) else ("", "", 0, 0)
         if kind == "tag":
@@ -137,42 +198,55 @@ def pairs(line: str, base: int) -> Iterator[Pair]:
             if target is not None and parts:
                 yield target, parts
             target, parts = None, []
+    if target is not None and (joined or goes_on):
+        return target, parts
     if target is not None and parts:
         yield target, parts
-
-
-def candidate_lines(text: str) -> Iterator[tuple[int, str]]:
-    """Where a line begins, and the line, for those that the lexer looks at."""
-    at = 0
-    while m := CANDIDATE.search(text, at):
-        start = text.rfind("\n", 0, m.start()) + 1
-        end = text.find("\n", m.start())
+    return None
+
+
+def assignments(text: str) -> Iterator[Pair]:
+    """Pairs of all lines that have any, in order; elements of several lines come with the line that closes them."""
+    tags = [m for m in TAG.finditer(text) if "\n" in m[0]] if "</" in text else []
+    at, opened, told = 0, None, 0
+    while at < len(text):
+        start = at
+        if opened is None:
+            m = CANDIDATE.search(text, at)
+            if not m:
+                break
+            start = text.rfind("\n", 0, m.start()) + 1
+        end = text.find("\n", start if opened else m.start())
         end = len(text) if end < 0 else end
-        yield start, text[start:end]
+        opened = yield from pairs(text[start:end], start, opened)
+        while told < len(tags) and tags[told].end() <= end:
+            m = tags[told]
+            yield m["name"], [("string", m["held"].strip(), m.start("held"), m.end("held"))]
+            told += 1
         at = end + 1
+    if opened and opened[1]:
+        yield opened
 
 
 def literal_spans(text: str, threshold: float = 0.9) -> list[tuple[int, int, str]]:
-    constants: dict[str, list[tuple[str, int, int]]] = {}
+    constants: dict[str, Value] = {}
     found = set()
-    for base, line in candidate_lines(text):
-        for target, parts in pairs(line, base):
-            literals: list[tuple[str, int, int]] = []
-            for kind, value, start, end in parts:
-                if kind in ("name", "ref") and value in constants:
-                    literals += constants[value]
-                elif kind != "ref":
-                    literals.append((value, start, end))
-            if target not in [value for kind, value, _, _ in parts if kind in ("name", "ref")]:
-                constants[target] = literals[:64]
-            whole = "".join(value for value, _, _ in literals)
-            bare = all(kind == "name" and value not in constants for kind, value, _, _ in parts)
-            # A bare word is a literal in configuration only when it doesn't read as a name.
-            if bare and not any(c.isdigit() for c in whole):
-                continue
-            sensitive = name_score(target)
-            if sensitive > 0 and sensitive + value_score(whole) >= threshold:
-                found |= {(start, end, "literal") for value, start, end in literals if end > start}
+    for target, parts in assignments(text):
+        whole = Value()
+        for kind, value, start, end in parts:
+            if kind in ("name", "ref") and value in constants:
+                whole.add(constants[value])
+            elif kind != "ref":
+                whole.add(Value(value, (start, end)))
+        if target not in [value for kind, value, _, _ in parts if kind in ("name", "ref")]:
+            constants[target] = whole
+        bare = all(kind == "name" and value not in constants for kind, value, _, _ in parts)
+        # A bare word is a literal in configuration only when it doesn't read as a name.
+        if bare and not any(c.isdigit() for c in whole.counts):
+            continue
+        sensitive = name_score(target)
+        if sensitive > 0 and sensitive + value_score(whole) >= threshold:
+            found |= {(start, end, "literal") for start, end in whole.spans()}
     return list(found)
 
 

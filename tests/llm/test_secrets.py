@@ -43,6 +43,38 @@ def test_assignments():
     assert literals("a = a\nsecret = a") == []
 
 
+def test_all_white_space_and_lines():
+    assert literals('"pwd" : "Zx81_kk99"') == ["Zx81_kk99"]
+    assert literals("auth_credential : Zx81_kk99") == ["Zx81_kk99"]
+    assert literals("DB_PWD =\tZx81_kk99") == ["Zx81_kk99"]
+    assert literals('pwd:\t"Zx81_kk99"') == ["Zx81_kk99"]
+    assert literals("pwd: /Zx81_kk99") == ["/Zx81_kk99"]
+    assert literals("BASE :\t'Zx81_kk99'\npwd = BASE") == ["Zx81_kk99"]
+    assert literals("pwd =\n\n  'Zx81_kk99'\nother = 'plain text'") == ["Zx81_kk99"]
+    assert literals("pwd = 'Zx81' +\n  '_kk99'") == ["Zx81", "_kk99"]
+    assert literals("run --auth-token \\\n  tk_9f8e7d6c5b") == ["tk_9f8e7d6c5b"]
+    assert [x.strip() for x in literals("<cfg>\n<password>\n s3cr3tPass\n</password>\n</cfg>")] == ["s3cr3tPass"]
+    assert literals("pwd =") == literals("pwd: {\n  name: 'Zx81_kk99'\n}") == []
+
+
+def test_constants_keep_all_literals():
+    many = " + ".join(f"'k{i}Z'" for i in range(200))
+    assert len(literals(f"whole = {many}\npwd = whole")) == 200
+    doubled = "c0 = 'aB3'\n" + "".join(f"c{i + 1} = c{i} + c{i}\n" for i in range(2000))
+    assert literals(doubled + "pwd = c2000 + 'zz99'") == ["aB3", "zz99"]
+
+
+@given(st.lists(st.sampled_from(["x", "X", " ", "ab", "\t", "", "todo", "<", ">", "y" * 70, "x" * 70, "é 1"]), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_values_score_like_their_text(pieces):
+    graph, whole = secrets.Value(), "".join(pieces)
+    for piece in pieces:
+        graph.add(secrets.Value(piece))
+    refused = len(whole) < 6 or bool(secrets.PLACEHOLDER.match(whole)) or " " in whole.strip()
+    assert (secrets.value_score(graph) == -1.0) == refused
+    assert secrets.value_score(graph) == secrets.value_score(secrets.Value(whole))
+
+
 def test_cases(spark):
     rows = [(1, None, "x"), (2, "", "x"), (None, "token = 'abcdefgh1'", "x"), (3, "word " * 50_000 + "password=b7db7aa4a5fcc78305", "y"), (3, "password: secret: abcdefgh12", "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
