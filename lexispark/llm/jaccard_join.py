@@ -10,17 +10,16 @@ that a signature is as telling as can be; empty ones last), with d the bound for
 partner it can have. By the prefix argument two sets that are similar enough share e + 1 signatures or more, with the smaller e of the two. A set whose partners
 may be in the next band also signs in that band's scheme.
 
-How it runs: equal sets are one class, signed once a task. Signatures travel packed, six bytes each.
-Classes that share a signature are candidates. A class with no more signatures in long lists than the least e of its partners leaves those
-lists, since each of its partners shares another signature with it; so a passage that many documents contain makes
-no candidates of them. Lists of up to ``small_list`` classes give their pairs;
-in longer ones the first member is compared with the others, which settles most groups of near copies; then,
-where a list isn't one component yet, members of different components are compared by parity sketches,
-piece by piece, and only pairs that these can't rule out leave the task. Sketches of sets that differ in d
-shingles differ in d bits at most, so none is ruled out wrongly. Equal lists are handled once. Candidates that are left are verified on
-the whole texts' shingles. No link is lost and none is added.
-
-Words, shingles and classes are compared by 64-bit hashes (classes by 128).
+How it runs: equal sets are one class, named by 64 bits of its hash and signed once a task. Signatures travel packed, six
+bytes each, to buckets of about ``BUCKET`` bytes of text. Classes that share a signature are candidates. A class with no more
+signatures in long lists than the least e of its partners leaves those lists, since each of its partners shares another
+signature with it; so a passage that many documents contain makes no candidates of them. Lists of up to ``small_list``
+classes give their pairs. In longer ones every member is compared with the hub, the member with the greatest
+share of its signatures in long lists, which settles most groups of near copies; a group has the same hub in nearly all its
+lists. Where members of a hub's lists are still in several components, those outside the largest one are compared
+with all members, piece by piece, first by parity sketches, then by the shingles themselves. A piece gives links that join
+two components each, so never more of them than it has members. Sets that differ in d shingles have sketches that
+differ in d bits at most, so none is ruled out wrongly. No link between components is lost and none is added.
 
 Cases: null, empty and blank texts have no shingles and link with nothing. With fewer words than 5 the sequence is one
 shingle. Null doc_ids take part; a component's id is its smallest doc_id that is
@@ -41,6 +40,8 @@ from pyspark.sql import functions as F
 from .shared import discard, documents, materialize
 
 K, CACHED, BLOCK = 5, 400_000, 6 << 20
+#: Bytes of text whose signatures share a bucket, and shingles that a piece of a long list holds.
+BUCKET, PIECE = 48 << 20, 400_000
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -207,7 +208,7 @@ SIGNED = "doc_id long, rid long, n long, a long, b long, sketch binary, bucket i
 
 
 def sign(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """A row for each document (doc_id, hash of its text, set size, 128-bit class), and rows of packed signatures by bucket."""
+    """A row for each document (doc_id, hash of its text, set size, class a, check b), and rows of packed signatures by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -321,13 +322,19 @@ def match(blobs: DataFrame, small_list: int) -> DataFrame:
     return blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, LISTED)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, salts: int = 16) -> DataFrame:
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * common >= 4 * (len(a) + len(b) - common)
+
+
+def verify(pairs: DataFrame, texts: DataFrame, partners_in_place: int = 256) -> DataFrame:
     """Those (x, y) whose sets are similar enough. ``texts``: class a and text, for every class in a pair.
 
-    Partners' texts travel to their hub's; a hub with many partners is in up to ``salts`` places.
+    Partners' texts travel to their hub's; a hub is in one more place for each ``partners_in_place`` of them.
     """
-    # The class with more partners in the pair is whichever came first in a list, so x.
-    placed = pairs.withColumn("salt", F.pmod(F.xxhash64("y"), F.lit(salts)).cast("int"))
+    # The class with more partners in the pair is x where the pair came from a long list.
+    places = pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / partners_in_place).alias("places"))
+    placed = pairs.join(places, "x").withColumn("salt", F.pmod(F.xxhash64("y"), "places").cast("int"))
     partners = placed.join(texts.select(F.col("a").alias("y"), "text"), "y").select("x", "salt", "y", "text")
     hubs = placed.select("x", "salt").distinct().join(texts.select(F.col("a").alias("x"), "text"), "x").select("x", "salt", F.lit(None).cast("long").alias("y"), "text")
     together = hubs.unionByName(partners).repartition("x", "salt").sortWithinPartitions("x", "salt", F.asc_nulls_first("y"))
@@ -346,8 +353,7 @@ def verify(pairs: DataFrame, texts: DataFrame, salts: int = 16) -> DataFrame:
                         continue
                     if x != now:
                         raise RuntimeError("a partner came before its hub")
-                    common = len(np.intersect1d(hub, s, assume_unique=True))
-                    if 5 * common >= 4 * (len(hub) + len(s) - common):
+                    if similar(hub, s):
                         xs.append(x)
                         ys.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
@@ -382,8 +388,8 @@ def contracted(links: DataFrame, parts: int) -> DataFrame:
     return links.select("x", "y").repartition(parts).mapInArrow(run, "x long, root long")
 
 
-def components(links: DataFrame, *, most_rounds: int = 60, contract_links: int = CONTRACTED) -> DataFrame:
-    """Class to the smallest class that links lead to (x, root), for every class in a link.
+def components(links: DataFrame, *, most_rounds: int = 60, contract_links: int = CONTRACTED) -> tuple[DataFrame, list[str]]:
+    """Class to the smallest class that links lead to (x, root), for every class in a link, and the folders that hold this.
 
     Links are contracted in pieces of a bounded size. Where there is more than one piece, labels
     then go to neighbours and on to their label's label, until none changes.
@@ -392,7 +398,7 @@ def components(links: DataFrame, *, most_rounds: int = 60, contract_links: int =
     parts = max(1, -(-links.count() // contract_links))
     shorter, folder_of_links = materialize(contracted(links, parts), "contracted")
     if parts == 1:
-        return shorter
+        return shorter, [folder_of_links]
     pairs = shorter.select("x", F.col("root").alias("y"))
     both, folder_of_both = materialize(pairs.union(pairs.select("y", "x")).distinct(), "links")
     labels, folder = materialize(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")), "labels")
@@ -406,12 +412,12 @@ def components(links: DataFrame, *, most_rounds: int = 60, contract_links: int =
         labels, folder = step.select("x", F.col("next").alias("root")), newer
         if not changed:
             discard(spark, folder_of_links, folder_of_both)
-            return labels
+            return labels, [folder]
     raise RuntimeError("components did not settle")
 
 
 def too_busy(members: DataFrame, busy: DataFrame) -> DataFrame:
-    """Members of long lists without the classes that can do without.
+    """Members of long lists without the classes that can do without; ``share`` says how many signatures a shingle a class has in such lists.
 
     Partners share more signatures than the smaller of their two e. So a class leaves only if it has no more
     signatures in such lists than the e of its smallest partner, which has the least e of all in either scheme.
@@ -419,38 +425,46 @@ def too_busy(members: DataFrame, busy: DataFrame) -> DataFrame:
     top = F.expr("shiftleft(1L, length(bin(nx))) - 1")
     least = F.ceil(4 * F.col("nx") / 5)
     need = F.floor((least + F.least(top, F.floor(5 * least / 4))) / 9) + 1
-    stay = busy.groupBy("x").agg(F.sum("ny").alias("often"), F.max("nx").alias("nx")).where(F.col("often") > F.floor(need / 4) + 2).select("x")
-    return members.join(stay, "x", "left_semi")
+    stay = busy.groupBy("x").agg(F.sum("ny").alias("often"), F.max("nx").alias("nx")).where(F.col("often") > F.floor(need / 4) + 2).select("x", (F.col("often") / F.col("nx")).alias("share"))
+    return members.join(stay, "x").select("list", "x", "nx", "share")
+
+
+def buckets_for(size: int) -> int:
+    """Buckets for so many bytes of text; a signature's upper 16 bits choose one of them."""
+    return min(1 << 16, max(16, -(-size // BUCKET)))
 
 
 def jaccard_classes(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", n_buckets: int | None = None, small_list: int = 8) -> DataFrame:
     """Per row: doc_id, rid (hash of the text), n_shingles, component_id, leads (the row is its component's smallest doc_id)."""
     spark = docs.sparkSession
-    n_buckets = n_buckets or min(60_000, max(4, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    n_buckets = n_buckets or buckets_for(docs.agg(F.sum(F.octet_length(text_column)).alias("size")).first().size or 0)
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_column).alias("rid"), F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("text"))
     signed, signed_folder = materialize(sign(source, n_buckets), "signed")
     rows = signed.where("bucket is null").select("doc_id", "rid", "n", "a", "b")
-    classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid")).alias("place"))
     drawn = signed.where("sketch is not null").select("a", "n", "sketch")
     # Equal lists and pairs of different buckets are told apart later; the counts must not be.
     listed, listed_folder = materialize(match(signed.where("bucket is not null").select("bucket", "blob"), small_list), "listed")
-    pairs = listed.where("y is not null").select("x", "y").distinct()
+    pairs, pairs_folder = materialize(listed.where("y is not null").select("x", "y").distinct(), "pairs")
     members, members_folder = materialize(too_busy(listed.where("list is not null and y is null").select("list", "x", "nx").distinct(), listed.where("list is null").select("x", "nx", "ny")), "members")
+    kept, _ = materialize(rows, "sets")
+    classes = kept.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid")).alias("place"))
+    wanted, wanted_folder = materialize(members.select(F.col("x").alias("a")).union(pairs.select(F.explode(F.array("x", "y")).alias("a"))).distinct(), "wanted")
+    drawn, drawn_folder = materialize(drawn.join(wanted, "a", "left_semi").dropDuplicates(["a"]), "sketches")
+    discard(spark, listed_folder, signed_folder)
 
-    wanted = members.select(F.col("x").alias("a")).union(pairs.select(F.explode(F.array("x", "y")).alias("a"))).distinct()
     places = classes.join(wanted, "a").select("a", F.col("place.doc_id").alias("at_id"), F.col("place.rid").alias("at_rid"))
     texts = source.join(places, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("rid") == F.col("at_rid"))).select("a", "text")
     texts, texts_folder = materialize(texts.dropDuplicates(["a"]), "texts")
+    discard(spark, wanted_folder)
 
-    drawn, drawn_folder = materialize(drawn.join(wanted, "a", "left_semi").dropDuplicates(["a"]), "sketches")
-    links = verify_all(pairs, members, texts, drawn)
-    roots = components(links)
+    links, link_folders = verify_all(pairs, members, texts, drawn)
+    discard(spark, pairs_folder, members_folder, drawn_folder, texts_folder)
+    roots, root_folders = components(links)
     named = classes.join(roots, classes.a == roots.x, "left").select("a", "b", "least", "place", F.coalesce("root", "a").alias("root"))
     # Classes without links are their own component.
     least = named.groupBy("root").agg(F.min("least").alias("component"), F.min("place").alias("first"))
     of_class, _ = materialize(named.join(least, "root").select("a", "b", "component", "first"), "components")
-    kept, _ = materialize(rows, "sets")
-    discard(spark, listed_folder, members_folder, texts_folder, drawn_folder, signed_folder)
+    discard(spark, *link_folders, *root_folders)
     joined = kept.join(of_class.withColumnRenamed("a", "ca").withColumnRenamed("b", "cb"), (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")), "left")
     leads = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("rid") == F.col("first.rid"))
     alone = F.col("n") == 0
@@ -458,12 +472,14 @@ def jaccard_classes(docs: DataFrame, *, id_column: str = "doc_id", text_column:
 
 
 def keep_one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that lead their component (smallest doc_id), and those without shingles. Rows that repeat doc_id and text count once."""
+    """The rows of ``docs`` that lead their component (smallest doc_id), and those without shingles. Rows that repeat doc_id and text count once.
+
+    Columns of any name may stand beside the two named ones; all travel in one struct.
+    """
     leaders = jaccard_classes(docs, id_column=id_column, text_column=text_column).where("leads").select(F.col("doc_id").alias("lead_id"), F.col("rid").alias("lead_rid")).distinct()
-    keyed = docs.withColumns({"lead_key_id": F.col(id_column).cast("long"), "lead_key_rid": F.xxhash64(text_column)})
-    kept = keyed.join(leaders, F.col("lead_key_id").eqNullSafe(F.col("lead_id")) & (F.col("lead_key_rid") == F.col("lead_rid")), "left_semi")
-    order = Window.partitionBy("lead_key_id", "lead_key_rid").orderBy(F.lit(1))
-    return kept.withColumn("lead_row", F.row_number().over(order)).where("lead_row = 1").select(*docs.columns)
+    keyed = docs.select(F.col(id_column).cast("long").alias("key_id"), F.xxhash64(text_column).alias("key_rid"), F.struct("*").alias("row"))
+    kept = keyed.join(leaders, F.col("key_id").eqNullSafe(F.col("lead_id")) & (F.col("key_rid") == F.col("lead_rid")), "left_semi")
+    return kept.groupBy("key_id", "key_rid").agg(F.first("row").alias("row")).select("row.*")
 
 
 def plausible(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
@@ -483,75 +499,116 @@ def plausible(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "x long, y long")
 
 
-def plausible_in_lists(state: DataFrame, drawn: DataFrame, piece: int = 2048) -> DataFrame:
-    """Pairs of different components in one list whose sketches don't rule out that they are similar enough.
+def parities(shingles: np.ndarray, cells: int) -> np.ndarray:
+    """The set's parity sketch in so many cells, as 64-bit words."""
+    at = mix(shingles, 7) & np.uint64(cells - 1)
+    words = np.zeros(cells // 64, np.uint64)
+    np.bitwise_xor.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return words
+
 
-    ``state``: list, x, nx, root. Members outside a list's largest component are compared with all
-    members, in pieces of about ``piece`` members that are held while the others stream by;
-    only pairs that pass leave the task.
+class _Piece:
+    """Members of a hub's lists with their sets, and which of their components have been joined here."""
+
+    def __init__(self) -> None:
+        self.ids, self.n, self.roots, self.sets, self.words, self.up = [], [], [], [], None, {}
+
+    def hold(self, ids: list[int], n: list[int], roots: list[int], texts: list[bytes]) -> None:
+        self.ids += ids
+        self.n += n
+        self.roots += roots
+        self.sets += shingle_sets(texts)
+
+    def top(self, root: int) -> int:
+        while (above := self.up.get(root, root)) != root:
+            root = above
+        return root
+
+    def links(self, x: int, n: int, root: int, shingles: np.ndarray) -> list[int]:
+        """Members that x is linked with, one for each component that it wasn't yet joined with."""
+        if self.words is None:
+            self.cells = max(256, 16 << int(max(self.n)).bit_length())
+            self.words = np.stack([parities(s, self.cells) for s in self.sets])
+            self.n, self.roots = np.array(self.n), np.array(self.roots)
+        at = np.flatnonzero((self.roots != root) & compatible(self.n, np.int64(n)))
+        if not len(at):
+            return []
+        words = self.words if len(at) == len(self.n) else self.words[at]
+        differ = np.bitwise_count(words ^ parities(shingles, self.cells)).sum(axis=1, dtype=np.int64)
+        likely = np.flatnonzero(differ * 9 <= self.n[at] + n)
+        found = []
+        for i in at[likely[np.argsort(differ[likely], kind="stable")]].tolist():
+            a, b = self.top(root), self.top(int(self.roots[i]))
+            if a != b and similar(self.sets[i], shingles):
+                self.up[max(a, b)] = min(a, b)
+                found.append(self.ids[i])
+        return found
+
+
+def links_in_lists(state: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (x, y) that join different components within the lists of one hub.
+
+    ``state``: hub, x, nx, root, each pair of hub and x once. Members outside a hub's largest component are compared with all
+    members, in pieces of about ``PIECE`` shingles that are held while the others stream by.
+    Each piece gives at most one link fewer than it meets components.
     """
-    by_root = state.groupBy("list", "root").agg(F.count(F.lit(1)).alias("m"))
-    lists = by_root.groupBy("list").agg(F.max_by("root", F.struct("m", "root")).alias("largest"), F.ceil(F.sum("m") / piece).alias("pieces"))
-    known = state.join(lists, "list").join(drawn.select(F.col("a").alias("x"), "sketch"), "x")
-    columns = ["list", "piece", "guest", "x", "nx", "root", "sketch"]
+    by_root = state.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("nx").alias("shingles"))
+    hubs = by_root.groupBy("hub").agg(F.max_by("root", F.struct("m", "root")).alias("largest"), F.ceil(F.sum("shingles") / PIECE).alias("pieces"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    known = state.join(hubs, "hub").join(texts.select(F.col("a").alias("x"), "text"), "x")
+    columns = ["hub", "piece", "guest", "x", "nx", "root", "text"]
     held = known.withColumn("guest", F.lit(False)).withColumn("piece", F.pmod(F.xxhash64("x"), "pieces")).select(*columns)
     guests = known.where("root != largest").withColumn("guest", F.lit(True)).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).select(*columns)
-    dealt = held.unionByName(guests).repartition("list", "piece").sortWithinPartitions("list", "piece", "guest")
+    dealt = held.unionByName(guests).repartition("hub", "piece").sortWithinPartitions("hub", "piece", "guest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, ready = None, [], None
-
-        def prepare() -> tuple:
-            size = min(len(r[3]) for r in rows)
-            xs, ns, roots = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-            return size, xs, ns, roots, np.stack([folded(r[3], size) for r in rows])
-
+        now, members = None, _Piece()
         for batch in batches:
             found_x, found_y = [], []
-            for of_list, piece_, guest, x, n, root, sketch in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if (of_list, piece_) != now:
-                    now, rows, ready = (of_list, piece_), [], None
-                if not guest:
-                    rows.append((x, n, root, sketch))
-                    continue
-                if not rows:
-                    continue
-                ready = ready or prepare()
-                size, xs, ns, roots, words = ready
-                at = np.flatnonzero((roots != root) & (5 * np.minimum(ns, n) >= 4 * np.maximum(ns, n)))
-                if not len(at):
-                    continue
-                if len(sketch) < size:
-                    words = np.stack([folded(words[i].tobytes(), len(sketch)) for i in at])
-                else:
-                    words = words[at]
-                differ = np.bitwise_count(words ^ folded(sketch, min(size, len(sketch)))).sum(axis=1)
-                for y in xs[at[differ.astype(np.int64) * 9 <= ns[at] + n]].tolist():
-                    found_x.append(min(x, y))
-                    found_y.append(max(x, y))
+            hub, piece_, guest, x, n, root, text = (batch.column(i).to_pylist() for i in range(7))
+            at = 0
+            while at < len(x):
+                key, end = (hub[at], piece_[at], guest[at]), at
+                while end < len(x) and end < at + 256 and (hub[end], piece_[end], guest[end]) == key:
+                    end += 1
+                if key[:2] != now:
+                    now, members = key[:2], _Piece()
+                with np.errstate(over="ignore"):
+                    if not key[2]:
+                        members.hold(x[at:end], n[at:end], root[at:end], text[at:end])
+                    elif members.ids:
+                        for i, shingles in zip(range(at, end), shingle_sets(text[at:end]), strict=True):
+                            ys = members.links(x[i], n[i], root[i], shingles)
+                            found_x += [x[i]] * len(ys)
+                            found_y += ys
+                at = end
             yield pa.RecordBatch.from_arrays([pa.array(found_x, pa.int64()), pa.array(found_y, pa.int64())], ["x", "y"])
 
-    return dealt.mapInArrow(run, "x long, y long").distinct()
+    return dealt.mapInArrow(run, "x long, y long")
 
 
-def verify_all(pairs: DataFrame, members: DataFrame, texts: DataFrame, drawn: DataFrame) -> DataFrame:
-    """Verified links that connect what all candidate pairs would.
+def verify_all(pairs: DataFrame, members: DataFrame, texts: DataFrame, drawn: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Links that connect what all candidate pairs would, and the folders that hold them.
 
-    First the pairs of short lists, and each long list's first member with the others. Then, in lists that
-    aren't one component, all pairs of different components that sketches let through.
+    First the pairs of short lists, and each long list's hub with the others. Then, among members of a hub's
+    lists that aren't one component, those of different components.
     """
-    heads = members.groupBy("list").agg(F.min(F.struct("x", "nx")).alias("head")).select("list", F.col("head.x").alias("hub"), F.col("head.nx").alias("hub_n"))
-    fits = (5 * F.least("hub_n", "nx") >= 4 * F.greatest("hub_n", "nx")) & (F.col("hub") < F.col("x"))
-    stars = members.join(heads, "list").where(fits).select(F.col("hub").alias("x"), F.col("x").alias("y"))
-    first, _ = materialize(plausible(pairs.union(stars).distinct(), drawn), "candidates")
-    links, _ = materialize(verify(first, texts), "verified")
-    if not members.limit(1).count():
-        return links
-    state = members.join(components(links), "x", "left").select("list", "x", "nx", F.coalesce("root", "x").alias("root"))
-    unsettled = state.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("list")
-    state, _ = materialize(state.join(unsettled, "list"), "open")
-    second, _ = materialize(plausible_in_lists(state, drawn), "candidates")
-    return links.union(verify(second, texts))
+    hubs = members.groupBy("list").agg(F.max(F.struct("share", "x", "nx")).alias("hub")).select("list", F.col("hub.x").alias("hub"), F.col("hub.nx").alias("hub_n"))
+    around, around_folder = materialize(members.join(hubs, "list").where("hub != x").groupBy("hub", "hub_n", "x", "nx").agg(F.lit(1).alias("one")).drop("one"), "around")
+    fits = 5 * F.least("hub_n", "nx") >= 4 * F.greatest("hub_n", "nx")
+    stars = around.where(fits).select(F.col("hub").alias("x"), F.col("x").alias("y"))
+    # A pair that stands in the list both ways round is verified once.
+    both = pairs.union(stars).groupBy(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(F.max("x").alias("x")).select("x", F.when(F.col("x") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("y"))
+    first, first_folder = materialize(plausible(both, drawn), "candidates")
+    links, links_folder = materialize(verify(first, texts), "verified")
+    discard(links.sparkSession, first_folder)
+    if not around.limit(1).count():
+        return links, [links_folder, around_folder]
+    roots, root_folders = components(links)
+    state = around.join(roots, "x", "left").select("hub", "x", "nx", F.coalesce("root", "x").alias("root"))
+    state, state_folder = materialize(state, "open")
+    second, second_folder = materialize(links_in_lists(state, texts), "verified")
+    discard(links.sparkSession, state_folder, around_folder, *root_folders)
+    return links.union(second), [links_folder, second_folder]
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Folders that the driver and all executors share, and tables written there.
 
-``spark.checkpoint.dir`` names the shared folder. Only where it is unset (tests,
-a single machine) is a folder of our own made, and then it is used as if it had been set.
+``spark.checkpoint.dir`` names the shared folder. Only where it is unset on a local
+master (tests, a single machine) is a folder of our own made, and then it is used as if it had been set.
 """
 
 from __future__ import annotations
@@ -15,12 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+#: Spark's setting for shuffle files to be removed when the query that made them ends.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
     """The fully qualified shared folder, without a slash at its end."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="lexispark-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -42,11 +46,20 @@ def new_folder(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Writes ``df`` as a table in the shared folder, which cuts its lineage; returns it read back, and its folder.
 
-    A lost executor costs the tasks that it ran, not what led to the table.
+    A lost executor costs the tasks that it ran, not what led to the table. The shuffle files behind
+    the table go as soon as it is written, instead of when the driver next collects garbage.
     """
     spark = df.sparkSession
     folder = new_folder(spark, label)
-    df.write.parquet(folder)
+    before = spark.conf.get(CLEANED, None)
+    spark.conf.set(CLEANED, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANED)
+        else:
+            spark.conf.set(CLEANED, before)
     return spark.read.schema(df.schema).parquet(folder), folder
 
 

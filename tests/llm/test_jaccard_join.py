@@ -71,9 +71,45 @@ def test_similar_sets_share_signatures_beyond_the_spare_ones(n, percent, rng):
     room = [int(jj.partitions_of(jj.band_of(np.array([len(x)])))[0]) - k for x, k in zip((a, b), need)]
     if min(room) >= max(jj.spare(k) for k in need):
         assert len(both) > min(jj.spare(k) for k in need)
+    # What lets a class leave long lists: the least e that any partner of either can have.
+    assert len(both) > max(least_spare(len(a)), least_spare(len(b)))
+
+
+def least_spare(n):
+    least = -(-4 * n // 5)
+    return jj.spare((least + min(2 ** least.bit_length() - 1, 5 * least // 4)) // 9 + 1)
+
+
+def test_least_spare_of_all_partners():
+    """No partner has fewer spare signatures, in its own band's scheme or the next one."""
+    for n in range(1, 700):
+        for m in range(-(-4 * n // 5), 5 * n // 4 + 1):
+            top, largest = 2 ** m.bit_length() - 1, 5 * m // 4
+            assert jj.spare((m + min(top, largest)) // 9 + 1) >= least_spare(n)
+            assert largest <= top or jj.spare((m + largest) // 9 + 1) >= least_spare(n)
+
+
+def test_set_within_a_larger_one_when_all_shared_lists_are_long(spark):
+    """36 shingles within 45: ten of them stand in eight other texts, so that every list that both are in is long."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    for _ in range(2):
+        small = [word() for _ in range(40)]
+        rows = [(1, " ".join(small)), (2, " ".join([*small, *(word() for _ in range(9))]))]
+        for i in range(8):
+            start = rng.randrange(27)
+            rows.append((3 + i, " ".join([*(word() for _ in range(13)), *small[start : start + 14], *(word() for _ in range(14))])))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert got(df, small_list=2) == got(df) == plain(rows)
+
+
+def test_pieces_of_long_lists(spark, monkeypatch):
+    """Several pieces and components in a hub's lists."""
+    monkeypatch.setattr(jj, "PIECE", 100)
+    rows = corpus(23, n_bases=3, copies=60, passage=10)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string"), small_list=2) == plain(rows)
 
 
-@pytest.mark.parametrize("seed", range(3))
 def test_against_brute_force(spark, seed):
     rows = corpus(seed, passage=0 if seed else 30)
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -86,7 +122,7 @@ def test_long_lists_and_contraction(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(df, small_list=2, n_buckets=3) == plain(rows)
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "x long, y long")
-    assert {r.x: r.root for r in jj.components(links, contract_links=10).collect()} == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
+    assert {r.x: r.root for r in jj.components(links, contract_links=10)[0].collect()} == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
 
 
 @pytest.mark.parametrize("seed", range(4))
