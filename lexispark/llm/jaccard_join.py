@@ -37,11 +37,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import discard, documents, materialize
+from .shared import discard, documents, materialize, may_hold
 
 K, CACHED, BLOCK = 5, 400_000, 6 << 20
 #: Bytes of text whose signatures share a bucket, and shingles that a piece of a long list holds.
-BUCKET, PIECE = 48 << 20, 400_000
+BUCKET, PIECE = 32 << 20, 400_000
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -204,14 +204,18 @@ def _blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[p
             at = stop
 
 
-SIGNED = "doc_id long, rid long, n long, a long, b long, sketch binary, bucket int, blob binary"
+#: A row for each document, and a class's sketch beside the first of its documents in a task.
+SETS = "doc_id long, rid long, n long, a long, b long, sketch binary"
+SIGNED = f"{SETS}, bucket int, blob binary"
+LISTED = f"{SETS}, list long, x long, nx long, y long, ny long"
 
 
 def sign(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """A row for each document (doc_id, hash of its text, set size, class a, check b), and rows of packed signatures by bucket."""
+    """A row for each document (doc_id, hash of its text, set size, class a, check b), dealt over the buckets in turn, and rows of packed signatures by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        turn = 0
         for rows, texts in _blocks(batches, 2):
             with np.errstate(over="ignore"):
                 sets = shingle_sets(texts)
@@ -230,7 +234,8 @@ def sign(docs: DataFrame, n_buckets: int) -> DataFrame:
                 drawn: list[bytes | None] = [None] * len(n)
                 for i, sketch in zip(fresh, sketches([sets[i] for i in fresh]) if fresh else [], strict=True):
                     drawn[i] = sketch
-            docs_out = [rows.column(0), rows.column(1), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(drawn, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())]
+            docs_out = [rows.column(0), rows.column(1), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(drawn, pa.binary()), pa.array((np.arange(len(n)) + turn) % n_buckets, pa.int32()), pa.nulls(len(n), pa.binary())]
+            turn += len(n)
             yield pa.RecordBatch.from_arrays(docs_out, names)
             if not len(sig):
                 continue
@@ -251,13 +256,10 @@ def sign(docs: DataFrame, n_buckets: int) -> DataFrame:
     return docs.mapInArrow(run, SIGNED)
 
 
-LISTED = "list long, x long, nx long, y long, ny long"
+def match(signed: DataFrame, small_list: int, n_buckets: int) -> DataFrame:
+    """Documents' rows as they come, and classes that share signatures: pairs (x, y) of short lists, members (list and x) of long ones, and how many (ny) signatures of x are in long lists.
 
-
-def match(blobs: DataFrame, small_list: int) -> DataFrame:
-    """Classes that share signatures: pairs (x, y) of short lists, members (list and x) of long ones, and how many (ny) signatures of x are in long lists.
-
-    ``list`` is a hash of a long list's members, 0 for pairs and null for counts.
+    ``list`` is a hash of a long list's members, 0 for pairs and null for counts. Signatures travel once and aren't written.
     """
 
     def of_bucket(held: list[bytes]) -> pa.RecordBatch | None:
@@ -305,12 +307,18 @@ def match(blobs: DataFrame, small_list: int) -> DataFrame:
             pa.concat_arrays([pa.array(y.view(np.int64)), pa.nulls(none + len(busy), pa.int64())]),
             pa.concat_arrays([pa.array(ny.astype(np.int64)), pa.nulls(none, pa.int64()), pa.array(often.astype(np.int64))]),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["list", "x", "nx", "y", "ny"])
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(columns[0]), kind) for kind in kinds), *columns], names)
+
+    kinds = [*[pa.int64()] * 5, pa.binary()]
+    names = [x.split()[0] for x in LISTED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            of_docs = batch.filter(batch.column(7).is_null())
+            yield pa.RecordBatch.from_arrays([*of_docs.columns[:6], *(pa.nulls(of_docs.num_rows, pa.int64()) for _ in range(5))], names)
+            of_lists = batch.filter(batch.column(7).is_valid())
+            for bucket, blob in zip(of_lists.column(6).to_pylist(), of_lists.column(7).to_pylist(), strict=True):
                 if bucket != now:
                     if held and (found := of_bucket(held)):
                         yield found
@@ -319,7 +327,7 @@ def match(blobs: DataFrame, small_list: int) -> DataFrame:
         if held and (found := of_bucket(held)):
             yield found
 
-    return blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, LISTED)
+    return signed.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, LISTED)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -439,22 +447,24 @@ def jaccard_classes(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     spark = docs.sparkSession
     n_buckets = n_buckets or buckets_for(docs.agg(F.sum(F.octet_length(text_column)).alias("size")).first().size or 0)
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_column).alias("rid"), F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("text"))
-    signed, signed_folder = materialize(sign(source, n_buckets), "signed")
-    rows = signed.where("bucket is null").select("doc_id", "rid", "n", "a", "b")
-    drawn = signed.where("sketch is not null").select("a", "n", "sketch")
     # Equal lists and pairs of different buckets are told apart later; the counts must not be.
-    listed, listed_folder = materialize(match(signed.where("bucket is not null").select("bucket", "blob"), small_list), "listed")
+    listed, listed_folder = materialize(match(sign(source, n_buckets), small_list, n_buckets), "listed")
+    drawn = listed.where("sketch is not null").select("a", "n", "sketch")
     pairs, pairs_folder = materialize(listed.where("y is not null").select("x", "y").distinct(), "pairs")
-    members, members_folder = materialize(too_busy(listed.where("list is not null and y is null").select("list", "x", "nx").distinct(), listed.where("list is null").select("x", "nx", "ny")), "members")
-    kept, _ = materialize(rows, "sets")
+    members, members_folder = materialize(too_busy(listed.where("list is not null and y is null").select("list", "x", "nx").distinct(), listed.where("list is null and x is not null").select("x", "nx", "ny")), "members")
+    kept, _ = materialize(listed.where("n is not null").select("doc_id", "rid", "n", "a", "b"), "sets")
     classes = kept.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid")).alias("place"))
     wanted, wanted_folder = materialize(members.select(F.col("x").alias("a")).union(pairs.select(F.explode(F.array("x", "y")).alias("a"))).distinct(), "wanted")
     drawn, drawn_folder = materialize(drawn.join(wanted, "a", "left_semi").dropDuplicates(["a"]), "sketches")
-    discard(spark, listed_folder, signed_folder)
-
-    places = classes.join(wanted, "a").select("a", F.col("place.doc_id").alias("at_id"), F.col("place.rid").alias("at_rid"))
-    texts = source.join(places, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("rid") == F.col("at_rid"))).select("a", "text")
-    texts, texts_folder = materialize(texts.dropDuplicates(["a"]), "texts")
+    discard(spark, listed_folder)
+
+    key = F.xxhash64("doc_id", "rid")
+    places, places_folder = materialize(classes.join(wanted, "a").select("a", "place.doc_id", "place.rid").withColumn("key", key), "places")
+    # Only the texts of classes in a list travel, nearly: a filter of bounded size stands before the join.
+    near = source.withColumn("key", key).where(may_hold(places, "key", places.count()))
+    texts = near.join(places.select("a", "key", "rid", F.col("doc_id").alias("at_id")), ["key", "rid"]).where(F.col("doc_id").eqNullSafe(F.col("at_id")))
+    texts, texts_folder = materialize(texts.groupBy("key", "rid").agg(F.first("a").alias("a"), F.first("text").alias("text")).select("a", "text"), "texts")
+    discard(spark, places_folder)
     discard(spark, wanted_folder)
 
     links, link_folders = verify_all(pairs, members, texts, drawn)
