@@ -56,16 +56,21 @@ def marginals(u: np.ndarray, chains: Chains, t: np.ndarray) -> np.ndarray:
     return sigmoid(f + b)
 
 
-def fit(features, labels: np.ndarray, lengths: np.ndarray, n_features: int, *, steps: int = 250, rate: float = 0.15, ridge: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum likelihood by Adam. ``features`` is a dense matrix, or a pair (position, feature) of ones. Returns weights and t."""
+def fit(features, labels: np.ndarray, lengths: np.ndarray, n_features: int, *, steps: int = 250, rate: float = 0.15, ridge: float = 0.3, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum likelihood by Adam. ``features`` is a dense matrix, or a pair (position, feature) of ones. Returns weights and t.
+
+    ``times`` says how often each chain counts, once by default.
+    """
     chains, n = Chains(np.asarray(lengths)), len(labels)
+    often = np.ones(n) if times is None else np.repeat(np.asarray(times, float), lengths)
     y = labels.astype(float)
     sparse = isinstance(features, tuple)
     firsts = np.ones(n, bool)
     firsts[np.cumsum(lengths) - lengths] = False
     later = np.flatnonzero(firsts)
     w, t = np.zeros(n_features), np.zeros(3)
-    seen = np.array([((1 - y[later - 1]) * y[later]).sum(), (y[later - 1] * (1 - y[later])).sum(), (y[later - 1] * y[later]).sum()])
+    between = often[later]
+    seen = np.array([(between * (1 - y[later - 1]) * y[later]).sum(), (between * y[later - 1] * (1 - y[later])).sum(), (between * y[later - 1] * y[later]).sum()])
     m = v = np.zeros(n_features + 3)
     for step in range(1, steps + 1):
         u = np.bincount(features[0], w[features[1]], n) if sparse else features @ w
@@ -74,9 +79,10 @@ def fit(features, labels: np.ndarray, lengths: np.ndarray, n_features: int, *, s
         left, right = f[later - 1], u[later] + b[later]
         scores = np.stack([np.zeros(len(later)), t[0] + right, t[1] + left, t[2] + left + right])
         scores = np.exp(scores - scores.max(axis=0))
-        pairs = (scores / scores.sum(axis=0)).sum(axis=1)[1:] if len(later) else np.zeros(3)
-        gw = np.bincount(features[1], (y - p)[features[0]], n_features) if sparse else features.T @ (y - p)
-        g = (np.concatenate([gw, seen - pairs]) - ridge * np.concatenate([w, t])) / max(1, n)
+        pairs = (scores / scores.sum(axis=0) * between).sum(axis=1)[1:] if len(later) else np.zeros(3)
+        miss = often * (y - p)
+        gw = np.bincount(features[1], miss[features[0]], n_features) if sparse else features.T @ miss
+        g = (np.concatenate([gw, seen - pairs]) - ridge * np.concatenate([w, t])) / max(1.0, often.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, t = w + move[:n_features], t + move[n_features:]

@@ -8,7 +8,8 @@ lines of bad documents that the model calls good change theirs, and the model is
 A document's score is a calibrated function of the forward-backward marginals'
 mean, weighted by the lines' lengths.
 
-Fitted on at most ``most_good`` and ``most_bad`` labelled documents, none of them held out.
+Fitted on at most ``most_good`` and ``most_bad`` labelled documents of ``most_bytes`` together, none of them held out; training
+chains are cut at ``CHAIN`` lines.
 
 Cases: null and empty texts are one empty line. Any length is scored whole. Without labelled
 documents of both classes every score is 0.5. Rows that repeat get equal scores.
@@ -39,8 +40,8 @@ CLASS_OF[list(b"#$%&*+<=>@\\^_`{}~[]/")] = 4
 CLASS_OF[ord("!")], CLASS_OF[ord("|")] = 5, 6
 CLASS_OF[list(b".,;:?")] = 7
 N_OWN = 9
-#: Bytes of text that are looked at together.
-BLOCK = 4 << 20
+#: Characters of text that are looked at together when scoring and when fitting, and lines of a training chain.
+BLOCK, FITTED, CHAIN = 4 << 20, 1 << 18, 256
 
 
 def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,13 +112,14 @@ def fit(rows: list[tuple[str, int]], *, rounds: int = 3) -> LineQuality:
     y = np.array([label for _, label in rows])
     if len(set(y.tolist())) < 2:
         return LineQuality(np.zeros(3 * N_OWN + 1), np.zeros(3), None)
-    texts = [text for text, _ in rows]
-    own, size, n_lines = line_features(texts)
+    at = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array([text for text, _ in rows], pa.large_string())], ["row", "text"])
+    own, size, n_lines = (np.concatenate(part) for part in zip(*(line_features(some) for _, some in blocks(iter([at]), FITTED)), strict=True))
+    chains = np.concatenate([[*[CHAIN] * ((n - 1) // CHAIN), (n - 1) % CHAIN + 1] for n in n_lines.tolist()])
     x, of_text = with_neighbours(own, n_lines), np.repeat(y, n_lines)
     labels = of_text.copy()
     first = np.cumsum(n_lines) - n_lines
     for _ in range(rounds):
-        weights, t = crf.fit(x, labels, n_lines, x.shape[1])
+        weights, t = crf.fit(x, labels, chains, x.shape[1])
         p = crf.marginals(x @ weights, crf.Chains(n_lines), t)
         worst = np.repeat(np.minimum.reduceat(p, first), n_lines)
         labels = np.where((of_text == 0) & (p > 0.9) & (worst < 0.5), 1, of_text)
@@ -165,8 +167,8 @@ def keep_good(df: DataFrame, model: LineQuality, *, threshold: float = 0.3, text
     return df.mapInArrow(keep, df.schema)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, most_good: int = 2000, most_bad: int = 2000) -> LineQuality:
-    return fit(training_texts(docs, labels, "quality", {1: most_good, 0: most_bad}))
+def fit_quality(docs: DataFrame, labels: DataFrame, *, most_good: int = 2000, most_bad: int = 2000, most_bytes: int = 32 << 20) -> LineQuality:
+    return fit(training_texts(docs, labels, "quality", {1: most_good, 0: most_bad}, most_bytes=most_bytes))
 
 
 def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ power of one 2 x 2 matrix, so forward-backward visits only the tokens with featu
 for whole texts of any length. The marginals' largest and their sum become the document's score
 by a calibrated logistic function; tokens with a marginal of 0.5 or more are the spans, as code point offsets.
 
-Fitted on at most ``most_toxic`` and ``most_clean`` labelled documents, none of them held out.
+Fitted on at most ``most_toxic`` and ``most_clean`` labelled documents of ``most_bytes`` together, none of them held out. All
+their tokens count; training chains without features are alike, so those of one length are one chain that counts as often.
 
 Cases: null, empty and blank texts have no tokens and get the score of a text with one plain
 token. Without labelled documents of both classes, or without markers, scores are the share of toxic ones.
@@ -20,6 +21,7 @@ Rows that repeat get equal scores. An empty table gives no rows. Only doc_id and
 
 from __future__ import annotations
 
+import itertools
 import re
 from array import array
 from collections import Counter, defaultdict
@@ -72,9 +74,10 @@ class ToxicSpans:
     calibration: np.ndarray | None
     base_rate: float
     cache: _Potentials | None = field(default=None, repr=False)
+    powers: tuple | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"cache": None}
+        return self.__dict__ | {"cache": None, "powers": None}
 
     def potentials(self, text: str) -> np.ndarray:
         if self.cache is None:
@@ -91,11 +94,13 @@ class ToxicSpans:
 
     def _steps(self, runs: np.ndarray) -> np.ndarray:
         """For each run of plain tokens, the matrix that carries a message across: [from, to], scaled."""
-        plain = np.array([[1.0, np.exp(self.t[0] + self.constant)], [np.exp(self.t[1]), np.exp(self.t[2] + self.constant)]])
-        values, vectors = np.linalg.eig(plain)
-        values, vectors = values.real, vectors.real
-        powers = (values / np.abs(values).max())[None, :] ** runs[:, None]
-        return np.maximum(np.einsum("ij,nj,jk->nik", vectors, powers, np.linalg.inv(vectors)), 1e-300)
+        if self.powers is None:
+            plain = np.array([[1.0, np.exp(self.t[0] + self.constant)], [np.exp(self.t[1]), np.exp(self.t[2] + self.constant)]])
+            values, vectors = np.linalg.eig(plain)
+            values, vectors = values.real, vectors.real
+            self.powers = vectors, values / np.abs(values).max(), np.linalg.inv(vectors)
+        vectors, values, back = self.powers
+        return np.maximum(np.einsum("ij,nj,jk->nik", vectors, values[None, :] ** runs[:, None], back), 1e-300)
 
     def marginals(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the tokens with features, and the probability of each to be toxic given the whole text."""
@@ -137,9 +142,11 @@ class ToxicSpans:
     def summary(self, text: str) -> tuple[float, float, float, float]:
         """The largest marginal, as log odds; the logs of 1 plus their sum, and plus those of 0.5 or more; the log of the text's length."""
         u = self.potentials(text)
-        at, p = self.marginals(u)
-        length = float(np.log1p(len(u))) / 10
-        if not len(at):
+        return self._summed(len(u), self.marginals(u)[1])
+
+    def _summed(self, n_tokens: int, p: np.ndarray) -> tuple[float, float, float, float]:
+        length = float(np.log1p(n_tokens)) / 10
+        if not len(p):
             return self.floor(), 0.0, 0.0, length
         top = min(float(p.max()), 1 - 1e-9)
         return max(self.floor(), np.log(max(top, 1e-9)) - np.log1p(-top)), float(np.log1p(p.sum())), float(np.log1p((p >= 0.5).sum())), length
@@ -147,15 +154,19 @@ class ToxicSpans:
     def floor(self) -> float:
         return max(-20.7, min(0.0, self.constant))
 
+    def read(self, text: str) -> tuple[float, list[tuple[int, int]]]:
+        """The text's score and its toxic spans, from one forward-backward pass."""
+        u = self.potentials(text)
+        at, p = self.marginals(u)
+        score = self.base_rate if self.calibration is None else float(crf.sigmoid(np.dot(self._summed(len(u), p), self.calibration[:-1]) + self.calibration[-1]))
+        wanted = set(at[p >= 0.5].tolist())
+        return score, [(m.start(), m.end()) for i, m in enumerate(TOKEN.finditer(text)) if i in wanted] if wanted else []
+
     def score(self, text: str) -> float:
-        if self.calibration is None:
-            return self.base_rate
-        return float(crf.sigmoid(np.dot(self.summary(text), self.calibration[:-1]) + self.calibration[-1]))
+        return self.read(text)[0]
 
     def spans(self, text: str) -> list[tuple[int, int]]:
-        at, p = self.marginals(self.potentials(text))
-        wanted = set(at[p >= 0.5].tolist())
-        return [(m.start(), m.end()) for i, m in enumerate(TOKEN.finditer(text)) if i in wanted] if wanted else []
+        return self.read(text)[1]
 
 
 def feature_set(text: str) -> set[str]:
@@ -179,20 +190,36 @@ def choose_markers(found: dict[str, set[int]], spread: Counter, n_toxic: int, n_
     return markers
 
 
-def fit(rows: list[tuple[str, int]], *, most_features: int = 4000, most_candidates: int = 40_000) -> ToxicSpans:
-    """Texts are split anew in each pass, so that little is held besides them: ``most_candidates`` features with their toxic documents."""
+class _Counts:
+    """How many texts have a feature, at most: features that fall into one cell are counted together."""
+
+    def __init__(self, cells: int = 1 << 22):
+        self.cells = np.zeros(cells, np.int32)
+
+    def at(self, names_of_text: set[str]) -> np.ndarray:
+        return np.fromiter((hash(n) & (len(self.cells) - 1) for n in names_of_text), np.int64, len(names_of_text))
+
+    def add(self, names_of_text: set[str]) -> None:
+        np.add.at(self.cells, self.at(names_of_text), 1)
+
+
+def fit(rows: list[tuple[str, int]]) -> ToxicSpans:
+    """Texts are split anew in each pass, so that little is held besides them: features with enough support, and their toxic documents."""
     y = np.array([label for _, label in rows])
     rate = float(y.mean()) if len(y) else 0.5
     nothing = ToxicSpans({}, 0.0, np.zeros(3), None, rate)
     if len(set(y.tolist())) < 2:
         return nothing
     toxic, clean = [text for text, label in rows if label], [text for text, label in rows if not label]
-    n1, n0, among = len(toxic), len(clean), Counter()
-    for i, text in enumerate(toxic):
-        among.update(feature_set(text))
-        if i % 200 == 199 and len(among) > 20 * most_candidates:  # what was seen once in all that came before is no candidate
-            among = Counter({n: c for n, c in among.items() if c > 1})
-    among = Counter(dict(sorted(((n, c) for n, c in among.items() if c >= 2), key=lambda x: (-x[1], x[0]))[:most_candidates]))
+    n1, n0, most, among = len(toxic), len(clean), _Counts(), Counter()
+    # Neither a marker nor a kept feature has less support than this.
+    support = max(2, min(0.01 * n1, max(4, 0.004 * n1)))
+    for text in toxic:
+        most.add(feature_set(text))
+    for text in toxic:
+        found = list(feature_set(text))
+        among.update(itertools.compress(found, (most.cells[most.at(found)] >= support).tolist()))
+    among = Counter({n: c for n, c in among.items() if c >= support})
     spread, held = Counter(), defaultdict(set)
     for text in clean:
         spread.update(feature_set(text) & among.keys())
@@ -205,14 +232,14 @@ def fit(rows: list[tuple[str, int]], *, most_features: int = 4000, most_candidat
     del held
     if not markers:
         return nothing
-    kept = [n for n in sorted(promising, key=lambda n: (-odds[n] * among[n], n)) if odds[n] >= 6 and among[n] >= max(4, 0.004 * n1)][:most_features]
+    kept = [n for n in sorted(promising, key=lambda n: (-odds[n] * among[n], n)) if odds[n] >= 6 and among[n] >= max(4, 0.004 * n1)]
     index = {n: i for i, n in enumerate(dict.fromkeys([*markers, *kept]))}
     # Markers explain the documents; what hardly ever occurs in clean ones is as toxic, though a marker explained its documents first.
     constant, marked = len(index), {index[n] for n in (*markers, *(n for n in kept if odds[n] >= 25 and among[n] >= max(5, 0.02 * n1)))}
     known: dict[str, list[int]] = {}
     none: list[int] = []
-    # Chains of CHAIN tokens; of those without any feature, every 16th is enough to learn the plain ones' weight.
-    at, of, labels, lengths, base, turn = array("l"), array("l"), array("b"), [], 0, 0
+    # Chains of CHAIN tokens; those without any feature differ in length alone and are counted.
+    at, of, labels, lengths, base, bare = array("l"), array("l"), array("b"), [], 0, Counter()
     for text, label in rows:
         tokens = text.split()
         for a in range(0, len(tokens), CHAIN):
@@ -221,9 +248,8 @@ def fit(rows: list[tuple[str, int]], *, most_features: int = 4000, most_candidat
                 if token not in known:
                     known[token] = [index[n] for n in names(token) if n in index] or none
             own = [known[token] for token in part]
-            bare = not any(own)
-            turn += bare
-            if bare and turn % 16:
+            if not any(own):
+                bare[len(part)] += 1
                 continue
             for i, features in enumerate(own):
                 at.extend([base + i] * (len(features) + 1))
@@ -234,11 +260,18 @@ def fit(rows: list[tuple[str, int]], *, most_features: int = 4000, most_candidat
             base += len(part)
         if len(known) > CACHED:
             known.clear()
-    weights, t = crf.fit((np.array(at), np.array(of)), np.array(labels), np.array(lengths), constant + 1, steps=80, rate=0.3)
+    times = [1] * len(lengths) + [bare[n] for n in sorted(bare)]
+    for n in sorted(bare):
+        at.extend(range(base, base + n))
+        of.extend([constant] * n)
+        labels.extend([0] * n)
+        lengths.append(n)
+        base += n
+    weights, t = crf.fit((np.array(at), np.array(of)), np.array(labels), np.array(lengths), constant + 1, steps=80, rate=0.3, times=np.array(times))
     model = ToxicSpans({n: float(weights[i]) for n, i in index.items() if abs(weights[i]) > 1e-6}, float(weights[constant]), t, None, rate)
     seen = np.array([model.summary(text) for text, _ in rows])
     model.calibration = crf.fit_logistic(seen, y.astype(float), np.ones(len(y)))
-    model.cache = None
+    model.cache = model.powers = None
     return model
 
 
@@ -248,15 +281,16 @@ def score_toxicity(df: DataFrame, model: ToxicSpans, *, id_column: str = "doc_id
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for ids, texts in blocks(batches):
-            spans = [[{"start": a, "end": b} for a, b in model.spans(text)] for text in texts]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([model.score(text) for text in texts], pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "spans"])
+            read = [model.read(text) for text in texts]
+            spans = [[{"start": a, "end": b} for a, b in found] for _, found in read]
+            yield pa.RecordBatch.from_arrays([ids, pa.array([score for score, _ in read], pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "spans"])
 
     plain = df.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     return plain.mapInArrow(score, "doc_id long, score double, spans array<struct<start: int, end: int>>")
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most_toxic: int = 1500, most_clean: int = 3000) -> ToxicSpans:
-    return fit(training_texts(docs, labels, "toxic", {1: most_toxic, 0: most_clean}))
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most_toxic: int = 1500, most_clean: int = 3000, most_bytes: int = 32 << 20) -> ToxicSpans:
+    return fit(training_texts(docs, labels, "toxic", {1: most_toxic, 0: most_clean}, most_bytes=most_bytes))
 
 
 def op2_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

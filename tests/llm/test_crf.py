@@ -1,10 +1,12 @@
 import itertools
 import random
+import zlib
 
 import numpy as np
 import pytest
 
 from lexispark.llm import crf, line_quality, toxicity
+from lexispark.llm.labelled import training_texts
 
 
 def plain_marginals(u, t):
@@ -97,3 +99,50 @@ def test_line_quality_and_cases(spark):
     assert line_quality.score_quality(df.limit(0), model).count() == 0 and line_quality.keep_good(df.limit(0), model).count() == 0
     toxic = toxicity.score_toxicity(df, toxicity.fit([("x bad1 y", 1), ("x z y", 0), ("bad1 q", 1), ("z q", 0)])).collect()
     assert len(toxic) == len(texts) and all(0 <= r.score <= 1 for r in toxic)
+
+
+def test_chains_that_count_several_times():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(12, 2)), rng.integers(0, 2, 12)
+    once = crf.fit(np.concatenate([x, x[6:], x[6:]]), np.concatenate([y, y[6:], y[6:]]), np.array([6] * 4), 2)
+    often = crf.fit(x, y, np.array([6, 6]), 2, times=np.array([1, 3]))
+    assert np.allclose(once[0], often[0]) and np.allclose(once[1], often[1])
+
+
+def test_training_rows(spark):
+    """Held-out rows are never collected; rows and bytes of a sample are bounded; nulls and repeated rows do no harm."""
+    docs = spark.createDataFrame([(i, f"text {i} " + "x" * (i % 7), "clash") for i in range(200)] + [(None, "none", "c"), (3, None, "c")], "doc_id long, text string, y string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(None, 1), (4, None), (8, 0), (10**6, 1)], "doc_id long, quality int")
+    out = {i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 0}
+    rows = training_texts(docs, labels, "quality", {1: 1000, 0: 1000})
+    ids = {int(text.split()[1]) for text, _ in rows if text}
+    assert ids == set(range(200)) - out and all(label == int(text.split()[1]) % 2 for text, label in rows if text)
+    assert len(training_texts(docs, labels, "quality", {1: 5, 0: 7})) in (12, 13)
+    some = training_texts(docs, labels, "quality", {1: 1000, 0: 1000}, most_bytes=300)
+    assert 0 < sum(len(text) for text, _ in some) <= 300
+    assert training_texts(docs.limit(0), labels, "quality", {1: 5}) == [] == training_texts(docs, labels.limit(0), "quality", {1: 5})
+
+
+def test_queries_keep_their_contract(spark, tmp_path):
+    """One row a document; a held-out document's label changes no score; scores follow the text alone."""
+    rng = random.Random(9)
+    docs, labels = [], []
+    for i in range(120):
+        toxic, bad = i % 3 == 0, i % 4 == 0
+        words = ["w" + "".join(rng.choices("abcdefgh", k=5)) for _ in range(30)]
+        if toxic:
+            words[5] = words[11] = "grumble"
+        docs.append((i, "\n".join(" ".join(words[k : k + 10]) + (" $$$$ !!! ####" if bad else ".") for k in (0, 10, 20)), "en", "s"))
+        labels.append((i, int(not bad), int(toxic)))
+    docs += [(500, None, None, None), (501, "", "", ""), (502, docs[0][1], "xx", "other"), (None, "a b", "en", "s")]
+    for flip in (False, True):
+        rows = [(i, 1 - q, 1 - t) if flip and zlib.crc32(str(i).encode()) % 5 == 0 else (i, q, t) for i, q, t in labels]
+        spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/{flip}/documents.parquet")
+        spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{flip}/labels.parquet")
+    for query, column, limit in ((toxicity.op2_toxicity_crf, 2, 0.5), (line_quality.op10_quality_crf, 1, 0.3)):
+        one, two = ({r.doc_id: r for r in query(spark, f"{tmp_path}/{flip}").collect()} for flip in (False, True))
+        assert one.keys() == {r[0] for r in docs} and all(one[i].score == two[i].score for i in one)
+        assert all(r.predicted == int(r.score >= limit) and 0 <= r.score <= 1 for r in one.values())
+        assert all(r.held_out == (zlib.crc32(str("" if i is None else i).encode()) % 5 == 0) for i, r in one.items())
+        assert one[502].score == one[0].score
+        assert all(one[row[0]].predicted == row[column] for row in labels)
