@@ -15,11 +15,13 @@ ranges of doc_id, and each task streams its sorted range into files.
 Cases: a null text is an empty document (its end id alone). Null doc_ids come
 first. Rows with the same doc_id stay apart, ordered by text. An empty table gives
 no shards and no rows. Texts of any length are encoded whole, a stretch at a time.
+Reading goes through the select samples, some thousands of documents at a time; no table of all offsets is made.
 Columns other than the two named ones are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import struct
 import uuid
@@ -37,8 +39,8 @@ from .shared import documents, new_folder
 
 MAGIC = b"LXTOKEF1"
 EVERY = 256
-STRETCH = 1 << 20
-CACHED_WORDS = 1_000_000
+#: Characters that are encoded together, words in the younger half of the cache, documents of a shard at most.
+STRETCH, CACHED_WORDS, SHARD_DOCS = 1 << 22, 500_000, 1 << 22
 #: ASCII marks but the apostrophe: after letters, a run of them is a word of its own to the tokenizer.
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
@@ -57,8 +59,10 @@ class EliasFano:
         if not n:
             return cls(0, 0, b"", b"", b"")
         low_bits = max(0, (int(v[-1]) // n).bit_length() - 1)
-        bits = (v[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)
-        low = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+        shifts, low = np.arange(low_bits, dtype=np.uint64), b""
+        for first in range(0, n, 1 << 16):  # whole bytes each
+            bits = (v[first : first + (1 << 16), None] >> shifts) & np.uint64(1)
+            low += np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
         at = (v >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         ones = np.zeros(int(at[-1]) + 1, np.uint8)
         ones[at] = 1
@@ -89,22 +93,35 @@ class EliasFano:
             base = byte * 8
             ones = np.unpackbits(self.high[byte : byte + 1], bitorder="little")
 
-    def all(self) -> np.ndarray:
-        if not self.n:
+    def slice(self, first: int, stop: int) -> np.ndarray:
+        """Values first to stop - 1, decoded from the sampled position before the first to the one after the last."""
+        if not 0 <= first < stop <= self.n:
             return np.zeros(0, np.int64)
-        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
+        sample, after = first // EVERY, -(-stop // EVERY)
+        begin = int(self.samples[sample])
+        end = int(self.samples[after]) if after < len(self.samples) else len(self.high) * 8
+        ones = np.flatnonzero(np.unpackbits(self.high[begin // 8 : (end + 7) // 8], bitorder="little")) + begin // 8 * 8
+        ones = ones[np.searchsorted(ones, begin) + first - sample * EVERY :][: stop - first]
+        high = ones - np.arange(first, stop)
         if not self.low_bits:
             return high.astype(np.int64)
-        bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_bits]
+        bit = first * self.low_bits
+        raw = np.frombuffer(self.low[bit // 8 : (stop * self.low_bits + 7) // 8], np.uint8)
+        bits = np.unpackbits(raw, bitorder="little")[bit % 8 :][: (stop - first) * self.low_bits]
         weights = np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64)
-        low = (bits.reshape(self.n, self.low_bits).astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64)
+        low = (bits.reshape(stop - first, self.low_bits).astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64)
         return ((high.astype(np.uint64) << np.uint64(self.low_bits)) | low).astype(np.int64)
 
+    def all(self) -> np.ndarray:
+        return self.slice(0, self.n)
+
 
 class Encoder:
-    """Whole texts to id bytes. The tokenizer never looks across a space, so what stands between spaces is encoded once and kept.
+    """Whole texts to id bytes. The tokenizer never looks across a space, so what stands between spaces is encoded once in a group of texts, and kept.
 
-    Words of plain letters are encoded many at a time; each ends at the id whose token carries the end-of-word mark.
+    Words of plain letters are encoded many at a time, without the tokenizer's own search for words, which these already
+    are; each ends at the id whose token carries the end-of-word mark. The cache has a younger and an older half; what is
+    used again moves to the younger one.
     """
 
     def __init__(self, path: str):
@@ -117,56 +134,111 @@ class Encoder:
         for token, i in vocabulary.items():
             self.word_end[i] = token.endswith("</w>")
         self.batched = self.word_end.any()
+        whole_words = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        rules = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": whole_words}}
+        self.of_words = Tokenizer.from_str(json.dumps(rules)) if self.batched else self.tokenizer
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _learn(self, chunks: set[str]) -> None:
-        known, words, later = self.known, set(), []
-        for chunk in chunks:
+        known, older = self.known, self.older
+        again = older.keys() & chunks
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        chunks = chunks - again
+        if not self.batched:
+            known.update((chunk, self._plain(chunk)) for chunk in chunks)
+            return
+        words = set(filter(str.islower, filter(str.isascii, filter(str.isalpha, chunks))))
+        later = []
+        for chunk in chunks - words:
             word = chunk.rstrip(MARKS)
-            mark = chunk[len(word) :]
-            if self.batched and word.isalpha() and max(word) < "ɐ" and "İ" not in word:
-                word = word.lower()
-                if word not in known:
-                    words.add(word)
-                if word != chunk:
-                    later.append((chunk, word, mark))
+            if word.isalpha() and (word.isascii() or (max(word) < "ɐ" and "İ" not in word)):
+                later.append((chunk, word.lower(), chunk[len(word) :]))
             else:
                 known[chunk] = self._plain(chunk)
+        words.update(word for _, word, _ in later if word not in known)
         if words:
             listed = list(words)
-            ids = np.array(self.tokenizer.encode(" ".join(listed), add_special_tokens=False).ids, self.dtype)
+            ids = np.array(self.of_words.encode_batch_fast([" ".join(listed)], add_special_tokens=False)[0].ids, self.dtype)
             ends = np.flatnonzero(self.word_end[ids]) + 1
             if len(ends) == len(listed):
-                raw, step, first = ids.tobytes(), ids.itemsize, 0
-                for word, end in zip(listed, (ends * step).tolist(), strict=True):
-                    known[word] = raw[first:end]
-                    first = end
+                raw, edges = ids.tobytes(), [0, *(ends * ids.itemsize).tolist()]
+                known.update(zip(listed, map(raw.__getitem__, map(slice, edges, edges[1:])), strict=True))
             else:
                 for word in listed:
                     known[word] = self._plain(word)
         for chunk, word, mark in later:
-            if mark and mark not in known:
+            if mark not in known:
                 known[mark] = self._plain(mark)
             known[chunk] = known[word] + known[mark]
 
+    def _group(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text: different words are looked up once, and their ids then put in place of all words."""
+        raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8).copy()
+        raw[raw == 10] = 32
+        ends = np.flatnonzero(raw == 32) + 1
+        offsets = np.concatenate([[0], ends]).astype(np.int64)
+        # Each word keeps the space behind it, so that the bytes stay where they are.
+        words = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(raw)).dictionary_encode()
+        different = words.dictionary.buffers()[2].to_pybytes().decode().split(" ")[:-1]
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.older = {"": b""}, self.known
+        if new := set(different).difference(self.known):
+            self._learn(new)
+        found = [self.known[word] for word in different]
+        ids = np.frombuffer(b"".join(found), self.dtype)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // ids.itemsize
+        at = words.indices.to_numpy()
+        count = size[at]
+        until = np.cumsum(count)
+        ids = ids[np.repeat((np.cumsum(size) - size)[at] - until + count, count) + np.arange(until[-1])]
+        last = np.searchsorted(ends, np.cumsum([len(text) + 1 for text in texts]))
+        edges = [0, *until[last].tolist()]
+        return [ids[a:z].tobytes() for a, z in itertools.pairwise(edges)]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as bytes; texts of about ``STRETCH`` characters are encoded together, longer ones in stretches."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        of, group, size = [], [], 0
+
+        def flush() -> None:
+            for i, ids in zip(of, self._group(group) if group else [], strict=True):
+                out[i].append(ids)
+            of.clear()
+            group.clear()
+
+        for i, text in enumerate(texts):
+            # The tokenizer lowers letters itself, but knows its control tokens by their case; beyond ASCII, order matters.
+            if text.isascii() and "<|" not in text:
+                text = text.lower()
+            at = 0
+            while at < len(text):
+                cut = len(text) if len(text) - at <= STRETCH else text.find(" ", at + STRETCH)
+                cut = len(text) if cut < 0 else cut
+                of.append(i)
+                group.append(text[at:cut].encode())
+                size, at = size + cut - at, cut
+                if size >= STRETCH:
+                    flush()
+                    size = 0
+        flush()
+        return [parts[0] if len(parts) == 1 else b"".join(parts) for parts in out]
+
     def encode(self, text: str) -> bytes:
-        out, at = [], 0
-        while at < len(text):
-            cut = len(text) if len(text) - at <= STRETCH else text.find(" ", at + STRETCH)
-            cut = len(text) if cut < 0 else cut
-            chunks = text[at:cut].replace("\n", " ").split(" ")
-            try:
-                out.append(b"".join(map(self.known.__getitem__, chunks)))
-            except KeyError:
-                if len(self.known) > CACHED_WORDS:
-                    self.known = {"": b""}
-                self._learn(set(chunks).difference(self.known))
-                out.append(b"".join(map(self.known.__getitem__, chunks)))
-            at = cut
-        return b"".join(out)
+        return self.encode_all([text])[0]
+
+
+#: Encoders by path: a worker keeps what it has learned from one task to the next.
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -242,9 +314,16 @@ class Shard:
     def offset(self, i: int) -> int:
         return self.ends.select(i - 1) if i else 0
 
-    def doc_ids(self) -> list[int | None]:
-        known = (self._ids.all().astype(np.uint64) + np.array(self.footer["base"], np.int64).astype(np.uint64)).astype(np.int64)
-        return [None] * self.footer["nulls"] + known.tolist()
+    def doc_ids(self, first: int, stop: int) -> list[int | None]:
+        """The ids of documents first to stop - 1; null ones stand first in a shard."""
+        nulls = self.footer["nulls"]
+        known = self._ids.slice(max(0, first - nulls), max(0, stop - nulls))
+        known = (known.astype(np.uint64) + np.array(self.footer["base"], np.int64).astype(np.uint64)).astype(np.int64)
+        return [None] * (min(stop, nulls) - min(first, nulls)) + known.tolist()
+
+    def offsets(self, first: int, stop: int) -> np.ndarray:
+        """Where documents first to stop - 1 begin, and where the last one ends."""
+        return np.concatenate([[self.offset(first)], self.ends.slice(first, stop)])
 
     def ids(self, i: int) -> np.ndarray:
         return self.span(self.offset(i), self.offset(i + 1))
@@ -265,24 +344,23 @@ def write_token_shards(df: DataFrame, folder: str, tokenizer: str, *, end_id: in
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, writer, done = None, None, []
+        writer, done = None, []
         task = TaskContext.get().partitionId()
 
         def finish() -> None:
             done.append((task, len(done), uri, *writer.close()))
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    if encoder is None:
-                        encoder = Encoder(tokenizer)
-                        end = np.array([end_id], encoder.dtype).tobytes()
+            for at in range(0, batch.num_rows, 4096):
+                some = batch.slice(at, 4096)
+                encoder = encoder_of(tokenizer)
+                end = np.array([end_id], encoder.dtype).tobytes()
+                for doc_id, ids in zip(some.column(0).to_pylist(), encoder.encode_all(some.column(1).to_pylist()), strict=True):
                     if writer is None:
                         uri = f"{folder}/shard-{task:06d}-{len(done):04d}.tok"
                         writer = ShardWriter(uri, encoder.dtype)
-                    writer.add(doc_id, encoder.encode(text) + end)
-                    if writer.bytes >= shard_bytes:
+                    writer.add(doc_id, ids + end)
+                    if writer.bytes >= shard_bytes or len(writer.ends) >= SHARD_DOCS:
                         finish()
                         writer = None
         if writer is not None:
@@ -305,20 +383,20 @@ def read_token_shards(spark: SparkSession, manifest: list[tuple[str, int, int]],
         for batch in batches:
             for uri, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard = Shard(uri)
-                ends = shard.ends.all()
-                begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                doc_ids, at, n = shard.doc_ids(), 0, len(ends)
-                while at < n:
-                    stop = max(at + 1, int(np.searchsorted(ends, begins[at] + block, "right")))
-                    ids = memoryview(shard.span(int(begins[at]), int(ends[stop - 1])).astype("<u4")).cast("B")
-                    here = (begins[at:stop] - begins[at]) * 4
-                    to = (ends[at:stop] - begins[at]) * 4
-                    crc = [zlib.crc32(ids[a:b]) for a, b in zip(here.tolist(), to.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc_ids[at:stop], pa.int64()), pa.array(begins[at:stop] + first), pa.array(ends[at:stop] - begins[at:stop]), pa.array(crc, pa.int64()), pa.array([uri] * (stop - at))],
-                        ["doc_id", "start", "n_tokens", "ids_crc32", "file"],
-                    )
-                    at = stop
+                for low in range(0, len(shard), 16 * EVERY):
+                    high = min(len(shard), low + 16 * EVERY)
+                    edges, doc_ids, at = shard.offsets(low, high), shard.doc_ids(low, high), 0
+                    begins, ends = edges[:-1], edges[1:]
+                    while at < high - low:
+                        stop = max(at + 1, int(np.searchsorted(ends, begins[at] + block, "right")))
+                        ids = memoryview(shard.span(int(begins[at]), int(ends[stop - 1])).astype("<u4")).cast("B")
+                        here, to = (begins[at:stop] - begins[at]) * 4, (ends[at:stop] - begins[at]) * 4
+                        crc = [zlib.crc32(ids[a:b]) for a, b in zip(here.tolist(), to.tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(doc_ids[at:stop], pa.int64()), pa.array(begins[at:stop] + first), pa.array(ends[at:stop] - begins[at:stop]), pa.array(crc, pa.int64()), pa.array([uri] * (stop - at))],
+                            ["doc_id", "start", "n_tokens", "ids_crc32", "file"],
+                        )
+                        at = stop
 
     files = spark.createDataFrame(starts, "file string, base long")
     if len(starts) > 1:

@@ -19,6 +19,9 @@ def test_elias_fano(values):
     back = tf.EliasFano(ef.n, ef.low_bits, *ef.parts())
     assert back.all().tolist() == values
     assert [back.select(i) for i in range(len(values))] == values
+    for first in range(0, len(values), 97):
+        for stop in {first + 1, min(len(values), first + 256), len(values)}:
+            assert back.slice(first, stop).tolist() == values[first:stop]
     with pytest.raises(IndexError):
         back.select(len(values))
 
@@ -27,15 +30,26 @@ def test_encoder_equals_whole_texts():
     encoder = tf.Encoder(tf.default_tokenizer())
     texts = ["", " ", "The the, THE. it's don't 'tis a1b2 ... ?! x.y,z", "Straße ÉTÉ İstanbul ΑΣ ς naïve é ́x \x1c\x85\xa0  y", "<|endoftext|> a<|startoftext|>b", "日本語 テスト, 한국어.", "a\tb\r\nc\n\nd", "emoji 😀😀, 👩‍👩‍👧."]
     texts.append(" ".join(f"wort{i} anou{chr(97 + i % 26)}ble, Foo." for i in range(3000)))
-    for text in texts:
-        assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    whole = [encoder.tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    assert [np.frombuffer(encoder.encode(text), encoder.dtype).tolist() for text in texts] == whole
+    for fresh in (encoder, tf.Encoder(tf.default_tokenizer())):
+        assert [np.frombuffer(ids, fresh.dtype).tolist() for ids in fresh.encode_all(texts)] == whole
 
 
 def test_long_text_in_stretches(monkeypatch):
+    """Stretches end at spaces, and a cache that is too small forgets without harm."""
     monkeypatch.setattr(tf, "STRETCH", 50)
+    monkeypatch.setattr(tf, "CACHED_WORDS", 40)
     test_encoder_equals_whole_texts()
 
 
+@given(st.lists(st.text(alphabet="aBzÉßıİ'!.,;_-&@09 \n\t", max_size=40), max_size=20))
+@settings(max_examples=200, deadline=None)
+def test_encoder_on_any_texts(texts):
+    encoder = tf.encoder_of(tf.default_tokenizer())
+    assert [np.frombuffer(ids, encoder.dtype).tolist() for ids in encoder.encode_all(texts)] == [encoder.tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+
+
 def test_round_trip_and_cases(spark):
     rows = [(5, "five five", "x", "y"), (None, "no id", "x", None), (3, None, None, "y"), (3, "b", "", ""), (3, "a", "", ""), (3, "a", "", ""), (-(2**63), "low", "", ""), (2**63 - 1, "high", "", ""), (7, "word " * 30000, "", "")]
     df = spark.createDataFrame(rows, SCHEMA)
@@ -48,6 +62,8 @@ def test_round_trip_and_cases(spark):
         expected.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert got == expected
-    shard = tf.Shard(manifest[0][0])
+    shards = [tf.Shard(file) for file, _, _ in manifest]
+    assert [i for shard in shards for i in shard.doc_ids(0, len(shard))] == [row[0] for row in expected]
+    shard = shards[0]
     assert [shard.ids(i).tolist()[-1] for i in range(len(shard))] == [1] * len(shard)
     assert tf.read_token_shards(spark, tf.write_token_shards(df.limit(0), folder + "e", tf.default_tokenizer())).count() == 0
