@@ -9,13 +9,14 @@ end inside it (length bound); then the words themselves are compared.
 
 The exploded words stay inside one generated stage: explode, hash probe, bounds and
 comparison are one pass without a shuffle, and only true occurrences leave it.
-The windows are broadcast when counted to be at most ``broadcast_windows``;
-a larger benchmark is joined by a shuffle on the shingle's hash.
+The windows are broadcast when their words are counted to be at most ``broadcast_bytes``.
+With a larger benchmark, places and hashes alone are shuffled on the hash, within bounds; then the words of documents
+with such a place are fetched and compared.
 
 Cases: a null or wordless text has no words and no hits. Items without words are
 ignored; equal items all count. Rows that share doc_id and text get the same
-result each; null doc_ids are kept. Empty tables give no rows, or no hits. Other
-columns are ignored.
+result each; null doc_ids are kept. Texts of any length are split whole. Empty tables give no rows, or no hits. Other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, materialize
+from .shared import documents, materialize, may_hold
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -54,11 +55,13 @@ def benchmark_windows(items: DataFrame, window: int, id_column: str, text_column
     return each.select("item_id", "item_key", "w", F.slice("all_words", F.col("w") + 1, F.lit(window)).alias("words")).withColumn("k", F.least(F.size("words"), F.lit(SHINGLE)))
 
 
-def find_hits(docs: DataFrame, items: DataFrame, *, window: int = 13, id_column: str = "doc_id", text_column: str = "text", item_id_column: str = "item_id", item_text_column: str = "text", broadcast_windows: int = 500_000) -> DataFrame:
+def find_hits(docs: DataFrame, items: DataFrame, *, window: int = 13, id_column: str = "doc_id", text_column: str = "text", item_id_column: str = "item_id", item_text_column: str = "text", broadcast_bytes: int = 32 << 20) -> DataFrame:
     """Per document with hits: doc_id, text_key, n_hit, items (ids as sorted strings)."""
     windows, _ = materialize(benchmark_windows(items, window, item_id_column, item_text_column), "windows")
-    shape = windows.agg(F.count(F.lit(1)).alias("n"), F.collect_set("k").alias("ks")).first()
-    small = F.broadcast if shape.n <= broadcast_windows else (lambda df: df)
+    held = F.octet_length(F.array_join("words", " ")) + 16 * F.size("words") + F.octet_length("item_id") + 64
+    shape = windows.agg(F.sum(held).alias("held"), F.collect_set("k").alias("ks")).first()
+    fits_in_task = (shape.held or 0) <= broadcast_bytes
+    small = F.broadcast if fits_in_task else (lambda df: df)
     shingles = windows.select("*", F.posexplode(F.expr("transform(sequence(0, size(words) - k), o -> slice(words, o + 1, k))")).alias("offset", "shingle"))
     texts = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("text_key"), split_words(F.col(text_column)).alias("doc_words")).where("doc_words is not null")
     found = None
@@ -69,8 +72,17 @@ def find_hits(docs: DataFrame, items: DataFrame, *, window: int = 13, id_column:
         rarest = of_k.join(counts, "h").groupBy("item_id", "item_key", "w", "words").agg(F.min_by(F.struct("h", "offset"), F.struct("n", "offset")).alias("r"))
         prefix, _ = materialize(rarest.select("item_id", "words", F.col("r.h").alias("h"), F.col("r.offset").alias("offset")), "rarest")
         start = F.col("at") - F.col("offset")
-        fits = (start >= 0) & (start + F.size("words") <= F.size("doc_words"))
-        hits = positions.join(small(prefix), "h").where(F.when(fits, F.slice("doc_words", start + 1, F.size("words")) == F.col("words")).otherwise(False))
+        fits = (start >= 0) & (start + F.size("words") <= F.col("n_doc"))
+        same = F.slice("doc_words", start + 1, F.size("words")) == F.col("words")
+        positions = positions.withColumn("n_doc", F.size("doc_words"))
+        if fits_in_task:
+            hits = positions.join(F.broadcast(prefix), "h").where(F.when(fits, same).otherwise(False))
+        else:
+            near = positions.select(F.col("doc_id").alias("near_id"), F.col("text_key").alias("near_key"), "at", "h", "n_doc").join(prefix, "h").where(fits)
+            near, _ = materialize(near.withColumn("near", F.xxhash64("near_id", "near_key")), "near")
+            wanted = near.select("near").distinct()
+            whole = texts.withColumn("mark", F.xxhash64("doc_id", "text_key")).where(may_hold(wanted.withColumnRenamed("near", "mark"), "mark", wanted.count())).dropDuplicates(["doc_id", "text_key"])
+            hits = near.join(whole, F.col("near_id").eqNullSafe(F.col("doc_id")) & (F.col("near_key") == F.col("text_key"))).where(same)
         hits = hits.select("doc_id", "text_key", start.alias("start"), F.size("words").alias("length"), "item_id")
         found = hits if found is None else found.unionByName(hits)
     grouped = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
@@ -81,9 +93,9 @@ def find_hits(docs: DataFrame, items: DataFrame, *, window: int = 13, id_column:
     return grouped.select("doc_id", "text_key", covered.alias("n_hit"), "items")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 13, id_column: str = "doc_id", text_column: str = "text", item_id_column: str = "item_id", item_text_column: str = "text", broadcast_windows: int = 500_000) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 13, id_column: str = "doc_id", text_column: str = "text", item_id_column: str = "item_id", item_text_column: str = "text", broadcast_bytes: int = 32 << 20) -> DataFrame:
     """Per document: doc_id, text_key (hash of its text), n_words, n_hit, items, contaminated (a twentieth of its words or more is hit)."""
-    hits = find_hits(docs, items, window=window, id_column=id_column, text_column=text_column, item_id_column=item_id_column, item_text_column=item_text_column, broadcast_windows=broadcast_windows)
+    hits = find_hits(docs, items, window=window, id_column=id_column, text_column=text_column, item_id_column=item_id_column, item_text_column=item_text_column, broadcast_bytes=broadcast_bytes)
     every = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("text_key"), F.coalesce(F.regexp_count(text_column, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     h = hits.withColumnRenamed("doc_id", "hit_id").withColumnRenamed("text_key", "hit_key")
     both = every.join(h, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left")
@@ -94,7 +106,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 13, id_col
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, *, window: int = 13, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, all columns."""
     found = decontaminate(docs, items, window=window, id_column=id_column, text_column=text_column).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
-    return docs.join(found, F.col(id_column).eqNullSafe(F.col("bad_id")) & (F.xxhash64(text_column) == F.col("bad_key")), "left_anti")
+    # All columns travel in one struct, so their names can't clash with these.
+    keyed = docs.select(F.col(id_column).alias("key_id"), F.xxhash64(text_column).alias("key"), F.struct("*").alias("row"))
+    return keyed.join(found, F.col("key_id").eqNullSafe(F.col("bad_id")) & (F.col("key") == F.col("bad_key")), "left_anti").select("row.*")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
