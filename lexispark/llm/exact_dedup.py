@@ -9,9 +9,10 @@ A lookup hashes to one slot and compares all 32 bytes, since a
 minimal perfect hash sends strangers to some slot too. Members are repeats of that
 slot's winner; the others are grouped among themselves.
 
-A large group of copies is summed before the shuffle when the index is built, and its
-lookups are spread over ``SALTS`` pieces of each segment, so no task gets it whole; a
-task holds one segment at a time.
+A large group of copies is summed before the shuffle when the index is built. Digests with more than a
+2,048th of all rows, 2,048 of them at most, are counted first, and their lookups dealt over as many pieces as they need, so no
+task gets such a group whole; a task holds one segment at a time. Every segment has a file, an empty one too, and one that is
+gone is an error.
 
 Cases: a null text counts as empty. The smallest doc_id of a group stays; null is
 larger than any. Rows that repeat both doc_id and text: one of them is kept. An
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 from .shared import documents, materialize, new_folder
 
 MAGIC = b"LXMPHSEG"
-SEGMENT_KEYS, SALTS, LEVELS = 16_384, 32, 48
+SEGMENT_KEYS, LEVELS = 16_384, 48
+#: A group of copies is large with more than this share of all rows and this many rows; its pieces have so many.
+SHARE, PIECE_ROWS = 2048, 512
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -165,7 +168,7 @@ def build_index(digests: DataFrame, *, segment_keys: int = SEGMENT_KEYS) -> Inde
         now, held, done = None, [], []
 
         def finish() -> None:
-            digests, winners, counts = (pa.concat_arrays([b.column(i) for b in held]) for i in range(3))
+            digests, winners, counts = (pa.concat_arrays([b.column(i).filter(b.column(0).is_valid()) for b in held]) for i in range(3))
             files, path = pafs.FileSystem.from_uri(f"{folder}/{now:08d}.mph")
             files.create_dir(path.rpartition("/")[0], recursive=True)
             part = f"{path}.{uuid.uuid4().hex}.part"
@@ -189,16 +192,31 @@ def build_index(digests: DataFrame, *, segment_keys: int = SEGMENT_KEYS) -> Inde
             finish()
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32())], ["segment"])
 
-    dealt = history.withColumn("segment", index.segment_of()).repartition("segment").sortWithinPartitions("segment")
+    # A row without a digest stands for each segment, so that empty ones get their file.
+    marks = spark.range(index.segments).select(F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("winner"), F.lit(0).cast("long").alias("n"), F.col("id").cast("int").alias("segment"))
+    dealt = history.withColumn("segment", index.segment_of()).unionByName(marks).repartition("segment").sortWithinPartitions("segment")
     dealt.mapInArrow(write, "segment int").count()
     return index
 
 
-def look_up(digests: DataFrame, index: Index) -> DataFrame:
+def large_groups(digests: DataFrame) -> DataFrame:
+    """Digests with more than their share of rows, at most ``SHARE`` of them, and the number of pieces of each."""
+    groups, _ = materialize(digests.groupBy("digest").agg(F.count(F.lit(1)).alias("rows")), "groups")
+    piece = max(PIECE_ROWS, (groups.agg(F.sum("rows")).first()[0] or 0) // SHARE)
+    return groups.where(F.col("rows") > piece).select("digest", F.ceil(F.col("rows") / piece).cast("int").alias("pieces"))
+
+
+def dealt_by(digests: DataFrame, large: DataFrame) -> DataFrame:
+    """Adds ``salt``, 0 but for rows of large groups."""
+    return digests.join(F.broadcast(large), "digest", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("pieces", F.lit(1))).cast("int")).drop("pieces")
+
+
+def look_up(digests: DataFrame, index: Index, large: DataFrame) -> DataFrame:
     """Adds to doc_id, digest: member, winner, n (the winner's rows in the history), first (false for a row that repeats another's doc_id and digest)."""
     folder, schema = index.folder, "doc_id long, digest binary, member boolean, winner long, n long, first boolean"
-    dealt = digests.withColumn("segment", index.segment_of()).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    dealt = dealt.repartition("segment", "salt").sortWithinPartitions("segment", "digest", F.asc_nulls_first("doc_id"))
+    dealt = dealt_by(digests, large).select("doc_id", "digest", index.segment_of().alias("segment"), "salt")
+    dealt, n_segments = dealt.repartition("segment", "salt"), index.segments
+    dealt = dealt.sortWithinPartitions("segment", "digest", F.asc_nulls_first("doc_id"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, segment, last = None, None, None
@@ -211,8 +229,7 @@ def look_up(digests: DataFrame, index: Index) -> DataFrame:
                 if now != segments[a]:
                     now = int(segments[a])
                     files, path = pafs.FileSystem.from_uri(f"{folder}/{now:08d}.mph")
-                    known = files.get_file_info(path).type == pafs.FileType.File
-                    segment = Segment.load(files.open_input_file(path).read()) if known else None
+                    segment = Segment.load(files.open_input_file(path).read()) if n_segments else None
                 some = batch.slice(a, b - a)
                 slots = segment.find(_words(some.column(1))) if segment else np.full(b - a, -1)
                 member = slots >= 0
@@ -236,10 +253,12 @@ def deduplicate(digests: DataFrame, index: Index) -> DataFrame:
     A member's keep_id and group_size are the history's, and it is kept only if it is
     that winner itself; the others are grouped among themselves.
     """
-    found, _ = materialize(look_up(digests, index), "found")
+    large, _ = materialize(large_groups(digests), "large")
+    found, _ = materialize(look_up(digests, index, large), "found")
     members = found.where("member").select("doc_id", "digest", "member", F.col("winner").alias("keep_id"), F.col("n").alias("group_size"), (F.col("doc_id").eqNullSafe(F.col("winner")) & F.col("first")).alias("kept"))
-    others = found.where("not member").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    groups = others.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    others = dealt_by(found.where("not member"), large)
+    groups = others.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = groups.join(F.broadcast(large), "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))).drop("pieces")
     grouped = others.join(groups, ["digest", "salt"]).select("doc_id", "digest", "member", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("first")).alias("kept"))
     return members.unionByName(grouped)
 
