@@ -55,11 +55,12 @@ TAG = re.compile(r"<(?P<name>[A-Za-z_][\w.-]*+)[^<>]*+>(?P<held>[^<>]++)</(?P=na
 GOES_ON = {"\\", "|", "|-", "-"}
 #: Small letters of what an ``assign`` match must contain.
 HINTS = ("passw", "secret", "token", "api_key", "apikey")
+#: No branch gives back what it took, so a line is read in time proportional to its length.
 TOKEN = re.compile(
     r"""(?P<string>[rbfuRBFU]{0,2}(?P<quote>'''|\"\"\"|"|'|`)(?P<body>(?:\\.|(?!(?P=quote)).)*)(?P<close>(?P=quote))?)"""
-    r"""|(?P<tag><(?P<tagname>[A-Za-z_][\w.-]*)[^<>]*>(?P<tagged>[^<>]+)</(?P=tagname)\s*>)"""
-    r"""|(?P<option>--(?P<optname>[A-Za-z][\w-]*)(?:=|\s+))"""
-    r"""|(?P<ref>\$\{(?P<refname>[A-Za-z_][\w.]*)[^}\s]*\}|\$(?P<refbare>[A-Za-z_]\w*))"""
+    r"""|(?P<tag><(?P<tagname>[A-Za-z_][\w.-]*+)[^<>]*+>(?P<tagged>[^<>]++)</(?P=tagname)\s*+>)"""
+    r"""|(?P<option>--(?P<optname>[A-Za-z][\w-]*+)(?:=|\s++))"""
+    r"""|(?P<ref>\$\{(?P<refname>[A-Za-z_][\w.]*+)[^{}\s]*+(?:\{[^{}\s]*+\}[^{}\s]*+)?+\}|\$(?P<refbare>[A-Za-z_]\w*+))"""
     r"""|(?P<op>:=|=>|->|==+|!=|<=|>=|\+=|\?\?|=|:|\+)"""
     r"""|(?P<name>[A-Za-z_][\w]*(?:[.-][A-Za-z_]\w*)*)"""
     r"""|(?P<comment>(?:#|//)\s?)"""
