@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyarrow import fs as pafs
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -79,3 +80,26 @@ def test_dedup(spark):
     later = ed.deduplicate(digests.where(F.col("doc_id") >= 40), ed.build_index(history)).collect()
     assert all(not r.kept and r.keep_id < 40 for r in later if r.member)
     assert ed.deduplicate(digests.limit(0), ed.build_index(history)).count() == 0
+
+
+def test_lost_segment_is_an_error(spark):
+    digests = ed.digests_of(spark.createDataFrame([(i, f"text {i % 50}") for i in range(100)], "doc_id long, text string"))
+    index = ed.build_index(digests, segment_keys=2)
+    files, path = pafs.FileSystem.from_uri(index.folder)
+    found = sorted(f.path for f in files.get_file_info(pafs.FileSelector(path)) if f.path.endswith(".mph"))
+    assert len(found) == index.segments == 25
+    files.delete_file(found[3])
+    with pytest.raises(Exception, match="mph"):
+        ed.deduplicate(digests, index).collect()
+
+
+def test_large_group_of_copies(spark, monkeypatch):
+    """A group with more than its share of rows is dealt over several pieces; members and strangers get the same result."""
+    monkeypatch.setattr(ed, "PIECE_ROWS", 8)
+    rows = [(i, "same text" if i % 3 else f"other {i}") for i in range(150)] + [(None, "same text"), (4, "same text")]
+    digests = ed.digests_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    for history in (digests, digests.limit(0)):
+        got = ed.deduplicate(digests, ed.build_index(history)).collect()
+        same = [r for r in got if r.group_size > 1]
+        assert len(got) == len(rows) and len(same) == 102 and {(r.keep_id, r.group_size) for r in same} == {(1, 102)}
+        assert [r.doc_id for r in same if r.kept] == [1] and sum(r.kept for r in got) == 51

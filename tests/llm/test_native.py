@@ -68,6 +68,15 @@ def test_mixture(spark, seed):
     assert repeated.columns == df.columns and repeated.count() == sum(r.copies for r in got)
 
 
+def test_many_sizes_in_a_source(spark):
+    """More sizes than a block of the fold."""
+    df = spark.createDataFrame([(i, "ab"[i % 2], "w " * i) for i in range(2600)], "doc_id long, source string, text string")
+    got = mx.mix_sources(df).collect()
+    for source in "ab":
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 12
+
+
 def test_empty_mixture(spark):
     df = spark.createDataFrame([], "doc_id long, source string, text string")
     assert mx.mix_sources(df).count() == 0
@@ -112,6 +121,61 @@ def test_capacity_is_the_least(spark, seed):
     assert len(starts) - 1 <= k and all(sum(sizes[a:b]) <= least for a, b in zip(starts, starts[1:]))
 
 
+def least_capacity(sizes, k):
+    def shards(capacity):
+        n, now = 1, 0
+        for s in sizes:
+            if now + s > capacity:
+                n, now = n + 1, 0
+            now += s
+        return n
+
+    lo, hi = max([*sizes, -(-sum(sizes) // k)]), sum(sizes)
+    while lo < hi:
+        lo, hi = (lo, (lo + hi) // 2) if shards((lo + hi) // 2) <= k else ((lo + hi) // 2 + 1, hi)
+    return lo
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_capacity_is_the_least_for_groups(spark, seed):
+    """Many groups in a cell: only those around cuts are told apart, and the capacity is still that of single groups."""
+    rng = random.Random(seed)
+    groups = {rng.getrandbits(64) - 2**63: rng.choice([9, 40, rng.randrange(9, 900)]) for _ in range(800)}
+    rows = spark.createDataFrame([(key, size) for key, size in groups.items() for _ in range(rng.randrange(1, 3))], "text_key long, size long")
+    sizes = Counter()
+    for r in rows.collect():
+        sizes[r.text_key] += r.size
+    ordered = sorted(sizes)
+    capacity, cuts, cells = ms.plan_groups(rows, 7, top=60, step=2)
+    assert cells.count() <= 16 and capacity == least_capacity([sizes[k] for k in ordered], 7)
+    shard_bytes = Counter()
+    for key in ordered:
+        shard_bytes[sum(key >= c for c in cuts)] += sizes[key]
+    assert len(shard_bytes) <= 7 and max(shard_bytes.values()) <= capacity
+
+
+def test_hot_size_in_a_large_plan(spark, monkeypatch):
+    """A plan too large to broadcast deals the rows of one size over several tasks, with the same result."""
+    rows = [*texts(3, 60), *((1000 + i, "a", "three words here") for i in range(90))]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    key = lambda r: (r.doc_id or 0, r.size, r.copies, r.taken)
+    once = sorted(map(key, mx.mix_sources(df, piece_rows=16).collect()))
+    monkeypatch.setattr(mx, "HELD", 0)
+    monkeypatch.setattr(mx, "DEALT", 10)
+    assert sorted(map(key, mx.mix_sources(df, piece_rows=16).collect())) == once
+
+
+def test_names_may_clash(spark):
+    names = ["mix_id", "mix_key", "copies", "row", "key", "key_id", "bad_id", "bad_key", "size", "source_key"]
+    df = spark.createDataFrame([(1, "a", "b c d", *range(10)), (None, None, None, *range(10)), (2, "a", "x y z", *range(10))], f"doc_id long, source string, text string, {', '.join(f'{n} int' for n in names)}")
+    bench = spark.createDataFrame([(1, "b c d")], "item_id long, text string")
+    clean = dc.keep_uncontaminated(df, bench)
+    assert clean.columns == df.columns and sorted((r.doc_id or 0, r.bad_key) for r in clean.collect()) == [(0, 7), (2, 7)]
+    mixed = mx.repeat_to_mix(df)
+    assert mixed.columns == df.columns and all(tuple(r)[3:] == tuple(range(10)) for r in mixed.collect())
+    assert mx.mix_sources(df).count() == ms.shard_minimax(df).count() == 3
+
+
 def plain_hits(text, items, window=13):
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
@@ -140,8 +204,8 @@ def test_decontamination(spark):
     rows.append((99, "padding " * 5000 + items[5][1]))
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, words string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for limit in (500_000, 0):
-        got = dc.decontaminate(df, bench, broadcast_windows=limit).collect()
+    for limit in (32 << 20, 0):
+        got = dc.decontaminate(df, bench, broadcast_bytes=limit).collect()
         assert sorted(((r.doc_id is None, r.doc_id or 0), r.n_words, r.n_hit, ",".join(r["items"]), r.contaminated) for r in got) == sorted(((i is None, i or 0), *plain_hits(t, items)) for i, t in rows)
     clean = dc.keep_uncontaminated(df, bench)
     assert clean.columns == df.columns and clean.count() == sum(not plain_hits(t, items)[3] for _, t in rows)

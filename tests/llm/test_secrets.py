@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -57,6 +59,37 @@ def test_all_white_space_and_lines():
     assert literals("pwd =") == literals("pwd: {\n  name: 'Zx81_kk99'\n}") == []
 
 
+def test_long_lines_take_time_in_proportion():
+    """A million characters that almost are an element, a reference, an option or a string."""
+    for piece in ("x=1 <" + "a" * 10, "${" + "a" * 10, "<a " * 4, "--a" * 4, "<a>b" * 3, "'", '"a', "a.", "a-", "${a{", "password", "token ", "AKIA", "a = "):
+        text = "x=" + piece * (1_000_000 // len(piece))
+        began = time.perf_counter()
+        secrets.scan(text)
+        assert time.perf_counter() - began < 60, piece
+    for start in ("x=1 <", "x=${", "x=--", "x='"):
+        began = time.perf_counter()
+        secrets.scan(start + "a" * 1_000_000)
+        assert time.perf_counter() - began < 10, start
+
+
+def test_precision_and_recall_on_planted_secrets():
+    """Assignments of random values to sensitive and to harmless names, in ten notations, some by way of a constant."""
+    rng = random.Random(12)
+    value = lambda: "".join(rng.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=rng.randrange(12, 33)))
+    sensitive = ["db_password", "clientSecret", "AUTH_TOKEN", "api_key", "privateKey", "smtp-passwd", "jwt_secret", "userCredentials", "ROOT_PWD", "accessToken"]
+    harmless = ["user_name", "build_id", "outputPath", "PAGE_URL", "itemCount", "color", "title", "publicKey", "log_file", "region"]
+    forms = ["{n} = '{v}'", '"{n}": "{v}",', "{n}: {v}", "export {n}={v}", "<{n}>{v}</{n}>", "run --{n} {v} now", "{n} := \"{v}\"", "{n}='{v}';", "base = '{v}'\n{n} = base", "BASE={v}\n{n}=${{BASE}}"]
+    right = wrong = missed = 0
+    for _ in range(2000):
+        n, v, bad = (name := rng.choice(sensitive + harmless)), value(), name in sensitive
+        found = {x for x in literals("some words\n" + rng.choice(forms).format(n=n, v=v) + "\nmore words here")}
+        right += bad and found == {v}
+        missed += bad and v not in found
+        wrong += len(found - {v}) + (not bad and v in found)
+    print(f"precision {right / (right + wrong):.3f}, recall {right / (right + missed):.3f}")
+    assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.95
+
+
 def test_constants_keep_all_literals():
     many = " + ".join(f"'k{i}Z'" for i in range(200))
     assert len(literals(f"whole = {many}\npwd = whole")) == 200
