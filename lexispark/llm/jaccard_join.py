@@ -37,9 +37,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .line_quality import blocks
 from .shared import discard, documents, materialize, may_hold
 
-K, CACHED, BLOCK = 5, 400_000, 6 << 20
+K, CACHED, BLOCK = 5, 300_000, 2 << 20
 #: Bytes of text whose signatures share a bucket, and shingles that a piece of a long list holds.
 BUCKET, PIECE = 32 << 20, 400_000
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -192,18 +193,6 @@ def compatible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 5 * np.minimum(a, b).astype(np.int64) >= 4 * np.maximum(a, b).astype(np.int64)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    for batch in batches:
-        texts, at = batch.column(text_at).to_pylist(), 0
-        while at < len(texts):
-            stop, total = at, 0
-            while stop < len(texts) and (stop == at or total < BLOCK):
-                total += len(texts[stop])
-                stop += 1
-            yield batch.slice(at, stop - at), texts[at:stop]
-            at = stop
-
-
 #: A row for each document, and a class's sketch beside the first of its documents in a task.
 SETS = "doc_id long, rid long, n long, a long, b long, sketch binary"
 SIGNED = f"{SETS}, bucket int, blob binary"
@@ -216,7 +205,7 @@ def sign(docs: DataFrame, n_buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         turn = 0
-        for rows, texts in _blocks(batches, 2):
+        for rows, texts in blocks(batches, BLOCK, 2):
             with np.errstate(over="ignore"):
                 sets = shingle_sets(texts)
                 n = np.array([len(s) for s in sets], np.int64)

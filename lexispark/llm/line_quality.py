@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +41,8 @@ CLASS_OF[list(b"#$%&*+<=>@\\^_`{}~[]/")] = 4
 CLASS_OF[ord("!")], CLASS_OF[ord("|")] = 5, 6
 CLASS_OF[list(b".,;:?")] = 7
 N_OWN = 9
-#: Characters of text that are looked at together when scoring and when fitting, and lines of a training chain.
-BLOCK, FITTED, CHAIN = 4 << 20, 1 << 18, 256
+#: Bytes of text that are looked at together when scoring and when fitting, and lines of a training chain.
+BLOCK, FITTED, CHAIN = 1 << 20, 1 << 18, 256
 
 
 def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,25 +131,25 @@ def fit(rows: list[tuple[str, int]], *, rounds: int = 3) -> LineQuality:
     return model
 
 
-def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK) -> Iterator[tuple[pa.Array, list[str]]]:
-    """Ids and texts of consecutive rows with about ``most`` characters together (one row at least)."""
+def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK, text_at: int = 1) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Consecutive rows with about ``most`` bytes of text together (one row at least), and their texts; only these become Python objects."""
     for batch in batches:
-        texts, at = batch.column(1).to_pylist(), 0
-        while at < len(texts):
-            stop, total = at, 0
-            while stop < len(texts) and (stop == at or total < most):
-                total += len(texts[stop])
-                stop += 1
-            yield batch.column(0).slice(at, stop - at), texts[at:stop]
-            at = stop
+        texts = batch.column(text_at)
+        ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, done = 0, 0
+        while at < len(ends):
+            stop = max(at + 1, int(np.searchsorted(ends, done + most)) + 1)
+            stop = min(stop, len(ends))
+            yield batch.slice(at, stop - at), texts.slice(at, stop - at).to_pylist()
+            at, done = stop, int(ends[stop - 1])
 
 
 def score_quality(df: DataFrame, model: LineQuality, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: doc_id, score."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in blocks(batches):
-            yield pa.RecordBatch.from_arrays([ids, pa.array(model.scores(texts))], ["doc_id", "score"])
+        for rows, texts in blocks(batches):
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(model.scores(texts))], ["doc_id", "score"])
 
     return df.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).mapInArrow(score, "doc_id long, score double")
 
@@ -158,11 +159,8 @@ def keep_good(df: DataFrame, model: LineQuality, *, threshold: float = 0.3, text
     column = df.columns.index(text_column)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [text or "" for text in batch.column(column).to_pylist()]
-            pair = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.large_string())], ["row", "text"])
-            good = [model.scores(some) >= threshold for _, some in blocks(iter([pair]))]
-            yield batch.filter(pa.array(np.concatenate(good) if good else [], pa.bool_()))
+        for rows, texts in blocks(batches, text_at=column):
+            yield rows.filter(pa.array(model.scores([text or "" for text in texts]) >= threshold))
 
     return df.mapInArrow(keep, df.schema)
 

@@ -262,9 +262,9 @@ def find_secrets(df: DataFrame, *, id_column: str = "doc_id", text_column: str =
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in blocks(batches):
+        for rows, texts in blocks(batches):
             spans = [[{"kind": k, "start": a, "end": b} for a, b, k in scan(text, threshold)] for text in texts]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(spans, kind)], ["doc_id", "spans"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
     plain = df.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     return plain.mapInArrow(find, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")

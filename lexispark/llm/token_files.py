@@ -35,12 +35,13 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .line_quality import blocks
 from .shared import documents, new_folder
 
 MAGIC = b"LXTOKEF1"
 EVERY = 256
 #: Characters that are encoded together, words in the younger half of the cache, documents of a shard at most.
-STRETCH, CACHED_WORDS, SHARD_DOCS = 1 << 22, 500_000, 1 << 22
+STRETCH, CACHED_WORDS, SHARD_DOCS = 1 << 21, 200_000, 1 << 22
 #: ASCII marks but the apostrophe: after letters, a run of them is a word of its own to the tokenizer.
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
@@ -350,19 +351,17 @@ def write_token_shards(df: DataFrame, folder: str, tokenizer: str, *, end_id: in
         def finish() -> None:
             done.append((task, len(done), uri, *writer.close()))
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                some = batch.slice(at, 4096)
-                encoder = encoder_of(tokenizer)
-                end = np.array([end_id], encoder.dtype).tobytes()
-                for doc_id, ids in zip(some.column(0).to_pylist(), encoder.encode_all(some.column(1).to_pylist()), strict=True):
-                    if writer is None:
-                        uri = f"{folder}/shard-{task:06d}-{len(done):04d}.tok"
-                        writer = ShardWriter(uri, encoder.dtype)
-                    writer.add(doc_id, ids + end)
-                    if writer.bytes >= shard_bytes or len(writer.ends) >= SHARD_DOCS:
-                        finish()
-                        writer = None
+        for rows, texts in blocks(batches, STRETCH):
+            encoder = encoder_of(tokenizer)
+            end = np.array([end_id], encoder.dtype).tobytes()
+            for doc_id, ids in zip(rows.column(0).to_pylist(), encoder.encode_all(texts), strict=True):
+                if writer is None:
+                    uri = f"{folder}/shard-{task:06d}-{len(done):04d}.tok"
+                    writer = ShardWriter(uri, encoder.dtype)
+                writer.add(doc_id, ids + end)
+                if writer.bytes >= shard_bytes or len(writer.ends) >= SHARD_DOCS:
+                    finish()
+                    writer = None
         if writer is not None:
             finish()
         if done:

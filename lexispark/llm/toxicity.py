@@ -280,10 +280,10 @@ def score_toxicity(df: DataFrame, model: ToxicSpans, *, id_column: str = "doc_id
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for ids, texts in blocks(batches):
+        for rows, texts in blocks(batches):
             read = [model.read(text) for text in texts]
             spans = [[{"start": a, "end": b} for a, b in found] for _, found in read]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([score for score, _ in read], pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([score for score, _ in read], pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "spans"])
 
     plain = df.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     return plain.mapInArrow(score, "doc_id long, score double, spans array<struct<start: int, end: int>>")
