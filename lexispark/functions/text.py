@@ -95,7 +95,14 @@ def half_space_plural(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?<![{LETTERS}])(?!(?:{words}){boundary})([{LETTERS}]+)ها{boundary}", f"$1{HALF_SPACE}ها")
 
 
+def _only(rule, text: Column, pattern: str) -> Column:
+    """The rule where the pattern is found; all other texts don't leave the JVM."""
+    return F.coalesce(rule(F.when(text.rlike(pattern), text)), text)
+
+
 def clean(text: Column, normalise=None) -> Column:
     """NFKC, mended newlines, an optional language normaliser (a column function), half spaces."""
-    mended = mend_newlines(nfkc(text))
-    return half_space_plural(normalise(mended) if normalise else mended)
+    composed = _only(nfkc, text, r"[^\x00-\x7F]")
+    mended = _only(mend_newlines, composed, f"[{LETTERS}]\n[{LETTERS}]")
+    normal = normalise(mended) if normalise else mended
+    return F.when(normal.contains("ها"), half_space_plural(normal)).otherwise(normal)

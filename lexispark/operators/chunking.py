@@ -28,8 +28,21 @@ def chunk_pages(pages: DataFrame, *, size: int = 80, overlap: int = 20) -> DataF
     of_page = F.when(n > 0, F.floor(F.greatest(n - overlap - 1, F.lit(0)) / (size - overlap)) + 1).otherwise(0)
     before = Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
     counted = pages.select("doc_id", "page_number", "text", F.coalesce(F.sum(of_page).over(before), F.lit(0)).alias("first"))
+    return _numbered(counted, size, overlap)
+
+
+def _numbered(counted: DataFrame, size: int, overlap: int) -> DataFrame:
     cut = windows(counted, size=size, overlap=overlap)
     index = (F.col("first") + F.col("char_start") / (size - overlap)).cast("int")
     return cut.select(
         chunk_id(F.col("doc_id"), index).alias("chunk_id"), "doc_id", index.alias("chunk_index"), strip(F.col("window")).alias("text"), "page_number", F.col("char_start").cast("int").alias("char_start"), F.col("char_end").cast("int").alias("char_end"), word_count(F.col("window")).cast("int").alias("token_count"),
     )
+
+
+def chunk_documents(documents: DataFrame, *, size: int = 80, overlap: int = 20, pages_column: str = "pages") -> DataFrame:
+    """Chunks of documents that hold their pages as an array of (page_number, text), in order: counted within the row, so no text is shuffled."""
+    counts = F.transform(pages_column, lambda p: F.when(F.length(p["text"]) > 0, F.floor(F.greatest(F.length(p["text"]) - overlap - 1, F.lit(0)) / (size - overlap)) + 1).otherwise(0))
+    zero = F.array(F.lit(0).cast("long"))
+    before = F.aggregate(counts, zero, lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
+    each = documents.select("doc_id", before.alias("before"), F.posexplode(pages_column).alias("nth", "page"))
+    return _numbered(each.select("doc_id", "page.page_number", "page.text", F.get("before", F.col("nth")).alias("first")), size, overlap)

@@ -17,13 +17,23 @@ def tokenised(corpus: DataFrame, id_column: str = "doc_id", text_column: str = "
     return corpus.select(F.col(id_column).alias("id"), (without_stopwords(words) if stopwords else words).alias("words"))
 
 
+#: Entries that count texts and words beside the terms, which are never empty or blank.
+TEXTS, WORDS = "", " "
+
+
 def term_statistics(words: DataFrame) -> DataFrame:
-    """term, df, idf: negative ones become a quarter of the mean over the vocabulary. Terms are counted before the shuffle, a text at a time."""
-    df = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = words.agg(F.count(F.lit(1)).alias("n"))
-    raw = df.crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    """term, df, idf, average (words a text): negative idf become a quarter of the mean over the vocabulary.
+
+    One pass over the texts counts terms, texts and words, before the shuffle; what follows reads that one shuffle's result.
+    """
+    entry = lambda term, n: F.struct(term.alias("term"), n.cast("long").alias("n"))
+    entries = F.concat(F.transform(F.array_distinct("words"), lambda t: entry(t, F.lit(1))), F.array(entry(F.lit(TEXTS), F.lit(1)), entry(F.lit(WORDS), F.size("words"))))
+    counted = words.select(F.explode(entries).alias("e")).groupBy(F.col("e.term").alias("term")).agg(F.sum("e.n").alias("df"))
+    whole = counted.agg(F.max(F.when(F.col("term") == TEXTS, F.col("df"))).alias("n"), F.max(F.when(F.col("term") == WORDS, F.col("df"))).alias("n_words"))
+    raw = counted.crossJoin(F.broadcast(whole)).withColumn("raw", F.when(~F.col("term").isin(TEXTS, WORDS), F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
     mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    known = raw.crossJoin(F.broadcast(mean)).where(F.col("raw").isNotNull() & F.col("n").isNotNull())
+    return known.select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), F.try_divide("n_words", "n").alias("average"))
 
 
 def scores(words: DataFrame, query: list[str], statistics: DataFrame | None = None) -> DataFrame:
@@ -34,12 +44,11 @@ def scores(words: DataFrame, query: list[str], statistics: DataFrame | None = No
     statistics = term_statistics(words) if statistics is None else statistics
     terms = statistics.where(F.col("term").isin(list(wanted)))
     times = F.element_at(F.create_map(*(F.lit(x) for pair in wanted.items() for x in pair)), F.col("term"))
-    averages = words.agg(F.avg(F.size("words")).alias("average"))
     # Only the query's terms leave a text, with their counts.
     listed = F.array(*map(F.lit, sorted(wanted)))
     found = F.filter(F.transform(listed, lambda t: F.struct(t.alias("term"), F.size(F.filter("words", lambda w: w == t)).alias("tf"))), lambda x: x["tf"] > 0)
     postings = words.where(F.arrays_overlap("words", listed)).select("id", F.size("words").alias("dl"), F.explode(found).alias("p")).select("id", "dl", "p.*")
-    joined = postings.join(F.broadcast(terms), "term").crossJoin(F.broadcast(averages))
+    joined = postings.join(F.broadcast(terms), "term")
     part = times * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.try_divide(F.col("dl"), F.col("average"))))
     return joined.groupBy("id").agg(F.sum(part).alias("score")).where("score > 0")
 

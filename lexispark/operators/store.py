@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
-    """Of rows with equal keys the one with the highest ``order`` stays."""
-    both = old.unionByName(new)
-    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
-    return both.withColumn("newest", newest).where("newest = 1").drop("newest")
+    """Of rows with equal keys the one with the highest ``order`` stays; of rows that are equal in that too, a new one before an old one, then by a hash of the row."""
+    both = old.withColumn("fresh", F.lit(0)).unionByName(new.withColumn("fresh", F.lit(1)))
+    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order), F.desc("fresh"), F.xxhash64(*old.columns)))
+    return both.withColumn("newest", newest).where("newest = 1").drop("newest", "fresh")
 
 
 def delete(rows: DataFrame, condition: Column) -> DataFrame:
@@ -49,32 +49,81 @@ def model_switch(active: Column, wanted: Column, known: Column) -> Column:
 
 
 class Table:
-    """A table of which each state is a folder of its own and CURRENT names the newest; readers keep the state they opened."""
+    """A table of which each state is a folder of its own; the pointer with the highest number names the newest. Readers keep the state they opened."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
         self._hadoop = spark._jvm.org.apache.hadoop.fs
 
-    def _pointer(self):
-        path = self._hadoop.Path(f"{self.path}/CURRENT")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+    def _files(self):
+        return self._hadoop.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _current(self) -> str | None:
-        files, path = self._pointer()
-        return self.spark.read.text(path.toString()).first()[0] if files.exists(path) else None
+    def _pointers(self) -> list[str]:
+        found = self._files().globStatus(self._hadoop.Path(f"{self.path}/CURRENT-*"))
+        return sorted(f.getPath().getName() for f in found or [])
 
     def read(self) -> DataFrame:
-        name = self._current()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}") if name else self.spark.createDataFrame([], self.schema)
+        pointers = self._pointers()
+        if not pointers:
+            return self.spark.createDataFrame([], self.schema)
+        name = self.spark.read.text(f"{self.path}/{pointers[-1]}").first()[0]
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}")
 
     def replace(self, rows: DataFrame) -> None:
-        """Writes the rows beside the old ones, then moves the pointer; a failure before that leaves the old state."""
-        name = f"state-{uuid.uuid4().hex}"
+        """Writes the rows beside the old ones, then a pointer with the next number, which is whole before it has its name.
+
+        A failure at any point leaves the old state; of two writers at once, one fails.
+        """
+        files, name, pointers = self._files(), f"state-{uuid.uuid4().hex}", self._pointers()
         rows.write.parquet(f"{self.path}/{name}")
-        files, pointer = self._pointer()
-        fresh = self._hadoop.Path(f"{self.path}/CURRENT.{name}")
+        fresh = self._hadoop.Path(f"{self.path}/next-{name}")
         stream = files.create(fresh, True)
         stream.write(bytearray(name.encode()))
         stream.close()
-        files.delete(pointer, False)
-        files.rename(fresh, pointer)
+        number = int(pointers[-1].partition("-")[2]) + 1 if pointers else 0
+        pointer = self._hadoop.Path(f"{self.path}/CURRENT-{number:012d}")
+        if files.exists(pointer) or not files.rename(fresh, pointer):
+            files.delete(fresh, False)
+            raise RuntimeError("another writer has replaced this table")
+        for old in pointers[:-1]:
+            files.delete(self._hadoop.Path(f"{self.path}/{old}"), False)
+
+    def delete(self, condition: Column) -> DataFrame:
+        """Deletes rows; returns those that are gone, from the state before."""
+        before = self.read()
+        self.replace(delete(before, condition))
+        return before.where(F.coalesce(condition, F.lit(False)))
+
+    def update(self, condition: Column, **values: Column) -> None:
+        """Sets columns of the rows for which the condition holds; with ``updated_at`` in the table and not in ``values``, also the time."""
+        before = self.read()
+        if "updated_at" in before.columns:
+            values = {"updated_at": F.current_timestamp()} | values
+        self.replace(before.select(*(F.when(F.coalesce(condition, F.lit(False)), values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in before.columns)))
+
+    def truncate(self) -> None:
+        """The table stays, without rows."""
+        self.replace(self.spark.createDataFrame([], self.schema))
+
+    def drop_collections(self) -> int:
+        """Deletes all collections; returns how many there were."""
+        n = self.read().agg(F.count_distinct("collection")).first()[0]
+        self.truncate()
+        return n
+
+
+def switch_model(spark: SparkSession, wanted: str, passport: str, chunks: Table, others: list[Table]) -> str:
+    """Makes ``wanted`` the embedding model: a change of a known model clears all tables and rewrites the passport. Returns the effect."""
+    from ..sources import readers
+
+    active = readers.read_passport(spark, passport)
+    if wanted not in readers.EMBEDDING_MODELS:
+        return "rejected"
+    if active == wanted:
+        return "nothing"
+    if active is not None:
+        chunks.drop_collections()
+        for table in others:
+            table.truncate()
+    readers.write_passport(spark, passport, wanted)
+    return "written" if active is None else "cleared"

@@ -25,6 +25,20 @@ EMBEDDING_MODELS = {
     "fa-sentence": ("MirSamanPR/fa-sentence-v2", 768),
     "minilm": ("sentence-transformers/paraphrase-multilingual-MiniLM-L12-v2", 384),
 }
+# What a passport says of each embedding model.
+DESCRIPTIONS = {
+    "e5-small": "مدل بسیار سبک و سریع E5 - عالی برای تست و سیستم محلی",
+    "qwen3-emb-4b": "مدل بسیار قوی و مدرن سری کوئن ۳ برای امبدینگ",
+    "bge-m3": "رتبه ۲ cheRAGh - چندزبانه همه‌فن‌حریف با درک عمیق فارسی",
+    "octen-emb-8b": "مدل بسیار بزرگ و قدرتمند ۸ میلیاردی برای ارزیابی نهایی",
+    "qwen3-emb-8b": "نسخه ۸ میلیارد پارامتری کوئن ۳ برای بیشترین دقت معنایی",
+    "snowflake-arctic-l": "مدل قدرتمند اسنوفلیک نسخه ۲ برای جستجوی دقیق معنایی",
+    "f2llm-4b": "مدل تخصصی بر پایه LLM برای بازنمایی برداری",
+    "e5-large": "رتبه ۱ cheRAGh - بسیار دقیق در متون چندزبانه",
+    "e5-base": "تعادل عالی بین سرعت، حافظه و دقت معنایی",
+    "fa-sentence": "رتبه ۳ cheRAGh - مدل آموزش‌دیده اختصاصی برای زبان فارسی",
+    "minilm": "بسیار سبک و سریع، مناسب سیستم‌های ضعیف با رم پایین",
+}
 # Language models by key, with repository and file.
 LANGUAGE_MODELS = {
     "qwen-3b": ("Qwen/Qwen2.5-3B-Instruct-GGUF", "qwen2.5-3b-instruct-q4_k_m.gguf"),
@@ -83,4 +97,10 @@ def read_passport(spark: SparkSession, path: str) -> str | None:
 
 def write_passport(spark: SparkSession, path: str, model_key: str) -> None:
     _, dimension = EMBEDDING_MODELS.get(model_key, (None, None))
-    spark.createDataFrame([(model_key, dimension, "cosine", None, "")], schemas.PASSPORT).coalesce(1).write.mode("overwrite").json(path)
+    spark.createDataFrame([(model_key, dimension, "cosine", None, DESCRIPTIONS.get(model_key, ""))], schemas.PASSPORT).coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_documents(pages: DataFrame, path: str) -> None:
+    """Pages (doc_id, filename, source_type, page_number, raw_text) to JSON, a document a line with its pages in order."""
+    listed = F.array_sort(F.collect_list(F.struct("page_number", "raw_text")))
+    pages.groupBy("doc_id", "filename", "source_type").agg(listed.alias("pages")).write.mode("overwrite").json(path)

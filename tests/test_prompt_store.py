@@ -52,6 +52,67 @@ def test_store(spark, tmp_path):
     assert table.read().count() == 2
 
 
+def test_table_operations(spark, tmp_path):
+    table = store.Table(spark, f"file://{tmp_path}/files", "id long, collection string, name string, updated_at timestamp")
+    table.truncate()
+    assert table.read().count() == 0
+    table.replace(spark.sql("SELECT id, concat('c', id % 2) AS collection, concat('n', id) AS name, timestamp'2024-01-01' AS updated_at FROM range(6)"))
+    gone = table.delete(F.col("id") < 2)
+    assert sorted(r.name for r in gone.collect()) == ["n0", "n1"] and table.read().count() == 4
+    table.update(F.col("id") == 3, name=F.lit("renamed"))
+    rows = {r.id: r for r in table.read().collect()}
+    assert rows[3].name == "renamed" and rows[3].updated_at > rows[4].updated_at and rows[4].name == "n4"
+    assert table.drop_collections() == 2 and table.read().count() == 0
+
+
+def test_failed_replace_leaves_the_old_state(spark, tmp_path):
+    table = store.Table(spark, f"file://{tmp_path}/t", "id long")
+    table.replace(spark.range(3))
+    for broken in (spark.range(3).withColumn("id", F.raise_error(F.lit("no")).cast("long")), None):
+        try:
+            if broken is None:
+                (tmp_path / "t" / "CURRENT-000000000001").mkdir()
+                (tmp_path / "t" / "CURRENT-000000000001").rmdir()
+                (tmp_path / "t" / "next-state-of-a-writer-that-was-lost").write_text("state-none")
+            else:
+                table.replace(broken)
+                raise AssertionError
+        except Exception as error:
+            assert "no" in str(error)
+        assert table.read().count() == 3
+    held = table.read()
+    table.replace(spark.range(5))
+    table.replace(spark.range(7))
+    assert table.read().count() == 7 and held.count() == 3
+
+
+def test_equal_seq_is_decided(spark):
+    schema = "k string, v string, seq long"
+    old, new = spark.createDataFrame([("a", "old", 1)], schema), spark.createDataFrame([("a", f"new{i}", 1) for i in range(5)], schema)
+    got = {store.upsert(old, new.repartition(n, "v"), ["k"]).first().v for n in (1, 2, 3)}
+    assert len(got) == 1 and got.pop().startswith("new")
+
+
+def test_model_switch_clears(spark, tmp_path):
+    chunks = store.Table(spark, f"file://{tmp_path}/chunks", "collection string")
+    chats = store.Table(spark, f"file://{tmp_path}/chats", "id long")
+    passport = f"file://{tmp_path}/passport"
+    fill = lambda: (chunks.replace(spark.createDataFrame([("a",)], "collection string")), chats.replace(spark.range(2)))
+    fill()
+    for wanted, effect, left in (("bge-m3", "written", 2), ("bge-m3", "nothing", 2), ("none", "rejected", 2), ("e5-small", "cleared", 0)):
+        assert store.switch_model(spark, wanted, passport, chunks, [chats]) == effect and chats.read().count() == left
+    assert chunks.read().count() == 0 and readers.read_passport(spark, passport) == "e5-small"
+    row = spark.read.schema(schemas.PASSPORT).json(passport).first()
+    assert row.dimension == 384 and row.description == readers.DESCRIPTIONS["e5-small"]
+
+
+def test_documents_sink(spark, tmp_path):
+    pages = spark.createDataFrame([("d", "f", "real", 2, "b"), ("d", "f", "real", 1, "a"), ("e", "g", "mock", 1, None)], "doc_id string, filename string, source_type string, page_number int, raw_text string")
+    readers.write_documents(pages, str(tmp_path / "out"))
+    back = readers.pages_of(spark.read.schema(schemas.DOCUMENT).json(str(tmp_path / "out")))
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, pages.collect()), key=str)
+
+
 def test_streaming_upsert(spark, tmp_path):
     import json
 

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from lexispark.operators import chunking, dense, fusion, lexical
+from lexispark.operators import chunking, dense, fusion, lexical, prompt, retrieve
 
 CHUNKS = [("doc1_c001", "contract_101", "The rent is paid each month to the owner"), ("doc1_c002", "contract_101", "Force majeure frees both sides"), ("doc2_c001", "rules_202", "Form code 98234-b is handed in first"), ("doc2_c002", "rules_202", "Breaks are at noon for all staff members")]
 
@@ -94,3 +94,64 @@ def test_windows_against_loop(spark):
     for r in chunking.chunk_pages(df).orderBy("doc_id", "chunk_index").collect():
         got.setdefault(r.doc_id, []).append((r.char_start, r.char_end))
     assert got == {n: plain(n) for n in range(1, 400)}
+
+
+def model():
+    def embed(texts):
+        """Two numbers that tell texts about rent from others."""
+        return [[3.0 if "rent" in t else 0.1, 0.1 if "rent" in t else 3.0] for t in texts]
+
+    return embed
+
+
+def collection(spark):
+    rows = spark.createDataFrame([(i, d, t, n + 1) for n, (i, d, t) in enumerate(CHUNKS)], "chunk_id string, doc_id string, text string, page_number int")
+    return retrieve.embed_chunks(rows, model())
+
+
+def vector(spark, question):
+    return spark.createDataFrame([(retrieve.embed_question(question, model()),)], "embedding array<double>")
+
+
+def test_embeddings_have_length_one(spark):
+    seen = []
+    retrieve.embed_question(" query: x ", lambda texts: seen.extend(texts) or [[0.0, 0.0]])
+    assert seen == ["query: x"] and retrieve.normalised([[3.0, 4.0], [0.0, 0.0]]) == [[0.6, 0.8], [0.0, 0.0]]
+    for r in collection(spark).collect():
+        assert abs(sum(x * x for x in r.embedding) - 1) < 1e-6
+
+
+def test_retrieve(spark):
+    chunks = collection(spark)
+    got = retrieve.retrieve(chunks, " who pays the rent? ", vector(spark, "rent"), top_k=2)
+    assert (got.question, got.total, got.depth) == ("who pays the rent?", 4, 4)
+    top = got.top.collect()
+    assert len(top) == 2 and top[0].chunk_id == "doc1_c001" and top[0].similarity == 1.0
+    assert retrieve.has_sufficient_context(got) and retrieve.has_sufficient_context(got.top)
+    only = retrieve.retrieve(chunks, "form", vector(spark, "form"), doc_ids=["contract_101"])
+    assert {r.doc_id for r in only.top.collect()} == {"contract_101"} and only.total == 4
+    for blank in (None, "", " \n"):
+        with pytest.raises(ValueError):
+            retrieve.retrieve(chunks, blank, vector(spark, "x"))
+    empty = retrieve.retrieve(chunks.limit(0), "rent", vector(spark, "rent"))
+    assert empty.total == 0 and empty.top.count() == 0 and not retrieve.has_sufficient_context(empty)
+    assert [r.type for r in retrieve.answer_stream(empty).collect()].count("sources") == 1
+
+
+def test_answer_stream(spark):
+    chunks = collection(spark)
+    rows = retrieve.answer_stream(retrieve.retrieve(chunks, "rent", vector(spark, "rent"), top_k=2)).orderBy("position").collect()
+    assert [r.type for r in rows] == ["token"] * (len(rows) - 1) + ["sources"]
+    assert "".join(r.content for r in rows).strip() == "بر اساس اسناد ارائه‌شده (صفحه 1):\n" + CHUNKS[0][2]
+    assert [c.doc_id for c in rows[-1].citations][0] == "contract_101" and len(rows[-1].citations) == 2
+    none = retrieve.answer_stream(retrieve.retrieve(chunks, "qqxzqq", vector(spark, "rent"), least=1.1)).orderBy("position").collect()
+    assert "".join(r.content for r in none) == prompt.FALLBACK + " " and none[-1].type == "sources" and none[-1].citations == []
+
+
+def test_chunks_of_page_arrays(spark):
+    rows = [("d", [(1, "x" * 150), (2, ""), (3, None), (4, "z" * 80)]), ("e", []), ("f", [(9, "one two")])]
+    docs = spark.createDataFrame(rows, "doc_id string, pages array<struct<page_number: int, text: string>>")
+    pages = docs.select("doc_id", F.explode("pages").alias("p")).select("doc_id", "p.*")
+    key = lambda r: (r.doc_id, r.chunk_index)
+    assert sorted(chunking.chunk_documents(docs).collect(), key=key) == sorted(chunking.chunk_pages(pages).collect(), key=key)
+    assert "Exchange" not in chunking.chunk_documents(docs)._jdf.queryExecution().executedPlan().toString()
