@@ -7,8 +7,9 @@ corpus. Only that shingle is joined. The place of the shingle in the window says
 where the window must begin in the document (positional bound) and that it must
 end inside it (length bound); then the words themselves are compared.
 
-The exploded words stay inside one generated stage: explode, hash probe, bounds and
-comparison are one pass without a shuffle, and only true occurrences leave it.
+Two passes read the texts. The first counts the shingles of windows. In the second the exploded words stay inside
+one generated stage: explode, hash probe, bounds and comparison are one pass without a shuffle, and only true
+occurrences leave it, with a row for each document that has its number of words.
 The windows are broadcast when their words are counted to be at most ``broadcast_bytes``.
 With a larger benchmark, places and hashes alone are shuffled on the hash, within bounds; then the words of documents
 with such a place are fetched and compared.
@@ -27,13 +28,12 @@ from pyspark.sql import functions as F
 from .shared import documents, materialize, may_hold
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHINGLE = 3
 
 
 def ascii_lower(text: Column) -> Column:
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+    return F.when(F.octet_length(text) != F.length(text), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
 def split_words(text: Column) -> Column:
@@ -55,50 +55,59 @@ def benchmark_windows(items: DataFrame, window: int, id_column: str, text_column
     return each.select("item_id", "item_key", "w", F.slice("all_words", F.col("w") + 1, F.lit(window)).alias("words")).withColumn("k", F.least(F.size("words"), F.lit(SHINGLE)))
 
 
-def find_hits(docs: DataFrame, items: DataFrame, *, window: int = 13, id_column: str = "doc_id", text_column: str = "text", item_id_column: str = "item_id", item_text_column: str = "text", broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """Per document with hits: doc_id, text_key, n_hit, items (ids as sorted strings)."""
+def find_places(docs: DataFrame, items: DataFrame, *, window: int = 13, id_column: str = "doc_id", text_column: str = "text", item_id_column: str = "item_id", item_text_column: str = "text", broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """doc_id, text_key (hash of the text), n_words, start, length, item_id: a row with ``n_words`` for each row of ``docs``, and one with the rest for each occurrence of a window."""
     windows, _ = materialize(benchmark_windows(items, window, item_id_column, item_text_column), "windows")
     held = F.octet_length(F.array_join("words", " ")) + 16 * F.size("words") + F.octet_length("item_id") + 64
     shape = windows.agg(F.sum(held).alias("held"), F.collect_set("k").alias("ks")).first()
     fits_in_task = (shape.held or 0) <= broadcast_bytes
     small = F.broadcast if fits_in_task else (lambda df: df)
     shingles = windows.select("*", F.posexplode(F.expr("transform(sequence(0, size(words) - k), o -> slice(words, o + 1, k))")).alias("offset", "shingle"))
-    texts = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("text_key"), split_words(F.col(text_column)).alias("doc_words")).where("doc_words is not null")
+    texts = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("text_key"), split_words(F.col(text_column)).alias("doc_words"))
+    texts = texts.withColumn("n_doc", F.greatest(F.coalesce(F.size("doc_words"), F.lit(0)), F.lit(0)))
+    whole = texts.where("n_doc > 0")
+    empty_ends = F.when(F.get("doc_words", F.lit(0)) == "", 1).otherwise(0) + F.when((F.col("n_doc") > 1) & (F.get("doc_words", F.col("n_doc") - 1) == ""), 1).otherwise(0)
+    n_words = F.when(F.col("at") == -1, (F.col("n_doc") - F.when(F.col("n_doc") > 0, empty_ends).otherwise(0)).cast("long"))
+    start = F.col("at") - F.col("offset")
+    fits = (start >= 0) & (start + F.size("words") <= F.col("n_doc"))
+    same = F.slice("doc_words", start + 1, F.size("words")) == F.col("words")
+    places = ["doc_id", "text_key", n_words.alias("n_words"), start.alias("start"), F.size("words").alias("length"), "item_id"]
     found = None
     for k in sorted(shape.ks) or [SHINGLE]:
         of_k = shingles.where(F.col("k") == k).withColumn("h", _hash_at("shingle", "0", k))
-        positions = texts.select("doc_id", "text_key", "doc_words", F.posexplode("doc_words").alias("at", "word")).withColumn("h", _hash_at("doc_words", "at", k))
-        counts = positions.select("h").join(small(of_k.select("h").distinct()), "h").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-        rarest = of_k.join(counts, "h").groupBy("item_id", "item_key", "w", "words").agg(F.min_by(F.struct("h", "offset"), F.struct("n", "offset")).alias("r"))
+        each = whole.select("*", F.explode(F.expr("sequence(0, n_doc - 1)")).alias("at")).withColumn("at_h", _hash_at("doc_words", "at", k))
+        counts = each.select("at_h").join(small(of_k.select(F.col("h").alias("at_h")).distinct()), "at_h").groupBy("at_h").agg(F.count(F.lit(1)).alias("n"))
+        rarest = of_k.join(counts, F.col("h") == F.col("at_h")).groupBy("item_id", "item_key", "w", "words").agg(F.min_by(F.struct("h", "offset"), F.struct("n", "offset")).alias("r"))
         prefix, _ = materialize(rarest.select("item_id", "words", F.col("r.h").alias("h"), F.col("r.offset").alias("offset")), "rarest")
-        start = F.col("at") - F.col("offset")
-        fits = (start >= 0) & (start + F.size("words") <= F.col("n_doc"))
-        same = F.slice("doc_words", start + 1, F.size("words")) == F.col("words")
-        positions = positions.withColumn("n_doc", F.size("doc_words"))
-        if fits_in_task:
-            hits = positions.join(F.broadcast(prefix), "h").where(F.when(fits, same).otherwise(False))
+        if fits_in_task and found is None:
+            # Place -1 stands for the document itself and matches nothing.
+            every = texts.select("*", F.explode(F.expr("sequence(-1, n_doc - 1)")).alias("at")).withColumn("at_h", F.when(F.col("at") >= 0, _hash_at("doc_words", "at", k)))
+            hits = every.join(F.broadcast(prefix), (F.col("at_h") == F.col("h")) & F.when(fits, same).otherwise(False), "left").where("at = -1 or words is not null").select(*places)
+        elif fits_in_task:
+            hits = each.join(F.broadcast(prefix), (F.col("at_h") == F.col("h")) & F.when(fits, same).otherwise(False)).select(*places)
         else:
-            near = positions.select(F.col("doc_id").alias("near_id"), F.col("text_key").alias("near_key"), "at", "h", "n_doc").join(prefix, "h").where(fits)
-            near, _ = materialize(near.withColumn("near", F.xxhash64("near_id", "near_key")), "near")
+            near = each.select(F.col("doc_id").alias("near_id"), F.col("text_key").alias("near_key"), "at", "at_h", "n_doc").join(prefix, (F.col("at_h") == F.col("h")) & fits)
+            near, _ = materialize(near.withColumn("near", F.xxhash64("near_id", "near_key")).drop("n_doc"), "near")
             wanted = near.select("near").distinct()
-            whole = texts.withColumn("mark", F.xxhash64("doc_id", "text_key")).where(may_hold(wanted.withColumnRenamed("near", "mark"), "mark", wanted.count())).dropDuplicates(["doc_id", "text_key"])
-            hits = near.join(whole, F.col("near_id").eqNullSafe(F.col("doc_id")) & (F.col("near_key") == F.col("text_key"))).where(same)
-        hits = hits.select("doc_id", "text_key", start.alias("start"), F.size("words").alias("length"), "item_id")
+            held_words = whole.withColumn("mark", F.xxhash64("doc_id", "text_key")).where(may_hold(wanted.withColumnRenamed("near", "mark"), "mark", wanted.count())).dropDuplicates(["doc_id", "text_key"])
+            hits = near.join(held_words, F.col("near_id").eqNullSafe(F.col("doc_id")) & (F.col("near_key") == F.col("text_key"))).where(same).select(*places)
+            if found is None:
+                hits = texts.withColumn("at", F.lit(-1)).select("doc_id", "text_key", n_words.alias("n_words"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("length"), F.lit(None).cast("string").alias("item_id")).unionByName(hits)
         found = hits if found is None else found.unionByName(hits)
-    grouped = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    return materialize(found, "places")[0]
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 13, id_column: str = "doc_id", text_column: str = "text", item_id_column: str = "item_id", item_text_column: str = "text", broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """Per document: doc_id, text_key (hash of its text), n_words, n_hit, items (ids as sorted strings), contaminated (a twentieth of its words or more is hit)."""
+    places = find_places(docs, items, window=window, id_column=id_column, text_column=text_column, item_id_column=item_id_column, item_text_column=item_text_column, broadcast_bytes=broadcast_bytes)
+    grouped = places.where("length is not null").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
     # Spans in order of their starts: each adds what lies beyond the end reached so far.
     covered = F.expr(
         "aggregate(array_sort(spans), named_struct('n', 0L, 'end', 0), (s, x) -> named_struct('n', s.n + greatest(0, x.start + x.length - greatest(s.end, x.start)), 'end', greatest(s.end, x.start + x.length)), s -> s.n)"
     )
-    return grouped.select("doc_id", "text_key", covered.alias("n_hit"), "items")
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 13, id_column: str = "doc_id", text_column: str = "text", item_id_column: str = "item_id", item_text_column: str = "text", broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """Per document: doc_id, text_key (hash of its text), n_words, n_hit, items, contaminated (a twentieth of its words or more is hit)."""
-    hits = find_hits(docs, items, window=window, id_column=id_column, text_column=text_column, item_id_column=item_id_column, item_text_column=item_text_column, broadcast_bytes=broadcast_bytes)
-    every = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("text_key"), F.coalesce(F.regexp_count(text_column, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
-    h = hits.withColumnRenamed("doc_id", "hit_id").withColumnRenamed("text_key", "hit_key")
-    both = every.join(h, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left")
+    hits = grouped.select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), covered.alias("n_hit"), "items")
+    every = places.where("n_words is not null").select("doc_id", "text_key", "n_words")
+    both = every.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return both.select("doc_id", "text_key", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 

@@ -213,6 +213,15 @@ def test_decontamination(spark):
     assert dc.decontaminate(df, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_items_without_an_id(spark):
+    """Their windows hit words, but there is no id to list; documents without words keep a row each."""
+    df = spark.createDataFrame([(1, "x a b c y"), (1, "x a b c y"), (2, None), (None, ""), (3, ", !")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "A b c"), (None, "b")], "item_id long, text string")
+    for limit in (32 << 20, 0):
+        got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r["items"], r.contaminated) for r in dc.decontaminate(df, bench, broadcast_bytes=limit).collect())
+        assert got == [(0, 0, 0, [], False), (1, 5, 3, [], True), (1, 5, 3, [], True), (2, 0, 0, [], False), (3, 0, 0, [], False)]
+
+
 def test_no_python_in_native_plans(spark):
     df = spark.createDataFrame([(1, "a", "b c d e f")], "doc_id long, source string, text string").select("doc_id", "source", F.col("text"))
     bench = spark.createDataFrame([(1, "b c")], "item_id long, text string")
