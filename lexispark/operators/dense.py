@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import heapq
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,3 +50,51 @@ def nearest(vectors: DataFrame, query: DataFrame, k: int, *, id_column: str = "v
     far = rows.crossJoin(one).select(F.col(id_column).alias("id"), (1 - cosine(F.col("embedding"), F.col("q"))).alias("distance"))
     top = far.orderBy("distance", "id").limit(k)
     return top.withColumn("dense_rank", F.row_number().over(Window.orderBy("distance", "id")).cast("int"))
+
+
+def _matrix(vectors: list, dimension: int) -> np.ndarray:
+    """Rows of length 1; those of another dimension, with a null or without a length are 0."""
+    m = np.array([v if v is not None and len(v) == dimension else np.zeros(dimension) for v in vectors], float).reshape(len(vectors), dimension)
+    m = np.where(np.isnan(m).any(axis=1, keepdims=True), 0.0, m)
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(length > 0, length, 1)
+
+
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, *, id_column: str = "vec_id", block_rows: int = 512) -> DataFrame:
+    """query_id, id, distance (9 places), dense_rank: the k nearest rows of each row of ``queries``, by distance, then id.
+
+    Queries go in blocks of about ``block_rows``, and only one block's vectors are held by a task and by the driver while the
+    plan is made. A task keeps k rows a query, whatever the number of equal distances, and these alone are shuffled.
+    Vectors with a null, of another dimension or without a length are at distance 1. Rows without an id are left out; ids of queries are unique.
+    """
+    kind = vectors.schema[id_column].dataType.simpleString()
+    schema = f"query_id {queries.schema[id_column].dataType.simpleString()}, id {kind}, distance double"
+    rows = vectors.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), "embedding")
+    queries = queries.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("query_id"), "embedding")
+    blocks = max(1, -(-queries.count() // block_rows))
+
+    def of_block(b: int) -> DataFrame:
+        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        names, listed = [r.query_id for r in block], [r.embedding for r in block]
+        by_dimension: dict[int, list[int]] = {}
+        for i, v in enumerate(listed):
+            by_dimension.setdefault(len(v or ()), []).append(i)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            asked = {d: (at, _matrix([listed[i] for i in at], d)) for d, at in by_dimension.items()}
+            best: list[list[tuple]] = [[] for _ in names]
+            for frame in frames:
+                ids, held = frame["id"].tolist(), frame["embedding"].tolist()
+                for d, (at, q) in asked.items():
+                    for i, far in zip(at, np.round(1 - q @ _matrix(held, d).T, 9), strict=True):
+                        edge = np.partition(far, k - 1)[k - 1] if len(far) > k else np.inf
+                        best[i] = heapq.nsmallest(k, best[i] + [(far[j], ids[j]) for j in np.flatnonzero(far <= edge)])
+            for name, top in zip(names, best, strict=True):
+                if top:
+                    yield pd.DataFrame({"query_id": [name] * len(top), "id": [i for _, i in top], "distance": [f for f, _ in top]})
+
+        return rows.mapInPandas(run, schema)
+
+    few = reduce(DataFrame.unionByName, map(of_block, range(blocks)))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")).cast("int")
+    return few.withColumn("dense_rank", rank).where(F.col("dense_rank") <= k)

@@ -6,7 +6,8 @@ comes back are ``top_k`` rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import asyncio
+from collections.abc import AsyncIterator, Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -111,3 +112,10 @@ def answer_stream(found: Retrieval) -> DataFrame:
     told = F.transform(F.split(answer, " "), lambda piece: F.struct(F.lit("token").alias("type"), F.concat(piece, F.lit(" ")).alias("content"), F.slice(cited, 1, 0).alias("citations")))
     sources = F.array(F.struct(F.lit("sources").alias("type"), F.lit("").alias("content"), cited.alias("citations")))
     return one.select(F.posexplode(F.concat(told, sources)).alias("position", "record")).select("position", "record.*")
+
+
+async def answer_records(found: Retrieval, *, pause: float = 0.01) -> AsyncIterator[dict]:
+    """The records of ``answer_stream`` in order, one at a time, for a caller that awaits them."""
+    for row in await asyncio.to_thread(answer_stream(found).orderBy("position").collect):
+        yield {"type": row.type, "content": row.content, "citations": [c.asDict() for c in row.citations]}
+        await asyncio.sleep(pause)

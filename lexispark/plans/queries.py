@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, dense, fusion, lexical, prompt, retrieve, store
-from ..sources import readers
+from ..sources import readers, synthetic
 from ..streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,6 +117,16 @@ def dense_topk_filtered(spark, sf_dir):
     return top.select("id", dense.similarity(F.col("distance")).alias("similarity"), "dense_rank")
 
 
+@query("dense_topk_each", """SELECT q.vec_id AS query_id, v.vec_id AS id, round(greatest(0E0, 1 - round(1 - list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9)), 4) AS similarity,
+  CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9), v.vec_id) AS INT) AS dense_rank
+  FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0 QUALIFY dense_rank <= 12""")
+def dense_topk_each(spark, sf_dir):
+    """Every row whose id is divisible by 100 asks; all rows are searched."""
+    vectors = table(spark, sf_dir, "embeddings")
+    top = dense.nearest_each(vectors, vectors.where("vec_id % 100 = 0"), 12)
+    return top.select("query_id", "id", dense.similarity(F.col("distance")).alias("similarity"), "dense_rank")
+
+
 def _fused(spark, sf_dir):
     near = dense.nearest(table(spark, sf_dir, "embeddings"), question_vector(spark, sf_dir), 12)
     return fusion.fuse(near, lexical.ranked(lexical.scores(corpus(spark, sf_dir), QUERY), 12), 4)
@@ -200,6 +210,17 @@ def chunk_vectors(spark, sf_dir):
     return _chunks(spark, sf_dir).join(vectors, F.col("doc_id") == F.col("vec_id")).select("chunk_id", "vec_id", "label")
 
 
+_ASKED = synthetic.QUESTION.replace("%s", "{}", 1).replace("%d", "{}").replace("%s", "{}")
+_KINDS = "[" + ", ".join(f"'{kind}'" for kind in synthetic.KINDS) + "]"
+
+
+@query("synthetic_questions", f"""WITH {CHUNKS}, few AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, chunk_id, i, row_number() OVER (PARTITION BY doc_id, i ORDER BY md5('42:' || i || ':' || chunk_id), chunk_id) AS drawn FROM chunks, range(1, 4) t(i) QUALIFY drawn <= 2)
+SELECT doc_id || '_qa' || lpad(CAST(i AS VARCHAR), 3, '0') AS qa_id, doc_id, format('{_ASKED}', {_KINDS}[i], i, doc_id) AS question, {_KINDS}[i] AS question_type, string_agg(chunk_id, ',' ORDER BY drawn) AS supporting FROM few GROUP BY doc_id, i""")
+def synthetic_questions(spark, sf_dir):
+    asked = synthetic.build_questions(_chunks(spark, sf_dir))
+    return asked.select("qa_id", "doc_id", "question", "question_type", F.array_join("supporting_chunk_ids", ",").alias("supporting"))
+
+
 @query("document_ids", "SELECT doc_id, 'doc_' || substring(sha256(source || '_' || CAST(n_chars AS VARCHAR)), 1, 8) AS file_id FROM documents")
 def document_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.document_id(F.col("source"), F.col("n_chars")).alias("file_id"))

@@ -1,9 +1,12 @@
+import asyncio
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexispark.operators import chunking, dense, fusion, lexical, prompt, retrieve
+from lexispark.sources import synthetic
 
 CHUNKS = [("doc1_c001", "contract_101", "The rent is paid each month to the owner"), ("doc1_c002", "contract_101", "Force majeure frees both sides"), ("doc2_c001", "rules_202", "Form code 98234-b is handed in first"), ("doc2_c002", "rules_202", "Breaks are at noon for all staff members")]
 
@@ -155,3 +158,48 @@ def test_chunks_of_page_arrays(spark):
     key = lambda r: (r.doc_id, r.chunk_index)
     assert sorted(chunking.chunk_documents(docs).collect(), key=key) == sorted(chunking.chunk_pages(pages).collect(), key=key)
     assert "Exchange" not in chunking.chunk_documents(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_of_each_query(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(120)]
+    rows += [(200 + i, rows[3][1]) for i in range(40)] + [(300, [0.0] * 4), (301, None), (302, [1.0]), (303, [1.0, None, 2.0, 3.0]), (None, rows[3][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    some = df.where("vec_id % 3 = 0 or vec_id > 299")
+
+    def unit(v):
+        v = np.array(v if v is not None and None not in v else [], float)
+        return v / np.linalg.norm(v) if v.any() else None
+
+    def far(a, b):
+        a, b = unit(a), unit(b)
+        return 1.0 if a is None or b is None or len(a) != len(b) else round(1 - float(a @ b), 9)
+
+    held = [r for r in rows if r[0] is not None]
+    asked = [r for r in held if r[0] % 3 == 0 or r[0] > 299]
+    want = {q: [i for _, i in sorted((far(v, x), i) for i, x in held)[:5]] for q, v in asked}
+    for block in (512, 7):
+        got = {}
+        for r in dense.nearest_each(df, some, 5, block_rows=block).orderBy("query_id", "dense_rank").collect():
+            got.setdefault(r.query_id, []).append(r.id)
+        assert got == want
+    assert dense.nearest_each(df, some.limit(0), 5).count() == 0 and dense.nearest_each(df.limit(0), some, 5).count() == 0
+
+
+def test_awaited_records(spark):
+    async def told(found):
+        return [r async for r in retrieve.answer_records(found, pause=0)]
+
+    found = retrieve.retrieve(collection(spark), "rent", vector(spark, "rent"), top_k=2)
+    records = asyncio.run(told(found))
+    assert [r["type"] for r in records] == ["token"] * (len(records) - 1) + ["sources"]
+    assert "".join(r["content"] for r in records).strip() == "بر اساس اسناد ارائه‌شده (صفحه 1):\n" + CHUNKS[0][2]
+    assert [c["doc_id"] for c in records[-1]["citations"]][0] == "contract_101"
+
+
+def test_synthetic_questions(spark):
+    chunks = spark.createDataFrame([("a", f"a_c{i:03d}") for i in range(9)] + [("b", "b_c000")], "doc_id string, chunk_id string")
+    once, again = (sorted(map(tuple, synthetic.build_questions(chunks).collect())) for _ in range(2))
+    assert once == again and [(r[0], len(r[5])) for r in once] == [("a_qa001", 2), ("a_qa002", 2), ("a_qa003", 2), ("b_qa001", 1), ("b_qa002", 1), ("b_qa003", 1)]
+    assert len({tuple(r[5]) for r in once[:3]}) > 1 and synthetic.build_questions(chunks.limit(0)).count() == 0
+    assert synthetic.build_questions(chunks).schema.simpleString().replace("struct<", "").replace(":", " ").startswith("qa_id string,doc_id string,question string")
