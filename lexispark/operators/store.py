@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
@@ -51,7 +52,7 @@ def model_switch(active: Column, wanted: Column, known: Column) -> Column:
 class Table:
     """A table of which each state is a folder of its own; the pointer with the highest number names the newest. Readers keep the state they opened."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
+    def __init__(self, spark: SparkSession, path: str, schema: str | StructType):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
         self._hadoop = spark._jvm.org.apache.hadoop.fs
 

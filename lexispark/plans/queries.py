@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import folders, schemas
 from ..functions import text as T
 from ..operators import chunking, dense, fusion, lexical, prompt, retrieve, store
 from ..sources import readers, synthetic
@@ -44,6 +45,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(spark: SparkSession, rows: DataFrame, label: str) -> store.Table:
+    """A table of its own in the shared folder, with ``rows`` in it."""
+    own = store.Table(spark, folders.new_folder(spark, label), rows.schema)
+    own.replace(rows)
+    return own
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.tokenised(table(spark, sf_dir, "documents"))
 
@@ -357,13 +365,15 @@ def files_new(spark, sf_dir):
 
 @query("files_delete_returning", f"WITH {FILES} SELECT id, 'chat' || chat_id || '_' || filename AS stored_path FROM files WHERE id IN (3, 4)")
 def files_delete_returning(spark, sf_dir):
-    gone = _files(spark, sf_dir).where(F.col("id").isin(3, 4))
+    gone = stored(spark, _files(spark, sf_dir), "files").delete(F.col("id").isin(3, 4))
     return gone.select("id", F.concat(F.lit("chat"), F.col("chat_id").cast("string"), F.lit("_"), "filename").alias("stored_path"))
 
 
 @query("files_update", f"WITH {FILES} SELECT id, CASE WHEN id = 5 THEN 'done' ELSE status END AS status FROM files")
 def files_update(spark, sf_dir):
-    return _files(spark, sf_dir).select("id", F.when(F.col("id") == 5, "done").otherwise(F.col("status")).alias("status"))
+    own = stored(spark, _files(spark, sf_dir), "files")
+    own.update(F.col("id") == 5, status=F.lit("done"))
+    return own.read().select("id", "status")
 
 
 @query("files_in_order", f"WITH {FILES} SELECT chat_id, string_agg(filename, ',' ORDER BY id) AS names FROM files GROUP BY chat_id")
@@ -387,7 +397,9 @@ def insert_with_ids(spark, sf_dir):
 
 @query("truncate_chats", f"WITH {CHATS} SELECT id, title FROM chats WHERE false")
 def truncate_chats(spark, sf_dir):
-    return _chats(spark, sf_dir).select("id", "title").limit(0)
+    own = stored(spark, _chats(spark, sf_dir).select("id", "title"), "chats")
+    own.truncate()
+    return own.read()
 
 
 @query("collection_counts", "SELECT lang AS collection, count(*) AS chunks, count(*) > 0 AS has_chunks FROM documents GROUP BY lang UNION ALL SELECT 'none', 0, false")
@@ -417,8 +429,9 @@ def upsert_latest(spark, sf_dir):
 
 @query("delete_document", "SELECT lang, count(*) AS n FROM documents WHERE NOT (lang = 'en' AND source = 'src1') GROUP BY lang")
 def delete_document(spark, sf_dir):
-    left = store.delete(table(spark, sf_dir, "documents"), (F.col("lang") == "en") & (F.col("source") == "src1"))
-    return left.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    own = stored(spark, table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "store")
+    own.delete((F.col("lang") == "en") & (F.col("source") == "src1"))
+    return own.read().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("drop_collection", "SELECT lang, count(*) AS n FROM documents WHERE lang <> 'de' GROUP BY lang")
@@ -426,9 +439,43 @@ def drop_collection(spark, sf_dir):
     return store.delete(table(spark, sf_dir, "documents"), F.col("lang") == "de").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("drop_all", "SELECT count(DISTINCT lang) AS dropped FROM documents")
+@query("drop_all", "SELECT count(DISTINCT lang) AS dropped, CAST(0 AS BIGINT) AS left_over FROM documents")
 def drop_all(spark, sf_dir):
-    return table(spark, sf_dir, "documents").agg(F.count_distinct("lang").alias("dropped"))
+    own = stored(spark, table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("collection")), "store")
+    n = own.drop_collections()
+    return own.read().agg(F.lit(n).cast("long").alias("dropped"), F.count(F.lit(1)).alias("left_over"))
+
+
+@query("switch_model", "WITH d AS (SELECT count(*) AS n FROM documents) SELECT 0 AS step, 'written' AS effect, n AS chunks FROM d UNION ALL SELECT 1, 'nothing', n FROM d UNION ALL SELECT 2, 'rejected', n FROM d UNION ALL SELECT 3, 'cleared', 0")
+def switch_model(spark, sf_dir):
+    """A store's first model, the same again, an unknown one and another known one: the effect, and the chunks that are left."""
+    own = stored(spark, table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("collection")), "store")
+    passport, steps = folders.new_folder(spark, "passport"), []
+    for i, wanted in enumerate(["bge-m3", "bge-m3", "nothing", "e5-small"]):
+        effect = store.switch_model(spark, wanted, passport, own, [])
+        steps.append((i, effect, own.read().count()))
+    return spark.createDataFrame(steps, "step int, effect string, chunks bigint")
+
+
+@query("json_documents", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, source AS filename, CAST(1 AS INT) AS page_number, md5(text) AS text_md5 FROM documents")
+def json_documents(spark, sf_dir):
+    """Documents written as JSON and scanned again with their declared schema."""
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("filename"), F.lit("real").alias("source_type"), F.lit(1).alias("page_number"), F.col("text").alias("raw_text"))
+    folder = folders.new_folder(spark, "documents")
+    readers.write_documents(pages, folder)
+    return readers.pages_of(readers.read_json(spark, folder, schemas.DOCUMENT, lines=True)).select("doc_id", "filename", "page_number", F.md5("raw_text").alias("text_md5"))
+
+
+@query("ingest_stream", "SELECT lang AS collection, source AS chunk_id, doc_id AS seq, md5(text) AS text_md5 FROM documents QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY doc_id DESC) = 1")
+def ingest_stream(spark, sf_dir):
+    """A stream of JSON files, upserted by key into a table; of equal keys the latest row stays."""
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("collection"), F.col("source").alias("chunk_id"), F.col("doc_id").alias("seq"), "text")
+    arrivals, checkpoint = folders.new_folder(spark, "arrivals"), folders.new_folder(spark, "stream")
+    own = store.Table(spark, folders.new_folder(spark, "store"), rows.schema)
+    for half in (0, 1):
+        rows.where(f"pmod(seq, 2) = {half}").write.mode("append").json(arrivals)
+        ingest.start_ingest(spark, arrivals, rows.schema, own, ["collection", "chunk_id"], checkpoint).awaitTermination()
+    return own.read().select("collection", "chunk_id", "seq", F.md5("text").alias("text_md5"))
 
 
 _KEYS = ", ".join(f"('{k}')" for k in readers.EMBEDDING_MODELS)

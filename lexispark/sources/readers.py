@@ -48,9 +48,9 @@ LANGUAGE_MODELS = {
 }
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array or object per file; a record that doesn't fit the schema fails the read."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def read_json(spark: SparkSession, path: str, schema: str, *, lines: bool = False) -> DataFrame:
+    """A JSON array or object per file, or per line, so that a large file is split; a record that doesn't fit the schema fails the read."""
+    return spark.read.schema(schema).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
 
 
 def pages_of(documents: DataFrame) -> DataFrame:

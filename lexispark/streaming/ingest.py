@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..operators.store import Table, upsert
 
@@ -21,7 +22,7 @@ WAITING = "⚠️ در حال پردازش اسناد .... لطفاً منتظر
 NO_DOCUMENTS = "⚠️ هنوز هیچ سندی به این گفتگو اضافه نشده است."
 
 
-def start_ingest(spark: SparkSession, source: str, schema: str, table: Table, keys: list[str], checkpoint: str) -> StreamingQuery:
+def start_ingest(spark: SparkSession, source: str, schema: str | StructType, table: Table, keys: list[str], checkpoint: str) -> StreamingQuery:
     """JSON files that appear in ``source`` go into ``table``; a batch that is run again changes nothing, as keys decide."""
     stream = spark.readStream.schema(schema).json(source)
 

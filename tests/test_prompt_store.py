@@ -131,6 +131,8 @@ def test_sources(spark, tmp_path):
     assert [(r.filename, r.page_number, r.raw_text) for r in got] == [("a.pdf", 1, "one"), ("a.pdf", 2, "page two"), ("a.pdf", 3, "")]
     (tmp_path / "d.json").write_text('[{"doc_id": "x", "filename": "f", "source_type": "real", "pages": [{"page_number": 1, "raw_text": "t"}]}]')
     assert readers.pages_of(readers.read_json(spark, str(tmp_path / "d.json"), schemas.DOCUMENT)).first().raw_text == "t"
+    (tmp_path / "l.json").write_text('{"doc_id": "x", "pages": []}\n{"doc_id": "y", "pages": [{"page_number": 1, "raw_text": null}]}\n')
+    assert [tuple(r)[0::4] for r in readers.pages_of(readers.read_json(spark, str(tmp_path / "l.json"), schemas.DOCUMENT, lines=True)).collect()] == [("y", None)]
     assert readers.read_passport(spark, str(tmp_path / "none")) is None
     readers.write_passport(spark, str(tmp_path / "p"), "bge-m3")
     assert readers.read_passport(spark, str(tmp_path / "p")) == "bge-m3"
