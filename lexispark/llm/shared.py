@@ -1,48 +1,16 @@
-"""Folders that the driver and all executors share, and tables written there.
-
-``spark.checkpoint.dir`` names the shared folder. Only where it is unset on a local
-master (tests, a single machine) is a folder of our own made, and then it is used as if it had been set.
-"""
+"""Tables written in the folder that the driver and all executors share."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: list[str] = []
+from ..folders import new_folder
+
 #: Spark's setting for shuffle files to be removed when the query that made them ends.
 CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The fully qualified shared folder, without a slash at its end."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="lexispark-"))
-            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-        folder = f"file://{_own[0]}"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    if full.startswith("file:/") and not full.startswith("file://"):
-        full = "file://" + full[len("file:") :]
-    return full.rstrip("/")
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A folder name in the shared folder that nothing else uses."""
-    return f"{shared_root(spark)}/lexispark/{label}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Writes ``df`` as a table in the shared folder, which cuts its lineage; returns it read back, and its folder.
 
