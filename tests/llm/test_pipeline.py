@@ -1,5 +1,6 @@
 """The pipeline's stages against plain versions, each on what the stage before kept."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -7,6 +8,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 from lexispark.llm import token_files as tf
 from lexispark.llm.line_quality import fit_quality
+from lexispark.llm.shared import materialize
 
 from test_jaccard_join import plain as plain_components
 from test_native import plain_hits, water
@@ -47,3 +49,41 @@ def test_stages(spark):
         out = next(got)
         assert (out.doc_id, out.start, out.n_tokens, out.ids_crc32) == (r.doc_id, start, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids)))
         start += len(ids)
+
+
+def write_tables(spark, folder, docs, schema, items, labels):
+    spark.createDataFrame(docs, schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_cases(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, ties, repeated rows and clashing names."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, start long, copies int, component_id long"
+    rng = random.Random(4)
+    text = lambda n: " ".join("w" + "".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    clash = (0.5, 7, 8, 9, 10)
+    docs = [(i, text(30), "en", f"s{i % 3}", 1, *clash) for i in range(40)]
+    docs += [(40, docs[3][1], "en", "s0", 1, *clash), docs[5], docs[5]]
+    docs += [(41, text(20_000), None, None, None, None, None, None, None, None), (42, "", "en", "s1", 0, *clash), (None, None, None, None, None, *clash), (43, None, "en", "s1", None, *clash)]
+    item = text(13)
+    docs.append((44, item, "en", "s2", 1, *clash))
+    write_tables(spark, f"{tmp_path}/t", docs, schema, [(1, item), (None, None), (2, "")], [(i, 1, 0) for i in range(40)] + [(None, None, None)])
+    left, sizes = corpus_pipeline.documents(spark, f"{tmp_path}/t"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = left.columns
+        left, _ = materialize(stage(spark, left, f"{tmp_path}/t"), name)
+        rows = left.collect()
+        assert left.columns == columns and all(tuple(r) in docs for r in rows)
+        sizes[name] = Counter(r.doc_id for r in rows)
+    assert sizes["quality"] == Counter(d[0] for d in docs)
+    assert sizes["near_duplicates"].keys() == sizes["quality"].keys() - {40} and sizes["near_duplicates"][5] == 1
+    assert sizes["decontamination"] == sizes["near_duplicates"] - Counter([44])
+    out = corpus_pipeline.run(spark, f"{tmp_path}/t").collect()
+    assert Counter(r.doc_id for r in out) == sizes["mixture"] and min(r.n_tokens for r in out) >= 1
+    assert [r.start for r in sorted(out, key=lambda r: r.start)][0] == 0
+
+
+def test_empty_tables(spark, tmp_path):
+    write_tables(spark, tmp_path, [], "doc_id long, text string, lang string, source string, n_chars long", [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
