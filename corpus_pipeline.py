@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but
 the last return the columns of ``documents``.
+
+Cases: a null text counts as an empty one, is near to nothing and has no benchmark window. Rows with a null doc_id,
+source or any other null go through. Of equal texts, and of rows repeated with the same doc_id, one row stays. Texts of
+any length are read whole. Further columns may have any name, also one that a stage uses itself, and keep their values.
+An empty table gives no rows; without labels every document is kept by the first stage's neutral score.
 """
 
 from __future__ import annotations
