@@ -14,6 +14,7 @@ from .jaccard_sql import OP8_SQL
 from .line_quality import op10_quality_crf
 from .minimax_shards import op6_minimax_shards
 from .mix_sources import op5_mix_sources
+from .packing import op12_pack_documents
 from .secrets import op3_secret_scan
 from .token_files import op1_token_binary
 from .toxicity import op2_toxicity_crf
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_quality_crf": op10_quality_crf,
+        "op12_pack_documents": op12_pack_documents,
     }
 
 
