@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op13_align_tokenizers
 from .chat_format import OP4_SQL, op4_chat_format
 from .decontaminate import OP7_SQL, op7_decontaminate
 from .exact_dedup import OP9_SQL, op9_exact_dedup
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_exact_dedup": op9_exact_dedup,
         "op10_quality_crf": op10_quality_crf,
         "op12_pack_documents": op12_pack_documents,
+        "op13_align_tokenizers": op13_align_tokenizers,
     }
 
 
