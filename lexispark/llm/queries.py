@@ -16,6 +16,7 @@ from .line_quality import op10_quality_crf
 from .minimax_shards import op6_minimax_shards
 from .mix_sources import op5_mix_sources
 from .packing import op12_pack_documents
+from .prefix_trie import OP11_SQL, op11_prefix_trie
 from .secrets import op3_secret_scan
 from .token_files import op1_token_binary
 from .toxicity import op2_toxicity_crf
@@ -33,10 +34,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_quality_crf": op10_quality_crf,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_pack_documents": op12_pack_documents,
         "op13_align_tokenizers": op13_align_tokenizers,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4_SQL, "op7_decontaminate": OP7_SQL, "op8_jaccard_join": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op4_chat_format": OP4_SQL, "op7_decontaminate": OP7_SQL, "op8_jaccard_join": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op11_prefix_trie": OP11_SQL}
