@@ -1,5 +1,6 @@
 import asyncio
 import math
+import time
 
 import numpy as np
 import pytest
@@ -99,6 +100,23 @@ def test_windows_against_loop(spark):
     assert got == {n: plain(n) for n in range(1, 400)}
 
 
+def test_long_texts_are_cut_in_linear_time(spark):
+    """A million characters, beyond the basic plane too; a quadratic way takes more than half a minute."""
+    text = "ab é\n\U0001f600 cd" * 100_000
+    df = spark.createDataFrame([("d", 1, text)], "doc_id string, page_number int, text string")
+    docs = df.select("doc_id", F.array(F.struct("page_number", "text")).alias("pages"))
+    chunking.chunk_documents(docs.limit(0)).collect()
+    began = time.perf_counter()
+    got = chunking.chunk_documents(docs).select("chunk_index", "char_start", "char_end", "text").collect()
+    assert time.perf_counter() - began < 6
+    assert len(got) == (len(text) - 21) // 60 + 1
+    for r in [*got[:50], *got[-3:]]:
+        assert r.char_start == 60 * r.chunk_index and r.text == text[r.char_start : r.char_start + 80].strip() and r.char_end == min(len(text), r.char_start + 80)
+    assert chunking.chunk_pages(df).count() == len(got)
+    wide = chunking.windows(df, size=7, overlap=6).limit(100).collect()
+    assert [r.window for r in wide] == [text[i : i + 7] for i in range(100)]
+
+
 def model():
     def embed(texts):
         """Two numbers that tell texts about rent from others."""
