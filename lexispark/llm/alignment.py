@@ -23,9 +23,11 @@ repeated doc_ids and repeated rows each keep a row. An empty table gives no rows
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from .line_quality import blocks
 from .shared import discard, documents, materialize
 
-BLOCK, STRIPES, STRIPE_ROWS = 8 << 20, 256, 4096
+BLOCK, STRIPES, STRIPE_ROWS = 4 << 20, 256, 4096
 #: Units in the younger half of the cache, and bytes of the longest one that is kept.
 CACHED_UNITS, LONGEST_CACHED = 100_000, 200
 
@@ -50,9 +52,8 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@dataclass(frozen=True, slots=True)
-class Unit:
-    """What stands between two borders, aligned. Pairs are b_id * n_a + a_id for each link."""
+class Unit(NamedTuple):
+    """What stands between two borders, aligned: its numbers, its groups with a semicolon behind each, and b_id * size_a + a_id of each link."""
 
     ok: bool
     n_a: int
@@ -77,6 +78,9 @@ class Aligner:
             self.bytes_a[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE_MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.length_a, self.length_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
+        numbers = range(max(self.size_a, len(pieces)))
+        self.text_comma, self.text_bar, self.text_end = (np.array([f"{i}{c}" for i in numbers], object) for c in ",|;")
         #: No piece goes on after a space or holds a newline: then B can be cut there too.
         self.cuts = not any(_SPACE_MARK in p.lstrip(_SPACE_MARK) or "\n" in p for p in pieces)
         self.space = self.b.piece_to_id(_SPACE_MARK)
@@ -92,41 +96,58 @@ class Aligner:
         ids = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
         return [[self.space] if u == " " else i if u[0] == " " else i[1:] if i[:1] == [self.space] else [] for u, i in zip(units, ids, strict=True)]
 
+    def _spelled(self, raw: list[bytes], a: list[list[int]], b: list[list[int]]) -> np.ndarray:
+        """Which units both tokenizers' tokens spell; all of them are looked at together first."""
+        whole = b"".join(raw)
+        spell = lambda table, ids: b"".join(map(table.__getitem__, ids))
+        sides = ((self.bytes_a, self.length_a, a), (self.bytes_b, self.length_b, b))
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        ok = np.ones(len(raw), bool)
+        for table, length, ids in sides:
+            flat, first = _flat(ids)
+            if (_sums(length[flat], first) != sizes).any() or spell(table, flat.tolist()) != whole:
+                ok &= np.fromiter((spell(table, i) == r for i, r in zip(ids, raw, strict=True)), bool, len(raw))
+        return ok
+
     def align(self, units: list[str]) -> list[Unit]:
-        found = self.a.encode_batch_fast(units, add_special_tokens=False)
-        return [self._aligned(u.encode(), a.ids, b) for u, a, b in zip(units, found, self._ids_b(units), strict=True)]
-
-    def _aligned(self, raw: bytes, a: list[int], b: list[int]) -> Unit:
-        of_a, of_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(of_a) != raw or b"".join(of_b) != raw:
-            return Unit(False, 0, 0, 0, "", b"")
-        groups, pairs, i, j, first_a, first_b, end_a, end_b = [], [], 0, 0, 0, 0, len(of_a[0]), len(of_b[0])
-        while True:
-            if end_a == end_b:
-                pairs.append(b[j] * self.size_a + a[i])
-                groups.append(f"{','.join(map(str, a[first_a : i + 1]))}|{','.join(map(str, b[first_b : j + 1]))}")
-                i, j = i + 1, j + 1
-                first_a, first_b = i, j
-                if i == len(a):
-                    break
-                end_a, end_b = end_a + len(of_a[i]), end_b + len(of_b[j])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(of_a[i])
-            else:
-                j += 1
-                end_b += len(of_b[j])
-        return Unit(True, len(a), len(b), len(groups), ";".join(groups), np.array(pairs, np.int64).tobytes())
-
-    def look_up(self, units: list[str]) -> list[Unit]:
-        """Aligned units, which must be different; what is used again stays in the younger half of the cache."""
+        """All units at once: their tokens end to end, so that a border between units is one where both tokenizers end."""
+        if not units:
+            return []
+        raw = [u.encode() for u in units]
+        of_a, of_b = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)], self._ids_b(units)
+        ok = self._spelled(raw, of_a, of_b)
+        if not ok.all():
+            good = iter(self.align([u for u, o in zip(units, ok.tolist(), strict=True) if o]))
+            return [next(good) if o else Unit(False, 0, 0, 0, "", b"") for o in ok.tolist()]
+        (a, first_a), (b, first_b) = _flat(of_a), _flat(of_b)
+        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        place = np.searchsorted(ends_b, ends_a)
+        last_a = ends_b[place] == ends_a
+        at_a, at_b = np.flatnonzero(last_a), place[last_a]
+        last_b = np.zeros(len(b), bool)
+        last_b[at_b] = True
+        # Each token's text goes behind those of its group and of the groups before: A's ids, then B's.
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        texts = np.empty(len(a) + len(b), object)
+        texts[np.arange(len(a)) + np.concatenate([[0], at_b + 1])[group_a]] = np.where(last_a, self.text_bar[a], self.text_comma[a])
+        texts[np.arange(len(b)) + (at_a + 1)[group_b]] = np.where(last_b, self.text_end[b], self.text_comma[b])
+        pairs = (b[at_b] * self.size_a + a[at_a]).tobytes()
+        n_a, n_b = np.diff(first_a, append=len(a)), np.diff(first_b, append=len(b))
+        n_groups = _sums(last_a.astype(np.int64), first_a)
+        text_ends, pair_ends, texts = np.cumsum(n_a + n_b).tolist(), (np.cumsum(n_groups) * 8).tolist(), texts.tolist()
+        counts = zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(), [0, *text_ends], text_ends, [0, *pair_ends], pair_ends, strict=False)
+        return [Unit(True, x, y, z, "".join(texts[s:e]), pairs[i:j]) for x, y, z, s, e, i, j in counts]
+
+    def look_up(self, units: list[str], often: np.ndarray) -> list[Unit]:
+        """Aligned units, which must be different. Those that occur often are kept; what is used again stays in the younger half of the cache."""
         if len(self.known) > CACHED_UNITS:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         known.update((u, older[u]) for u in older.keys() & set(units))
         fresh = [u for u in units if u not in known]
         aligned = dict(zip(fresh, self.align(fresh), strict=True)) if fresh else {}
-        known.update((u, x) for u, x in aligned.items() if len(u) <= LONGEST_CACHED)
+        kept = {u for u, o in zip(units, often.tolist(), strict=True) if o}
+        known.update((u, x) for u, x in aligned.items() if u in kept and len(u) <= LONGEST_CACHED)
         return [known[u] if u in known else aligned[u] for u in units]
 
 
@@ -140,6 +161,12 @@ def aligner_of(path_a: str, path_b: str) -> Aligner:
     return _aligners[path_a, path_b]
 
 
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids end to end, and the place of each list's first one."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(sizes.sum())), np.cumsum(sizes) - sizes
+
+
 def split_units(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
     """The units of all texts, each with a space in front, and the place of each text's first one.
 
@@ -196,7 +223,7 @@ def _block_rows(aligner: Aligner, block: int, doc_ids: list, texts: list[str], s
     else:
         split, first = pa.array([" " + texts[nth] for nth in places], pa.large_string()).dictionary_encode(), np.arange(len(places))
     of = split.indices.to_numpy()
-    units = aligner.look_up(split.dictionary.to_pylist())
+    units = aligner.look_up(split.dictionary.to_pylist(), np.bincount(of, minlength=len(split.dictionary)) > 1)
     number = lambda get: np.fromiter(map(get, units), np.int64, len(units))
     ok = _sums(number(lambda u: not u.ok)[of], first) == 0
     sums = [_sums(number(get)[of], first).tolist() for get in (lambda u: u.n_a, lambda u: u.n_b, lambda u: u.n_groups)]
@@ -208,7 +235,7 @@ def _block_rows(aligner: Aligner, block: int, doc_ids: list, texts: list[str], s
             rows.append(empty(nth))
             continue
         own = of[edges[i] : edges[i + 1]]
-        digest = hashlib.sha256(";".join(map(groups.__getitem__, own.tolist())).encode()).hexdigest()
+        digest = hashlib.sha256("".join(map(groups.__getitem__, own.tolist()))[:-1].encode()).hexdigest()
         rows.append((DOCUMENT, block, nth, doc_ids[nth], sums[0][i], sums[1][i], sums[2][i], digest, None, None, own.astype("<u4").tobytes(), None))
     # Different pairs of the block, by stripe, and how often each occurs in its documents.
     size = number(lambda u: len(u.pairs) // 8)

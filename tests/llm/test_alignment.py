@@ -80,7 +80,7 @@ def test_cut_texts_equal_whole_ones(text):
     found = aligner.align(units)
     if all(u.ok for u in found):
         whole = [tuple(map(tuple, g)) for g in groups]
-        parts = [tuple(tuple(map(int, side.split(","))) for side in g.split("|")) for u in found for g in u.groups.split(";")]
+        parts = [tuple(tuple(map(int, side.split(","))) for side in g.split("|")) for u in found for g in u.groups[:-1].split(";")]
         assert parts == whole and sum(u.n_a for u in found) == n_a and sum(u.n_b for u in found) == n_b
     else:
         assert (n_a, n_b, groups) == (0, 0, [])
