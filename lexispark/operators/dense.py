@@ -1,13 +1,11 @@
-"""Exact vector search by cosine similarity."""
+"""Vector search by cosine similarity: one query as a broadcast row, many in blocks."""
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,15 +42,16 @@ def candidate_depth(top_k: int, total: int) -> int:
 
 
 def nearest(vectors: DataFrame, query: DataFrame, k: int, *, id_column: str = "vec_id", only: Column | None = None) -> DataFrame:
-    """id, distance, dense_rank of the k nearest. ``query`` is one row with a column ``embedding``; one row is what is broadcast."""
+    """id, distance, dense_rank of the k nearest. ``query`` is one row with a column ``embedding``; one row is what is broadcast, a second one is an error."""
     rows = vectors if only is None else vectors.where(only)
-    one = F.broadcast(query.select(F.col("embedding").alias("q")).limit(1))
+    alone = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("more than one query: use nearest_each"))).otherwise(F.first("embedding"))
+    one = F.broadcast(query.limit(2).agg(alone.alias("q"), F.count(F.lit(1)).alias("asked")).where("asked > 0").select("q"))
     far = rows.crossJoin(one).select(F.col(id_column).alias("id"), (1 - cosine(F.col("embedding"), F.col("q"))).alias("distance"))
     top = far.orderBy("distance", "id").limit(k)
     return top.withColumn("dense_rank", F.row_number().over(Window.orderBy("distance", "id")).cast("int"))
 
 
-def _matrix(vectors: list, dimension: int) -> np.ndarray:
+def unit_rows(vectors: list, dimension: int) -> np.ndarray:
     """Rows of length 1; those of another dimension, with a null or without a length are 0."""
     m = np.array([v if v is not None and len(v) == dimension else np.zeros(dimension) for v in vectors], float).reshape(len(vectors), dimension)
     m = np.where(np.isnan(m).any(axis=1, keepdims=True), 0.0, m)
@@ -60,41 +59,94 @@ def _matrix(vectors: list, dimension: int) -> np.ndarray:
     return m / np.where(length > 0, length, 1)
 
 
-def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, *, id_column: str = "vec_id", block_rows: int = 512) -> DataFrame:
-    """query_id, id, distance (9 places), dense_rank: the k nearest rows of each row of ``queries``, by distance, then id.
+class Best:
+    """The k nearest vectors of each query of a block, kept while vectors stream by."""
 
-    Queries go in blocks of about ``block_rows``, and only one block's vectors are held by a task and by the driver while the
-    plan is made. A task keeps k rows a query, whatever the number of equal distances, and these alone are shuffled.
-    Vectors with a null, of another dimension or without a length are at distance 1. Rows without an id are left out; ids of queries are unique.
+    def __init__(self, names: list, vectors: list, k: int):
+        self.names, self.k = names, k
+        at: dict[int, list[int]] = {}
+        for i, v in enumerate(vectors):
+            at.setdefault(len(v or ()), []).append(i)
+        self.asked = {d: (places, unit_rows([vectors[i] for i in places], d)) for d, places in at.items()}
+        self.found: list[list[tuple]] = [[] for _ in names]
+
+    def see(self, ids: list, vectors: list) -> None:
+        # In order of id, so that of equally near vectors the first places are the ones to keep.
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        ids, vectors = [ids[i] for i in order], [vectors[i] for i in order]
+        for d, (places, q) in self.asked.items():
+            far = np.round(1 - q @ unit_rows(vectors, d).T, 9)
+            edges = np.partition(far, self.k - 1, axis=1)[:, self.k - 1] if len(ids) > self.k else np.full(len(places), np.inf)
+            for i, row, edge in zip(places, far, edges, strict=True):
+                old = self.found[i]
+                if len(old) == self.k and old[-1][0] < row.min():
+                    continue
+                inside = np.flatnonzero(row < edge)
+                some = np.concatenate([inside, np.flatnonzero(row == edge)[: self.k - len(inside)]]) if edge < np.inf else np.arange(len(ids))
+                self.found[i] = sorted(old + [(float(row[j]), ids[j]) for j in some])[: self.k]
+
+    def rows(self) -> list[tuple]:
+        return [(name, i, far) for name, top in zip(self.names, self.found, strict=True) for far, i in top]
+
+
+#: Vectors that one task reads for a block of queries, and queries of a block, at most (about, as both are dealt by hashes).
+SEGMENT_ROWS, BLOCK_ROWS = 200_000, 512
+
+
+def nearest_in_cells(vectors: DataFrame, queries: DataFrame, k: int, *, segment_rows: int = SEGMENT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """query_id, id, distance, dense_rank: the k nearest of those vectors (id, embedding, cell) that are in the cells of a query (query_id, embedding, cell).
+
+    A cell's vectors are dealt over segments and its queries over blocks. One task streams a segment past a block, so it holds a block and
+    one batch of vectors whatever a cell's size is, and only k rows a query leave it. A cell's numbers of rows, one row a cell, are all that is joined.
     """
-    kind = vectors.schema[id_column].dataType.simpleString()
-    schema = f"query_id {queries.schema[id_column].dataType.simpleString()}, id {kind}, distance double"
-    rows = vectors.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), "embedding")
-    queries = queries.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("query_id"), "embedding")
-    blocks = max(1, -(-queries.count() // block_rows))
-
-    def of_block(b: int) -> DataFrame:
-        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
-        names, listed = [r.query_id for r in block], [r.embedding for r in block]
-        by_dimension: dict[int, list[int]] = {}
-        for i, v in enumerate(listed):
-            by_dimension.setdefault(len(v or ()), []).append(i)
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            asked = {d: (at, _matrix([listed[i] for i in at], d)) for d, at in by_dimension.items()}
-            best: list[list[tuple]] = [[] for _ in names]
-            for frame in frames:
-                ids, held = frame["id"].tolist(), frame["embedding"].tolist()
-                for d, (at, q) in asked.items():
-                    for i, far in zip(at, np.round(1 - q @ _matrix(held, d).T, 9), strict=True):
-                        edge = np.partition(far, k - 1)[k - 1] if len(far) > k else np.inf
-                        best[i] = heapq.nsmallest(k, best[i] + [(far[j], ids[j]) for j in np.flatnonzero(far <= edge)])
-            for name, top in zip(names, best, strict=True):
-                if top:
-                    yield pd.DataFrame({"query_id": [name] * len(top), "id": [i for _, i in top], "distance": [f for f, _ in top]})
-
-        return rows.mapInPandas(run, schema)
-
-    few = reduce(DataFrame.unionByName, map(of_block, range(blocks)))
+    spread = lambda rows, name, most: rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+    sizes = spread(vectors, "segments", segment_rows).join(spread(queries, "blocks", block_rows), "cell")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    no_id, no_query = (F.lit(None).cast(rows.schema[c].dataType) for rows, c in ((vectors, "id"), (queries, "query_id")))
+    held = vectors.join(sizes, "cell").select("cell", F.pmod(F.xxhash64("id", F.lit(1)), "segments").cast("int").alias("segment"), every("blocks").alias("block"), no_query.alias("query_id"), "id", F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = queries.join(sizes, "cell").select("cell", every("segments").alias("segment"), F.pmod(F.xxhash64("query_id", F.lit(2)), "blocks").cast("int").alias("block"), "query_id", no_id.alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = asked.withColumn("part", F.lit(0))
+    dealt = asked.unionByName(held.withColumn("part", F.lit(1))).repartition("cell", "segment", "block").sortWithinPartitions("cell", "segment", "block", "part")
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, distance double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, best, names, asked = None, None, [], []
+
+        def tell() -> Iterator[pa.RecordBatch]:
+            if best is not None and (rows := best.rows()):
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["query_id", "id", "distance"])
+
+        for batch in batches:
+            column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
+            types = [column("query_id").type, column("id").type, pa.float64()]
+            keys = list(zip(column("cell").to_pylist(), column("segment").to_pylist(), column("block").to_pylist(), strict=True))
+            parts, at = column("part").to_pylist(), 0
+            while at < len(keys):
+                end = at
+                while end < len(keys) and keys[end] == keys[at] and parts[end] == parts[at]:
+                    end += 1
+                if keys[at] != now:
+                    yield from tell()
+                    now, best, names, asked = keys[at], None, [], []
+                if parts[at] == 0:
+                    names += column("query_id").slice(at, end - at).to_pylist()
+                    asked += column("embedding").slice(at, end - at).to_pylist()
+                else:
+                    best = best or Best(names, asked, k)
+                    best.see(column("id").slice(at, end - at).to_pylist(), column("embedding").slice(at, end - at).to_pylist())
+                at = end
+        yield from tell()
+
+    few = dealt.mapInArrow(run, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")).cast("int")
     return few.withColumn("dense_rank", rank).where(F.col("dense_rank") <= k)
+
+
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, *, id_column: str = "vec_id", segment_rows: int = SEGMENT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """query_id, id, distance (9 places), dense_rank: the k nearest rows of each row of ``queries``, by distance, then id, exactly.
+
+    Vectors with a null, of another dimension or without a length are at distance 1. Rows without an id are left out; ids of queries are unique.
+    """
+    plain = lambda rows, name: rows.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias(name), "embedding", F.lit(0).alias("cell"))
+    return nearest_in_cells(plain(vectors, "id"), plain(queries, "query_id"), k, segment_rows=segment_rows, block_rows=block_rows)

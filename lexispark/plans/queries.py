@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import folders, schemas
 from ..functions import text as T
-from ..operators import chunking, dense, fusion, lexical, prompt, retrieve, store
+from ..operators import chunking, dense, fusion, lexical, prompt, retrieve, store, vector_index
 from ..sources import readers, synthetic
 from ..streaming import ingest
 
@@ -135,6 +135,29 @@ def dense_topk_each(spark, sf_dir):
     return top.select("query_id", "id", dense.similarity(F.col("distance")).alias("similarity"), "dense_rank")
 
 
+def _index(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return vectors, vector_index.build_index(vectors, folders.new_folder(spark, "vectors"))
+
+
+@query("vector_index_exact", sql["dense_topk_each"])
+def vector_index_exact(spark, sf_dir):
+    """The index with all its cells probed is the exact search: every row lies in it."""
+    vectors, index = _index(spark, sf_dir)
+    top = vector_index.search_index(index, vectors.where("vec_id % 100 = 0"), 12, probes=vector_index.MOST_CELLS)
+    return top.select("query_id", "id", dense.similarity(F.col("distance")).alias("similarity"), "dense_rank")
+
+
+@query("vector_index_search")
+def vector_index_search(spark, sf_dir):
+    """Every row whose id is divisible by 100 asks the index, with as many probes as reach 0.95 on other queries; ``recall`` is measured against the exact search."""
+    vectors, index = _index(spark, sf_dir)
+    queries = vectors.where("vec_id % 100 = 0")
+    top = vector_index.search_index(index, queries, 12, probes=vector_index.probes_for(index, vectors, 12, 0.95))
+    measured = vector_index.recall(top, dense.nearest_each(vectors, queries, 12))
+    return top.select("query_id", "id", dense.similarity(F.col("distance")).alias("similarity"), "dense_rank").crossJoin(F.broadcast(measured.select(F.round("recall", 4).alias("recall"))))
+
+
 def _fused(spark, sf_dir):
     near = dense.nearest(table(spark, sf_dir, "embeddings"), question_vector(spark, sf_dir), 12)
     return fusion.fuse(near, lexical.ranked(lexical.scores(corpus(spark, sf_dir), QUERY), 12), 4)

@@ -196,7 +196,7 @@ def test_nearest_of_each_query(spark):
     held = [r for r in rows if r[0] is not None]
     asked = [r for r in held if r[0] % 3 == 0 or r[0] > 299]
     want = {q: [i for _, i in sorted((far(v, x), i) for i, x in held)[:5]] for q, v in asked}
-    for block in (512, 7):
+    for block in (512, 7):  # queries in one block or in several
         got = {}
         for r in dense.nearest_each(df, some, 5, block_rows=block).orderBy("query_id", "dense_rank").collect():
             got.setdefault(r.query_id, []).append(r.id)
