@@ -38,8 +38,8 @@ from .line_quality import blocks
 from .shared import discard, documents, materialize
 
 BLOCK, STRIPES, STRIPE_ROWS = 4 << 20, 256, 4096
-#: Units in the younger half of the cache, and bytes of the longest one that is kept.
-CACHED_UNITS, LONGEST_CACHED = 100_000, 200
+#: Units in the younger half of the cache, letters of the longest one that is kept, and units that are aligned together.
+CACHED_UNITS, LONGEST_CACHED, TOGETHER = 60_000, 100, 16_384
 
 _SPACE_MARK = "▁"
 _BORDER = re.compile(r"(?<=\S)(?=[ \n])")
@@ -145,10 +145,13 @@ class Aligner:
         known, older = self.known, self.older
         known.update((u, older[u]) for u in older.keys() & set(units))
         fresh = [u for u in units if u not in known]
-        aligned = dict(zip(fresh, self.align(fresh), strict=True)) if fresh else {}
-        kept = {u for u, o in zip(units, often.tolist(), strict=True) if o}
-        known.update((u, x) for u, x in aligned.items() if u in kept and len(u) <= LONGEST_CACHED)
-        return [known[u] if u in known else aligned[u] for u in units]
+        aligned: dict[str, Unit] = {}
+        for at in range(0, len(fresh), TOGETHER):
+            some = fresh[at : at + TOGETHER]
+            aligned.update(zip(some, self.align(some), strict=True))
+        found = [known[u] if u in known else aligned[u] for u in units]
+        known.update((u, x) for u, x, o in zip(units, found, often.tolist(), strict=True) if o and len(u) <= LONGEST_CACHED)
+        return found
 
 
 #: Aligners by their files: a worker keeps what it has learned from one task to the next.
@@ -182,7 +185,9 @@ def split_units(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
     # U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000
     blank |= (z == 0xE1) & (y == 0x9A) & (x == 0x80) | (z == 0xE3) & (y == 0x80) & (x == 0x80) | (z == 0xE2) & (y == 0x81) & (x == 0x9F)
     blank |= (z == 0xE2) & (y == 0x80) & ((x <= 0x8A) | (x == 0xA8) | (x == 0xA9) | (x == 0xAF))
-    offsets = np.union1d(starts, at[~blank])
+    cut = np.zeros(len(raw), bool)
+    cut[at[~blank]] = cut[starts] = True
+    offsets = np.flatnonzero(cut)
     units = pa.LargeStringArray.from_buffers(len(offsets), pa.py_buffer(np.append(offsets, len(raw)).astype(np.int64)), pa.py_buffer(raw))
     return units.dictionary_encode(), np.searchsorted(offsets, starts)
 
@@ -224,11 +229,10 @@ def _block_rows(aligner: Aligner, block: int, doc_ids: list, texts: list[str], s
         split, first = pa.array([" " + texts[nth] for nth in places], pa.large_string()).dictionary_encode(), np.arange(len(places))
     of = split.indices.to_numpy()
     units = aligner.look_up(split.dictionary.to_pylist(), np.bincount(of, minlength=len(split.dictionary)) > 1)
-    number = lambda get: np.fromiter(map(get, units), np.int64, len(units))
-    ok = _sums(number(lambda u: not u.ok)[of], first) == 0
-    sums = [_sums(number(get)[of], first).tolist() for get in (lambda u: u.n_a, lambda u: u.n_b, lambda u: u.n_groups)]
+    spelled, *numbers, groups, pairs_of = zip(*units, strict=True)
+    ok = _sums(~np.array(spelled)[of], first) == 0
+    sums = [_sums(np.array(n)[of], first).tolist() for n in numbers]
     edges = np.append(first, len(of)).tolist()
-    groups = [u.groups for u in units]
     used = np.bincount(of[np.repeat(ok, np.diff(edges))], minlength=len(units))
     for i, nth in enumerate(places):
         if not ok[i]:
@@ -238,8 +242,8 @@ def _block_rows(aligner: Aligner, block: int, doc_ids: list, texts: list[str], s
         digest = hashlib.sha256("".join(map(groups.__getitem__, own.tolist()))[:-1].encode()).hexdigest()
         rows.append((DOCUMENT, block, nth, doc_ids[nth], sums[0][i], sums[1][i], sums[2][i], digest, None, None, own.astype("<u4").tobytes(), None))
     # Different pairs of the block, by stripe, and how often each occurs in its documents.
-    size = number(lambda u: len(u.pairs) // 8)
-    flat = np.frombuffer(b"".join(u.pairs for u in units), np.int64)
+    size = np.array(numbers[2])
+    flat = np.frombuffer(b"".join(pairs_of), np.int64)
     pairs, place = np.unique(flat, return_inverse=True)
     times = np.zeros(len(pairs), np.int64)
     np.add.at(times, place, np.repeat(used, size))
