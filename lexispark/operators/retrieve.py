@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens, with_prefix, without_stopwords
-from . import dense, fusion, lexical, prompt
+from ..functions.text import strip, tokens, with_prefix, without_stopwords
+from . import dense, fusion, inverted, lexical, prompt, vector_index
 
 Embed = Callable[[list[str]], list[list[float]]]
 TOP = "chunk_id, doc_id, text, page_number, similarity, dense_rank, bm25_rank, score"
@@ -85,6 +85,52 @@ def retrieve(chunks: DataFrame, question: str, vector: DataFrame, *, top_k: int
     return Retrieval(question, top, fusion.gate(best, least), total, depth)
 
 
+@dataclass
+class Collection:
+    """A collection with its indexes: chunks (chunk_id, doc_id, text, page_number), postings, and vectors that are either indexed or rows of (id, embedding)."""
+
+    chunks: DataFrame
+    postings: inverted.Postings
+    vectors: vector_index.VectorIndex | DataFrame
+    total: int
+
+    @classmethod
+    def build(cls, chunks: DataFrame, path: str, *, indexed: bool = False) -> Collection:
+        """Writes a collection's postings, and with ``indexed`` a vector index, at ``path``."""
+        postings = inverted.build_postings(lexical.tokenised(chunks, "chunk_id"), f"{path}/postings")
+        vectors = chunks.select(F.col("chunk_id").alias("id"), "embedding")
+        held = vector_index.build_index(vectors, f"{path}/vectors", id_column="id") if indexed else vectors
+        return cls(chunks.drop("embedding"), postings, held, postings.texts)
+
+
+@dataclass
+class Retrievals:
+    questions: DataFrame  # query_id, question
+    top: DataFrame  # query_id, place, TOP: at most top_k rows a question
+    gate: DataFrame  # a row a question: max_similarity, any_lexical, has_relevant_context
+    depth: int
+
+
+def retrieve_each(held: Collection, questions: DataFrame, *, top_k: int = 4, least: float = 0.8, probes: int = 8) -> Retrievals:
+    """A whole retrieval for each question (query_id, question, embedding), all in one job.
+
+    Terms of all questions meet the stored postings, vectors meet questions in blocks; what is fused are two short lists a question.
+    Blank questions are left out; they have no row in the gate either.
+    """
+    asked = questions.where(F.length(strip(F.col("question"))) > 0)
+    depth = dense.candidate_depth(top_k, held.total)
+    words = asked.select("query_id", without_stopwords(tokens(F.col("question"))).alias("words"))
+    found = inverted.search(held.postings, words, depth)
+    vectors = asked.select("query_id", F.col("query_id").alias("id"), "embedding")
+    if isinstance(held.vectors, vector_index.VectorIndex):
+        near = vector_index.search_index(held.vectors, vectors, depth, id_column="id", probes=probes)
+    else:
+        near = dense.nearest_each(held.vectors, vectors, depth, id_column="id")
+    best = fusion.fuse_each(near, found, top_k)
+    top = held.chunks.select("chunk_id", "doc_id", "text", "page_number").join(best, F.col("chunk_id") == F.col("id")).select("query_id", "place", *TOP.split(", "))
+    return Retrievals(asked.select("query_id", strip(F.col("question")).alias("question")), top, fusion.gate_each(best, asked, least), depth)
+
+
 def has_sufficient_context(found: Retrieval | DataFrame) -> bool:
     """The gate of a retrieval; of plain chunks, whether there are any."""
     if isinstance(found, Retrieval):

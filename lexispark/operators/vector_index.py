@@ -29,15 +29,17 @@ MOST_CELLS, NOWHERE = 4096, -1
 class VectorIndex:
     path: str
     centroids: np.ndarray  # a row of length 1 a cell
+    schema: str  # of its rows
 
     def rows(self, spark: SparkSession) -> DataFrame:
         """id, embedding, cell; a filter on cell is a choice of folders."""
-        return spark.read.parquet(f"{self.path}/rows")
+        return spark.read.schema(self.schema).parquet(f"{self.path}/rows")
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> VectorIndex:
         text = spark.read.text(f"{path}/centroids", wholetext=True).first()[0]
-        return cls(path, np.array(json.loads(text), float))
+        said = json.loads(text)
+        return cls(path, np.array(said["centroids"], float), said["schema"])
 
 
 def _nearest_cells(embedding: pd.Series, centroids: np.ndarray, n: int) -> list[list[int]]:
@@ -100,8 +102,9 @@ def build_index(vectors: DataFrame, path: str, *, id_column: str = "vec_id", cel
     for _ in range(rounds):
         centroids = _moved(sample, centroids)
     assigned(plain, centroids).repartition("cell", F.pmod(F.xxhash64("id"), F.lit(8))).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
-    spark.createDataFrame([(json.dumps(centroids.tolist()),)], "text string").coalesce(1).write.mode("overwrite").text(f"{path}/centroids")
-    return VectorIndex(path, centroids)
+    schema = f"id {plain.schema['id'].dataType.simpleString()}, embedding {plain.schema['embedding'].dataType.simpleString()}, cell int"
+    spark.createDataFrame([(json.dumps({"centroids": centroids.tolist(), "schema": schema}),)], "text string").coalesce(1).write.mode("overwrite").text(f"{path}/centroids")
+    return VectorIndex(path, centroids, schema)
 
 
 def search_index(index: VectorIndex, queries: DataFrame, k: int, *, id_column: str = "vec_id", probes: int = 8, segment_rows: int = dense.SEGMENT_ROWS, block_rows: int = dense.BLOCK_ROWS) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import folders, schemas
 from ..functions import text as T
-from ..operators import chunking, dense, fusion, lexical, prompt, retrieve, store, vector_index
+from ..operators import chunking, dense, fusion, inverted, lexical, prompt, retrieve, store, vector_index
 from ..sources import readers, synthetic
 from ..streaming import ingest
 
@@ -45,9 +45,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(spark: SparkSession, rows: DataFrame, label: str) -> store.Table:
+def stored(spark: SparkSession, rows: DataFrame, label: str, *keys: str) -> store.Table:
     """A table of its own in the shared folder, with ``rows`` in it."""
-    own = store.Table(spark, folders.new_folder(spark, label), rows.schema)
+    own = store.Table(spark, folders.new_folder(spark, label), rows.schema, keys)
     own.replace(rows)
     return own
 
@@ -135,6 +135,14 @@ def dense_topk_each(spark, sf_dir):
     return top.select("query_id", "id", dense.similarity(F.col("distance")).alias("similarity"), "dense_rank")
 
 
+@query("bm25_postings_topk", sql["bm25_topk"].replace("round(score, 6) AS score, CAST", "round(score, 6) AS score, CAST"))
+def bm25_postings_topk(spark, sf_dir):
+    """The same question answered from stored postings; no text is read once they are there."""
+    held = inverted.build_postings(corpus(spark, sf_dir), folders.new_folder(spark, "postings"))
+    asked = spark.createDataFrame([(0, QUERY)], "query_id int, words array<string>")
+    return inverted.search(held, asked, 12).select("id", F.round("score", 6).alias("score"), "bm25_rank")
+
+
 def _index(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return vectors, vector_index.build_index(vectors, folders.new_folder(spark, "vectors"))
@@ -176,6 +184,38 @@ def relevance_gate(spark, sf_dir):
     return fusion.gate(_fused(spark, sf_dir))
 
 
+#: Every row whose id is divisible by 100 asks, with its own text and vector.
+EACH = f"""WITH {BM25.replace('FROM documents', 'FROM documents JOIN embeddings ON doc_id = vec_id')},
+post AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM w) GROUP BY id, term),
+q AS (SELECT id AS query_id, term, tf AS times FROM post WHERE id % 100 = 0),
+score AS (SELECT query_id, p.id, round(sum(times * idf * tf * 25E-1 / (tf + 15E-1 * (1 - 75E-2 + 75E-2 * dl / average))), 9) AS score FROM q JOIN post p USING (term) JOIN idf USING (term), s GROUP BY 1, 2),
+lex AS (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS bm25_rank FROM score WHERE score > 0 QUALIFY bm25_rank <= 15),
+near AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(1 - list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS distance FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0 AND q.vec_id IN (SELECT id FROM w) AND v.vec_id IN (SELECT id FROM w)),
+dense AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INT) AS dense_rank FROM near QUALIFY dense_rank <= 15),
+fused AS (SELECT query_id, id, CASE WHEN distance IS NOT NULL THEN round(greatest(0E0, 1 - distance), 4) END AS similarity, dense_rank, bm25_rank, round(coalesce(1E0 / (60 + dense_rank), 0) + coalesce(1E0 / (60 + bm25_rank), 0), 6) AS score
+  FROM dense FULL JOIN lex USING (query_id, id)),
+top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank ASC NULLS LAST, bm25_rank) AS INT) AS place FROM fused QUALIFY place <= 5)"""
+
+
+def _retrieved_each(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("doc_id"), "text", F.lit(1).alias("page_number"))
+    chunks = docs.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id")
+    held = retrieve.Collection.build(chunks, folders.new_folder(spark, "collection"))
+    questions = chunks.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("text").alias("question"), "embedding")
+    return retrieve.retrieve_each(held, questions, top_k=5)
+
+
+@query("retrieve_each", f"{EACH} SELECT query_id, place, id AS chunk_id, lang AS doc_id, md5(text) AS text_md5, similarity, dense_rank, bm25_rank, score FROM top JOIN documents ON id = doc_id")
+def retrieve_each(spark, sf_dir):
+    """A whole retrieval for every row whose id is divisible by 100, in one job."""
+    return _retrieved_each(spark, sf_dir).top.select("query_id", "place", "chunk_id", "doc_id", F.md5("text").alias("text_md5"), "similarity", "dense_rank", "bm25_rank", "score")
+
+
+@query("relevance_gate_each", f"{EACH} SELECT query_id, coalesce(max(similarity), 0E0) AS max_similarity, coalesce(bool_or(bm25_rank IS NOT NULL), false) AS any_lexical, coalesce(max(similarity), 0E0) >= 8E-1 OR coalesce(bool_or(bm25_rank IS NOT NULL), false) AS has_relevant_context FROM top GROUP BY query_id")
+def relevance_gate_each(spark, sf_dir):
+    return _retrieved_each(spark, sf_dir).gate
+
+
 QUESTION = " the tion que the "
 #: Chunks are documents that have a vector; ``lang`` stands for the document that a chunk is of.
 OF_CHUNKS = "FROM documents JOIN embeddings ON doc_id = vec_id WHERE lang IN ('en', 'es')"
@@ -388,13 +428,13 @@ def files_new(spark, sf_dir):
 
 @query("files_delete_returning", f"WITH {FILES} SELECT id, 'chat' || chat_id || '_' || filename AS stored_path FROM files WHERE id IN (3, 4)")
 def files_delete_returning(spark, sf_dir):
-    gone = stored(spark, _files(spark, sf_dir), "files").delete(F.col("id").isin(3, 4))
+    gone = stored(spark, _files(spark, sf_dir), "files", "id").delete(F.col("id").isin(3, 4))
     return gone.select("id", F.concat(F.lit("chat"), F.col("chat_id").cast("string"), F.lit("_"), "filename").alias("stored_path"))
 
 
 @query("files_update", f"WITH {FILES} SELECT id, CASE WHEN id = 5 THEN 'done' ELSE status END AS status FROM files")
 def files_update(spark, sf_dir):
-    own = stored(spark, _files(spark, sf_dir), "files")
+    own = stored(spark, _files(spark, sf_dir), "files", "id")
     own.update(F.col("id") == 5, status=F.lit("done"))
     return own.read().select("id", "status")
 
@@ -420,7 +460,7 @@ def insert_with_ids(spark, sf_dir):
 
 @query("truncate_chats", f"WITH {CHATS} SELECT id, title FROM chats WHERE false")
 def truncate_chats(spark, sf_dir):
-    own = stored(spark, _chats(spark, sf_dir).select("id", "title"), "chats")
+    own = stored(spark, _chats(spark, sf_dir).select("id", "title"), "chats", "id")
     own.truncate()
     return own.read()
 
@@ -452,7 +492,7 @@ def upsert_latest(spark, sf_dir):
 
 @query("delete_document", "SELECT lang, count(*) AS n FROM documents WHERE NOT (lang = 'en' AND source = 'src1') GROUP BY lang")
 def delete_document(spark, sf_dir):
-    own = stored(spark, table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "store")
+    own = stored(spark, table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "store", "doc_id")
     own.delete((F.col("lang") == "en") & (F.col("source") == "src1"))
     return own.read().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
@@ -464,7 +504,7 @@ def drop_collection(spark, sf_dir):
 
 @query("drop_all", "SELECT count(DISTINCT lang) AS dropped, CAST(0 AS BIGINT) AS left_over FROM documents")
 def drop_all(spark, sf_dir):
-    own = stored(spark, table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("collection")), "store")
+    own = stored(spark, table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("collection")), "store", "doc_id")
     n = own.drop_collections()
     return own.read().agg(F.lit(n).cast("long").alias("dropped"), F.count(F.lit(1)).alias("left_over"))
 
@@ -472,7 +512,7 @@ def drop_all(spark, sf_dir):
 @query("switch_model", "WITH d AS (SELECT count(*) AS n FROM documents) SELECT 0 AS step, 'written' AS effect, n AS chunks FROM d UNION ALL SELECT 1, 'nothing', n FROM d UNION ALL SELECT 2, 'rejected', n FROM d UNION ALL SELECT 3, 'cleared', 0")
 def switch_model(spark, sf_dir):
     """A store's first model, the same again, an unknown one and another known one: the effect, and the chunks that are left."""
-    own = stored(spark, table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("collection")), "store")
+    own = stored(spark, table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("collection")), "store", "doc_id")
     passport, steps = folders.new_folder(spark, "passport"), []
     for i, wanted in enumerate(["bge-m3", "bge-m3", "nothing", "e5-small"]):
         effect = store.switch_model(spark, wanted, passport, own, [])
@@ -494,13 +534,47 @@ def ingest_stream(spark, sf_dir):
     """A stream of JSON files, upserted by key into a table; of equal keys the latest row stays."""
     rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("collection"), F.col("source").alias("chunk_id"), F.col("doc_id").alias("seq"), "text")
     arrivals, checkpoint = folders.new_folder(spark, "arrivals"), folders.new_folder(spark, "stream")
-    own = store.Table(spark, folders.new_folder(spark, "store"), rows.schema)
+    own = store.Table(spark, folders.new_folder(spark, "store"), rows.schema, ["collection", "chunk_id"], order="seq")
     for half in (0, 1):
         rows.where(f"pmod(seq, 2) = {half}").write.mode("append").json(arrivals)
-        ingest.start_ingest(spark, arrivals, rows.schema, own, ["collection", "chunk_id"], checkpoint).awaitTermination()
+        ingest.start_ingest(spark, arrivals, rows.schema, own, checkpoint).awaitTermination()
     return own.read().select("collection", "chunk_id", "seq", F.md5("text").alias("text_md5"))
 
 
+@query("partial_upsert", "SELECT doc_id, CASE WHEN doc_id % 100 = 0 THEN md5(coalesce(text, '') || source) ELSE md5(text) END AS text_md5 FROM documents WHERE doc_id % 1000 <> 7")
+def partial_upsert(spark, sf_dir):
+    """A stored table of all documents of which a hundredth is upserted and a thousandth deleted; only their rows are written."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    own = stored(spark, rows, "store", "doc_id")
+    own.upsert(rows.where("doc_id % 100 = 0").withColumn("text", F.concat(F.coalesce("text", F.lit("")), "source")))
+    own.delete(F.col("doc_id") % 1000 == 7)
+    return own.read().select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query("chat_delete_everywhere", f"""WITH {MESSAGES}, {FILES}, gone AS (SELECT DISTINCT chat_id FROM messages WHERE role = 'system')
+SELECT 'chats' AS name, count(DISTINCT chat_id) AS left_over FROM messages WHERE chat_id NOT IN (SELECT * FROM gone)
+UNION ALL SELECT 'messages', count(*) FROM messages WHERE chat_id NOT IN (SELECT * FROM gone)
+UNION ALL SELECT 'files', count(*) FROM files WHERE chat_id NOT IN (SELECT * FROM gone)
+UNION ALL SELECT 'chunks', count(*) FROM documents WHERE doc_id % 50 NOT IN (SELECT * FROM gone)""")
+def chat_delete_everywhere(spark, sf_dir):
+    """Chats with a system message go from four tables in one commit, with their messages, files and chunks."""
+    messages = _messages(spark, sf_dir)
+    tables = {
+        "chats": messages.select(F.col("chat_id").alias("id")).distinct(),
+        "messages": messages.select("chat_id", "id", "role"),
+        "files": _files(spark, sf_dir).select("id", "chat_id"),
+        "chunks": table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 50).alias("chat_id"), "text"),
+    }
+    keys = {"chats": ("id",), "messages": ("chat_id", "id"), "files": ("id",), "chunks": ("doc_id",)}
+    held = store.Store(spark, folders.new_folder(spark, "chats"), {name: store.Spec(rows.schema, keys[name]) for name, rows in tables.items()})
+    with held.transaction() as change:
+        for name, rows in tables.items():
+            change.replace(name, rows)
+    store.delete_chats_of(held, messages.where("role = 'system'").select("chat_id"), {"messages": "chat_id", "files": "chat_id", "chunks": "chat_id"})
+    counts = [held.read(name).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("left_over")) for name in tables]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+
+
 _KEYS = ", ".join(f"('{k}')" for k in readers.EMBEDDING_MODELS)
 
 

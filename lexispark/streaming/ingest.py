@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.store import Table, upsert
+from ..operators.store import Table
 
 # Stages of an ingest with their progress, and messages of the guards.
 STAGES = (
@@ -22,12 +22,15 @@ WAITING = "⚠️ در حال پردازش اسناد .... لطفاً منتظر
 NO_DOCUMENTS = "⚠️ هنوز هیچ سندی به این گفتگو اضافه نشده است."
 
 
-def start_ingest(spark: SparkSession, source: str, schema: str | StructType, table: Table, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """JSON files that appear in ``source`` go into ``table``; a batch that is run again changes nothing, as keys decide."""
+def start_ingest(spark: SparkSession, source: str, schema: str | StructType, table: Table, checkpoint: str) -> StreamingQuery:
+    """JSON files that appear in ``source`` are upserted into a keyed ``table``, each batch as one delta.
+
+    A batch's number is committed with its rows, so a batch that is run again changes nothing.
+    """
     stream = spark.readStream.schema(schema).json(source)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        table.replace(upsert(table.read(), batch, keys))
+        table.upsert(batch, stream=checkpoint, batch=batch_id)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -65,27 +65,6 @@ def test_table_operations(spark, tmp_path):
     assert table.drop_collections() == 2 and table.read().count() == 0
 
 
-def test_failed_replace_leaves_the_old_state(spark, tmp_path):
-    table = store.Table(spark, f"file://{tmp_path}/t", "id long")
-    table.replace(spark.range(3))
-    for broken in (spark.range(3).withColumn("id", F.raise_error(F.lit("no")).cast("long")), None):
-        try:
-            if broken is None:
-                (tmp_path / "t" / "CURRENT-000000000001").mkdir()
-                (tmp_path / "t" / "CURRENT-000000000001").rmdir()
-                (tmp_path / "t" / "next-state-of-a-writer-that-was-lost").write_text("state-none")
-            else:
-                table.replace(broken)
-                raise AssertionError
-        except Exception as error:
-            assert "no" in str(error)
-        assert table.read().count() == 3
-    held = table.read()
-    table.replace(spark.range(5))
-    table.replace(spark.range(7))
-    assert table.read().count() == 7 and held.count() == 3
-
-
 def test_equal_seq_is_decided(spark):
     schema = "k string, v string, seq long"
     old, new = spark.createDataFrame([("a", "old", 1)], schema), spark.createDataFrame([("a", f"new{i}", 1) for i in range(5)], schema)
@@ -117,11 +96,11 @@ def test_streaming_upsert(spark, tmp_path):
     import json
 
     schema = "chunk_id string, text string, seq long"
-    source, table = tmp_path / "in", store.Table(spark, f"file://{tmp_path}/t", schema)
+    source, table = tmp_path / "in", store.Table(spark, f"file://{tmp_path}/t", schema, ["chunk_id"], order="seq", buckets=4)
     source.mkdir()
     for i, rows in enumerate([[("1", "a", 0), ("2", "b", 0)], [("2", "B", 1), ("3", "c", 1)], []]):
         (source / f"{i}.json").write_text("\n".join(json.dumps(dict(zip(("chunk_id", "text", "seq"), r, strict=True))) for r in rows))
-        ingest.start_ingest(spark, str(source), schema, table, ["chunk_id"], str(tmp_path / "cp")).awaitTermination()
+        ingest.start_ingest(spark, str(source), schema, table, str(tmp_path / "cp")).awaitTermination()
     assert {r.chunk_id: r.text for r in table.read().collect()} == {"1": "a", "2": "B", "3": "c"}
 
 

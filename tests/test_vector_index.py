@@ -73,6 +73,7 @@ def test_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<double>")
     index = vector_index.build_index(none, folders.new_folder(spark, "index"))
     assert len(index.centroids) == 1
+    assert vector_index.search_index(index, spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>"), 3).count() == 0
     some = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     index = vector_index.build_index(some, folders.new_folder(spark, "index"))
     assert vector_index.search_index(index, none, 3).count() == 0
