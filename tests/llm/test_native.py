@@ -213,6 +213,21 @@ def test_decontamination(spark):
     assert dc.decontaminate(df, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_equal_windows_are_one(spark):
+    """A text of one word, and items that share all their windows: no row for each pair of them."""
+    items = [(i, "a " * 40) for i in range(20)] + [(100 + i, "q w e r t z u i o p l k j") for i in range(200)] + [(400, "a " * 13 + "b")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(0, "a " * 3000)] + [(1 + i, "q w e r t z u i o p l k j") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert dc.benchmark_windows(bench, 13, "item_id", "text").count() == 3
+    for limit in (32 << 20, 0):
+        places = dc.find_places(df, bench, broadcast_bytes=limit)
+        assert places.rows.where("length is not null").count() == 3000 - 12 + 100 and places.owners.count() == 3
+        got = {r.doc_id: r for r in dc.decontaminate(df, bench, broadcast_bytes=limit).collect()}
+        assert got[0].n_hit == 3000 and got[0]["items"] == sorted(map(str, [*range(20), 400]))
+        assert all(got[i].n_hit == 13 and got[i]["items"] == sorted(str(100 + k) for k in range(200)) for i in range(1, 101))
+
+
 def test_items_without_an_id(spark):
     """Their windows hit words, but there is no id to list; documents without words keep a row each."""
     df = spark.createDataFrame([(1, "x a b c y"), (1, "x a b c y"), (2, None), (None, ""), (3, ", !")], "doc_id long, text string")
