@@ -17,8 +17,8 @@ def training_texts(
 ) -> list[tuple[str, int]]:
     """Whole texts and labels of at most ``most_of_class`` rows of each class, chosen by a hash of their id; never a held-out row.
 
-    Taken in that hash's order, a text that would bring the sample over ``most_bytes`` is left out, so rows and bytes
-    are both bounded. The chosen ids (a fixed number at most) are broadcast; the texts are collected.
+    Taken in that hash's order, the sample ends with the row that brings it to ``most_bytes``, which is read whole like all others: so
+    long texts are as likely to be in it as short ones. The chosen ids (a fixed number at most) are broadcast; the texts come one after another.
     """
     usable = labels.where(~held_out(id_column)).where(F.col(label).isin(*most_of_class)).where(F.col(id_column).isNotNull())
     chosen = None
@@ -30,9 +30,10 @@ def training_texts(
     sizes = texts.groupBy(id_column, F.xxhash64(id_column).alias("place")).agg(F.sum(F.octet_length("text")).alias("size")).collect()
     total, kept = 0, []
     for row in sorted(sizes, key=lambda r: (r.place, r[id_column])):
-        if total + row.size <= most_bytes:
-            total += row.size
-            kept.append(row[id_column])
+        if total >= most_bytes:
+            break
+        total += row.size
+        kept.append(row[id_column])
     if len(kept) < len(sizes):
         texts = texts.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in kept], texts.select(id_column).schema)), id_column, "left_semi")
     return sorted(((r.text, int(r.y)) for r in texts.select("text", "y").toLocalIterator()), key=lambda r: r)

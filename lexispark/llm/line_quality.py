@@ -8,7 +8,7 @@ lines of bad documents that the model calls good change theirs, and the model is
 A document's score is a calibrated function of the forward-backward marginals'
 mean, weighted by the lines' lengths.
 
-Fitted on at most ``most_good`` and ``most_bad`` labelled documents of ``most_bytes`` together, none of them held out; training
+Fitted on at most ``most_good`` and ``most_bad`` labelled documents in the order of a hash, up to the one that brings them to ``most_bytes``, none of them held out; training
 chains are cut at ``CHAIN`` lines.
 
 Cases: null and empty texts are one empty line. Any length is scored whole. Without labelled

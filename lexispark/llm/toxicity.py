@@ -11,7 +11,7 @@ power of one 2 x 2 matrix, so forward-backward visits only the tokens with featu
 for whole texts of any length. The marginals' largest and their sum become the document's score
 by a calibrated logistic function; tokens with a marginal of 0.5 or more are the spans, as code point offsets.
 
-Fitted on at most ``most_toxic`` and ``most_clean`` labelled documents of ``most_bytes`` together, none of them held out. All
+Fitted on at most ``most_toxic`` and ``most_clean`` labelled documents in the order of a hash, up to the one that brings them to ``most_bytes``, none of them held out. All
 their tokens count; training chains without features are alike, so those of one length are one chain that counts as often.
 
 Cases: null, empty and blank texts have no tokens and get the score of a text with one plain

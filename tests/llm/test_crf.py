@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexispark.llm import crf, line_quality, toxicity
 from lexispark.llm.labelled import training_texts
@@ -70,6 +71,59 @@ def test_toxic_spans():
     assert len(model.spans(long)) == 4
 
 
+def test_toxicity_scores_by_brute_force():
+    """A text's score from its tokens' weights, all label sequences, and the calibration, each worked out plainly."""
+    rng = random.Random(8)
+    weights = {"bad": 4.0, "bad1": 1.0, "bads*": 2.5, "snar*": 3.0, "nice": -1.5}
+    model = toxicity.ToxicSpans(weights, -2.0, np.array([-0.5, 0.3, 1.2]), np.array([0.4, 0.7, -0.2, 1.5, -1.0]), 0.3)
+    for _ in range(60):
+        words = [rng.choice(["bad", "Bad!", "bad1", "badsy", "snarky", "nice", "x", "plain", "é", "--"]) for _ in range(rng.randrange(0, 9))]
+        text = " ".join(w + rng.choice(["", " ", "\n"]) for w in words)
+        tokens = text.split()
+        u = []
+        for token in tokens:
+            word = token.lower().strip(toxicity.EDGES)
+            names = {word, *(word[:k] + "*" for k in (4, 5, 6) if len(word) >= k)} if word else set()
+            u.append(sum(weights.get(n, 0.0) for n in names))
+        p = plain_marginals(np.array(u) - 2.0, model.t) if tokens else np.zeros(0)
+        p = p[np.array(u) != 0] if tokens else p
+        top = max([-2.0, *(np.log(x / (1 - x)) for x in p)])
+        facts = [top, np.log1p(p.sum()), np.log1p((p >= 0.5).sum()), np.log1p(len(tokens)) / 10]
+        score = 1 / (1 + np.exp(-(np.dot(facts, model.calibration[:-1]) - 1.0)))
+        assert abs(model.score(text) - score) < 1e-9
+        marked = [i for i, x in enumerate(u) if x and plain_marginals(np.array(u) - 2.0, model.t)[i] >= 0.5]
+        assert [text[a:b] for a, b in model.spans(text)] == [tokens[i] for i in marked]
+
+
+def plain_line(line, lines):
+    raw = line.encode()
+    n = max(1, len(raw))
+    shares = lambda chars: min(1.0, 10 * sum(raw.count(c) for c in chars.encode()) / (n + 10))
+    capitals, small = sum(65 <= c <= 90 for c in raw), sum(97 <= c <= 122 or c >= 128 for c in raw)
+    w = line.split()
+    again = sum(a == b for a, b in zip(w, w[1:]))
+    marks = [shares("0123456789"), shares("#$%&*+<=>@\\^_`{}~[]/"), shares("!"), shares("|"), shares(".,;:?")]
+    return [capitals / (capitals + small + 20), *marks, again / (len(w) + 5), min(2.0, (capitals + small + 25) / (len(w) + 5) / 6), float(bool(w) and lines.count(line) > 1)]
+
+
+def test_quality_scores_by_brute_force():
+    """A text's score from its lines' features and those of their neighbours, all label sequences, lengths, and the calibration."""
+    rng = random.Random(8)
+    weights = np.random.default_rng(5).normal(size=3 * line_quality.N_OWN + 1)
+    model = line_quality.LineQuality(weights, np.array([-0.5, 0.3, 1.2]), np.array([2.0, 1.5, -0.7]))
+    texts = ["", "\n\n"] + ["\n".join(rng.choice(["Good line of words.", "$$$ 100% !!!", "a a a b", "| x | y |", "", "é É 12", "same", "same"]) for _ in range(rng.randrange(1, 8))) for _ in range(60)]
+    got = model.scores(texts)
+    for text, found in zip(texts, got, strict=True):
+        lines = text.split("\n")
+        own = [plain_line(x, lines) for x in lines]
+        none = [0.0] * line_quality.N_OWN
+        u = np.array([np.dot([*own[i], *(own[i - 1] if i else none), *(own[i + 1] if i + 1 < len(own) else none), 1.0], weights) for i in range(len(own))])
+        size = np.array([max(1, len(x.encode())) for x in lines], float)
+        q = float((plain_marginals(u, model.t) * size).sum() / size.sum())
+        q = min(max(q, 1e-4), 1 - 1e-4)
+        assert abs(found - 1 / (1 + np.exp(-(2.0 * q + 1.5 * np.log(q / (1 - q)) / 4 - 0.7)))) < 1e-9
+
+
 def test_without_labels():
     assert toxicity.fit([]).score("a") == 0.5 and toxicity.fit([("a", 0)]).score("a") == 0.0
     assert line_quality.fit([("a", 1)]).scores(["a", ""]).tolist() == [0.5, 0.5]
@@ -119,7 +173,10 @@ def test_training_rows(spark):
     assert ids == set(range(200)) - out and all(label == int(text.split()[1]) % 2 for text, label in rows if text)
     assert len(training_texts(docs, labels, "quality", {1: 5, 0: 7})) in (12, 13)
     some = training_texts(docs, labels, "quality", {1: 1000, 0: 1000}, most_bytes=300)
-    assert 0 < sum(len(text) for text, _ in some) <= 300
+    assert 300 <= sum(len(text) for text, _ in some) <= 320
+    long = docs.where("doc_id < 200").withColumn("text", F.when(F.col("doc_id") == min(ids), F.repeat(F.lit("long "), 10_000)).otherwise(F.col("text")))
+    whole = training_texts(long, labels, "quality", {1: 1000, 0: 1000}, most_bytes=45_000)
+    assert max(len(text) for text, _ in whole) == 50_000
     assert training_texts(docs.limit(0), labels, "quality", {1: 5}) == [] == training_texts(docs, labels.limit(0), "quality", {1: 5})
 
 
