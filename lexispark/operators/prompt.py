@@ -22,6 +22,7 @@ HEADER = "[منبع شماره {i} | سند: {doc} | شماره صفحه: {page}
 SEPARATOR = "\n\n---\n\n"
 ONLY_QUESTION = "پرسش کاربر:\n{question}"
 WITH_CONTEXT = "بر اساس «زمینه‌ها و اسناد مرجع» زیر، به پرسش مطرح‌شده با ذکر دقیق شماره صفحه پاسخ بده.\n\n### زمینه‌ها و اسناد مرجع:\n{context}\n\n### پرسش کاربر:\n{question}"
+ERROR = "⚠️ خطا در تولید پاسخ با مدل زبانی: {error}"
 MOCK_REPLY = "بر اساس اسناد ارائه‌شده (صفحه {page}):\n{text}"
 
 

@@ -7,13 +7,15 @@ comes back are ``top_k`` rows.
 from __future__ import annotations
 
 import asyncio
-from collections.abc import AsyncIterator, Callable, Iterator
+from collections.abc import AsyncIterator, Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions.text import strip, tokens, with_prefix, without_stopwords
 from . import dense, fusion, inverted, lexical, prompt, vector_index
@@ -160,6 +162,75 @@ def answer_stream(found: Retrieval) -> DataFrame:
     return one.select(F.posexplode(F.concat(told, sources)).alias("position", "record")).select("position", "record.*")
 
 
+RECORDS = "position int, type string, content string, citations array<struct<doc_id: string, filename: string, page_number: int, score: double, snippet: string>>"
+#: A language model: prompts to one run of tokens each.
+Answer = Callable[[list[str]], Iterable[Iterable[str]]]
+
+
+def _told(prompts: list[str], model: Answer) -> list[list[str]]:
+    """The tokens of each prompt. A prompt that fails ends with a token that says so; the others keep their answers."""
+
+    def drained(tokens: Iterable[str]) -> list[str]:
+        out: list[str] = []
+        try:
+            for token in tokens:
+                if token:
+                    out.append(token)
+        except Exception as error:
+            out.append(prompt.ERROR.format(error=error))
+        return out
+
+    try:
+        answers = list(model(prompts))
+        if len(answers) != len(prompts):
+            raise ValueError(f"{len(answers)} answers to {len(prompts)} prompts")
+    except Exception as error:
+        if len(prompts) == 1:
+            return [[prompt.ERROR.format(error=error)]]
+        return [tokens for one in prompts for tokens in _told([one], model)]
+    return [drained(tokens) for tokens in answers]
+
+
+def answer_each(found: Retrievals, load: Callable[[], Answer] | None = None, *, batch: int = 16) -> DataFrame:
+    """query_id, position, type, content, citations: each question's tokens in order, then one record of its sources.
+
+    ``load`` makes the model, once a task; it gets ``batch`` prompts at a time, of questions with relevant context only. Others get the fixed sentence and
+    no sources. Without ``load`` the answer repeats the best chunk.
+    """
+    chunk = F.struct("place", "text", "doc_id", "page_number", F.struct(*prompt.citation_columns()).alias("citation"))
+    rows = found.top.groupBy("query_id").agg(F.array_sort(F.collect_list(chunk)).alias("rows"))
+    one = found.questions.join(found.gate.select("query_id", "has_relevant_context"), "query_id").join(rows, "query_id", "left")
+    first, opened = F.get("rows", F.lit(0)), F.col("has_relevant_context")
+    cited = F.when(opened, F.transform("rows", lambda r: r["citation"])).otherwise(F.array().cast(RECORDS.partition("citations ")[2]))
+    if load is None:
+        said = F.when(opened, prompt.mock_answer(first["text"], first["page_number"])).otherwise(F.lit(prompt.FALLBACK))
+        told = F.transform(F.split(said, " "), lambda piece: F.concat(piece, F.lit(" ")))
+        answered = one.select("query_id", told.alias("told"), cited.alias("cited"))
+    else:
+        nothing = F.array().cast("array<struct<role: string, content: string>>")
+        asked = prompt.chatml(prompt.messages(nothing, prompt.user_message(F.col("question"), prompt.context_block(F.col("rows")))))
+        plain = one.select("query_id", F.when(opened, asked).alias("prompt"), cited.alias("cited"))
+        kept = [f for f in plain.schema if f.name != "prompt"]
+        schema = StructType([*kept, StructField("told", ArrayType(StringType()))])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model, without = load(), [f"{word} " for word in prompt.FALLBACK.split(" ")]
+            for rows in batches:
+                prompts = rows.column(1).to_pylist()
+                told: list[list[str]] = [without] * len(prompts)
+                at = [i for i, p in enumerate(prompts) if p is not None]
+                for first in range(0, len(at), batch):
+                    some = at[first : first + batch]
+                    for i, tokens in zip(some, _told([prompts[i] for i in some], model), strict=True):
+                        told[i] = tokens
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(told, pa.list_(pa.string()))], ["query_id", "cited", "told"])
+
+        answered = plain.mapInArrow(run, schema)
+    records = F.transform("told", lambda token: F.struct(F.lit("token").alias("type"), token.alias("content"), F.slice("cited", 1, 0).alias("citations")))
+    sources = F.array(F.struct(F.lit("sources").alias("type"), F.lit("").alias("content"), F.col("cited").alias("citations")))
+    return answered.select("query_id", F.posexplode(F.concat(records, sources)).alias("position", "record")).select("query_id", "position", "record.*")
+
+
 async def answer_records(found: Retrieval, *, pause: float = 0.01) -> AsyncIterator[dict]:
     """The records of ``answer_stream`` in order, one at a time, for a caller that awaits them."""
     for row in await asyncio.to_thread(answer_stream(found).orderBy("position").collect):

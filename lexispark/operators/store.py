@@ -10,9 +10,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from ..folders import new_folder
+from .dense import id_filter
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
@@ -38,21 +39,40 @@ def counts(rows: DataFrame, collections: DataFrame) -> DataFrame:
     return collections.select("collection").distinct().join(own, "collection", "left").select("collection", F.coalesce("n", F.lit(0)).alias("chunks"), (F.coalesce("n", F.lit(0)) > 0).alias("has_chunks"))
 
 
-def next_ids(existing: DataFrame, new: DataFrame, order: list[str], id_column: str = "id") -> DataFrame:
-    """New rows with ids after the largest there is, in their order; rows that are equal in it by a hash of the row.
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """Rows with their place (from 1) in an order; rows that are equal in it by a hash of the row.
 
-    Rows are dealt by ranges of the order and written, numbered within their range; only the number of rows of each range is summed up in one task.
+    They are dealt by ranges of the order and written, numbered within their range; only the number of rows of each range is summed up in one task.
     """
-    spark, folder = new.sparkSession, new_folder(new.sparkSession, "numbered")
-    ties = F.xxhash64(*new.columns)
-    dealt = new.repartitionByRange(*order, ties).sortWithinPartitions(*order, ties)
-    dealt.withColumn("nth", F.monotonically_increasing_id()).write.parquet(folder)
-    ranged = spark.read.parquet(folder).withColumn("part", F.shiftright("nth", 33))
-    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    top = existing.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("top"))
-    numbered = ranged.join(F.broadcast(before.crossJoin(top)), "part")
-    return numbered.withColumn(id_column, F.col("top") + F.col("before") + F.col("nth").bitwiseAND((1 << 33) - 1) + 1).select(*[c for c in new.columns if c != id_column], id_column)
+    spark, folder = rows.sparkSession, new_folder(rows.sparkSession, "numbered")
+    ties = F.xxhash64(*rows.columns)
+    dealt = rows.repartitionByRange(*order, ties).sortWithinPartitions(*order, ties)
+    dealt.withColumn(name, F.monotonically_increasing_id()).write.parquet(folder)
+    ranged = spark.read.schema(StructType([*rows.schema.fields, StructField(name, LongType())])).parquet(folder).withColumn("in_range", F.shiftright(name, 33))
+    sizes = ranged.groupBy("in_range").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("in_range", F.coalesce(F.sum("n").over(Window.orderBy("in_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("rows_before"))
+    place = F.col("rows_before") + F.col(name).bitwiseAND((1 << 33) - 1) + 1
+    return ranged.join(F.broadcast(before), "in_range").withColumn(name, place).drop("in_range", "rows_before")
+
+
+def next_ids(existing: DataFrame, new: DataFrame, order: list[str], id_column: str = "id") -> DataFrame:
+    """New rows with ids after the largest there is, in their order."""
+    top = existing.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("top_id"))
+    rows = numbered(new, order, "nth_row").crossJoin(F.broadcast(top))
+    return rows.withColumn(id_column, F.col("top_id") + F.col("nth_row")).select(*[c for c in new.columns if c != id_column], id_column)
+
+
+def ranks_of(wanted: DataFrame, ranking: DataFrame, order: list, id_column: str) -> DataFrame:
+    """``wanted`` with the ``place`` of its rows in a whole ranking; null where the ranking doesn't have them. No place is cut off."""
+    keys = [c for c in ranking.columns if c == id_column]
+    return wanted.join(numbered(ranking, order, "place").select(*keys, "place"), id_column, "left")
+
+
+def collection_scan(rows: DataFrame, collection: str, doc_ids: object = None) -> DataFrame:
+    """The rows of one collection, of these documents where any are named; a collection that isn't there has none."""
+    only = id_filter("doc_id", doc_ids)
+    own = rows.where(F.col("collection") == collection)
+    return own if only is None else own.where(only)
 
 
 def touched(chats: DataFrame, messages: DataFrame) -> DataFrame:
@@ -383,6 +403,17 @@ class Table:
     def read(self) -> DataFrame:
         return self.store.read(self.name)
 
+    def get(self, **keys: object) -> DataFrame:
+        """The row with these keys, if there is one; only its bucket is read."""
+        spec = self.store.tables[self.name]
+        if set(keys) != set(spec.keys):
+            raise ValueError(f"the keys are {', '.join(spec.keys)}")
+        types = {f.name: f.dataType for f in _struct(spec.schema).fields}
+        literals = [F.lit(keys[k]).cast(types[k]).alias(k) for k in spec.keys]
+        bucket = self.store.spark.range(1).select(*literals).select(self.store._bucket(spec).alias("b")).first().b
+        rows = self.store.read(self.name, only={str(bucket)})
+        return rows.where(reduce(Column.__and__, (F.col(k).eqNullSafe(F.lit(keys[k]).cast(types[k])) for k in spec.keys)))
+
     def replace(self, rows: DataFrame) -> None:
         with self.store.transaction() as change:
             change.replace(self.name, rows)

@@ -80,7 +80,7 @@ w AS (SELECT doc_id AS id, {TOKENS} AS w FROM documents),
 s AS (SELECT count(*) AS n, avg(len(w)) AS average FROM w),
 df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT id, unnest(w) AS term FROM w) GROUP BY term),
 raw AS (SELECT term, df, ln(n - df + 5E-1) - ln(df + 5E-1) AS raw FROM df, s),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 25E-2 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
+idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 25E-2 * avg(raw) OVER () ELSE raw END AS idf FROM raw)"""
 SCORES = """,
 q AS (SELECT term, count(*) AS times FROM (SELECT unnest(['the', 'tion', 'que', 'the']) AS term) GROUP BY term),
 tf AS (SELECT id, len(w) AS dl, term, times, len(list_filter(w, lambda x: x = term)) AS tf FROM w, q),
@@ -184,6 +184,12 @@ def relevance_gate(spark, sf_dir):
     return fusion.gate(_fused(spark, sf_dir))
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_WITH_HEAD, _WITH_MIDDLE, _WITH_TAIL = (prompt.WITH_CONTEXT.partition("{context}")[0], *prompt.WITH_CONTEXT.partition("{context}")[2].partition("{question}")[::2])
+_SQL_PROMPT = f"'<|im_start|>system' || chr(10) || {_quoted(prompt.SYSTEM.strip())} || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || {strip_sql(f"{_quoted(_WITH_HEAD)} || context || {_quoted(_WITH_MIDDLE)} || {strip_sql('text')} || {_quoted(_WITH_TAIL)}")} || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)"
 #: Every row whose id is divisible by 100 asks, with its own text and vector.
 EACH = f"""WITH {BM25.replace('FROM documents', 'FROM documents JOIN embeddings ON doc_id = vec_id')},
 post AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM w) GROUP BY id, term),
@@ -211,6 +217,54 @@ def retrieve_each(spark, sf_dir):
     return _retrieved_each(spark, sf_dir).top.select("query_id", "place", "chunk_id", "doc_id", F.md5("text").alias("text_md5"), "similarity", "dense_rank", "bm25_rank", "score")
 
 
+SAID = f"""{EACH}, gate AS (SELECT query_id, coalesce(max(similarity), 0E0) >= 8E-1 OR coalesce(bool_or(bm25_rank IS NOT NULL), false) AS open FROM top GROUP BY query_id),
+placed AS (SELECT t.*, d.text, d.lang FROM top t JOIN documents d ON t.id = d.doc_id),
+cited AS (SELECT query_id, string_agg(lang || ':1:' || printf('%.3f', round(coalesce(similarity, score), 3)), ',' ORDER BY place) AS cited FROM placed GROUP BY query_id),
+said AS (SELECT query_id, CASE WHEN open THEN 'بر اساس اسناد ارائه‌شده (صفحه 1):' || chr(10) || {strip_sql('text')} ELSE '{prompt.FALLBACK}' END AS answer, CASE WHEN open THEN cited ELSE '' END AS cited FROM gate JOIN placed USING (query_id) JOIN cited USING (query_id) WHERE place = 1)"""
+
+
+@query("answer_each", f"{SAID} SELECT query_id, CAST(len(string_split(answer, ' ')) AS BIGINT) AS n_tokens, md5(answer || ' ') AS answer_md5, cited FROM said")
+def answer_each(spark, sf_dir):
+    """The answers of all questions, token by token, with their sources."""
+    told = retrieve.answer_each(_retrieved_each(spark, sf_dir))
+    return _answers(told)
+
+
+def _answers(told):
+    token = F.col("type") == "token"
+    ordered = F.array_sort(F.collect_list(F.when(token, F.struct("position", "content"))))
+    cited = F.transform("citations", lambda c: F.concat_ws(":", c["doc_id"], c["page_number"].cast("string"), F.format_number(c["score"], 3)))
+    return told.groupBy("query_id").agg(F.count(F.when(token, 1)).alias("n_tokens"), F.md5(F.array_join(F.transform(ordered, lambda x: x["content"]), "")).alias("answer_md5"), F.max(F.when(~token, F.array_join(cited, ","))).alias("cited"))
+
+
+def _stand_in():
+    """A model that gives the number of characters it was asked with, and breaks off where the prompt holds its word."""
+
+    def answer(prompts):
+        def one(p):
+            yield "n "
+            if "the the" in p.lower():
+                raise RuntimeError("too many")
+            yield str(len(p))
+
+        return [one(p) for p in prompts]
+
+    return answer
+
+
+_ERROR = prompt.ERROR.format(error="too many")
+
+
+@query("answer_with_model", f"""{SAID.replace("said AS (", "unused AS (")},
+blocks AS (SELECT query_id, string_agg('[منبع شماره ' || place || ' | سند: ' || lang || ' | شماره صفحه: 1]' || chr(10) || {strip_sql('text')}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) AS context FROM placed GROUP BY query_id),
+asked AS (SELECT query_id, {_SQL_PROMPT} AS prompt FROM blocks JOIN documents d ON query_id = d.doc_id)
+SELECT query_id, CASE WHEN contains(lower(prompt), 'the the') THEN 'n |{_ERROR}' ELSE 'n |' || length(prompt) END AS told FROM asked""")
+def answer_with_model(spark, sf_dir):
+    """Answers of a model that a task holds; a question on which it breaks off ends with the error, the others of its batch have their answers."""
+    told = retrieve.answer_each(_retrieved_each(spark, sf_dir), _stand_in, batch=4).where("type = 'token'")
+    return told.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "content"))), lambda x: x["content"]), "|").alias("told"))
+
+
 @query("relevance_gate_each", f"{EACH} SELECT query_id, coalesce(max(similarity), 0E0) AS max_similarity, coalesce(bool_or(bm25_rank IS NOT NULL), false) AS any_lexical, coalesce(max(similarity), 0E0) >= 8E-1 OR coalesce(bool_or(bm25_rank IS NOT NULL), false) AS has_relevant_context FROM top GROUP BY query_id")
 def relevance_gate_each(spark, sf_dir):
     return _retrieved_each(spark, sf_dir).gate
@@ -326,10 +380,6 @@ def context_block(spark, sf_dir):
     return _context(spark, sf_dir).select("g", F.md5("context").alias("context_md5"), F.length("context").cast("long").alias("n"))
 
 
-def _quoted(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
-
-
 _HEAD, _TAIL = prompt.WITH_CONTEXT.replace("{question}", "who?").split("{context}")
 
 
@@ -575,19 +625,27 @@ def chat_delete_everywhere(spark, sf_dir):
     return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
 
 
-_KEYS = ", ".join(f"('{k}')" for k in readers.EMBEDDING_MODELS)
+_KEYS = ", ".join(f"'{k}'" for k in readers.EMBEDDING_MODELS)
+_N = len(readers.EMBEDDING_MODELS)
 
 
-@query("model_switch", f"WITH known(k) AS (VALUES {_KEYS}), asked(active, wanted) AS (VALUES (NULL, 'bge-m3'), ('bge-m3', 'bge-m3'), ('bge-m3', 'e5-small'), ('bge-m3', 'nothing')) SELECT active, wanted, CASE WHEN wanted NOT IN (SELECT k FROM known) THEN 'rejected' WHEN active IS NULL THEN 'written' WHEN active = wanted THEN 'nothing' ELSE 'cleared' END AS effect FROM asked")
+@query("model_switch", f"WITH asked AS (SELECT doc_id, [{_KEYS}][doc_id % {_N + 1} + 1] AS active, coalesce([{_KEYS}][doc_id // 5 % {_N + 1} + 1], 'nothing') AS wanted FROM documents) SELECT doc_id, active, wanted, CASE WHEN NOT list_contains([{_KEYS}], wanted) THEN 'rejected' WHEN active IS NULL THEN 'written' WHEN active = wanted THEN 'nothing' ELSE 'cleared' END AS effect FROM asked")
 def model_switch(spark, sf_dir):
-    asked = spark.createDataFrame([(None, "bge-m3"), ("bge-m3", "bge-m3"), ("bge-m3", "e5-small"), ("bge-m3", "nothing")], "active string, wanted string")
-    return asked.select("active", "wanted", store.model_switch(F.col("active"), F.col("wanted"), F.col("wanted").isin(list(readers.EMBEDDING_MODELS))).alias("effect"))
+    """Each document's id stands for a store's active model and for the one that is asked for."""
+    keys = F.array(*map(F.lit, readers.EMBEDDING_MODELS))
+    active, wanted = F.get(keys, F.col("doc_id") % (_N + 1)), F.coalesce(F.get(keys, F.expr(f"doc_id div 5 % {_N + 1}")), F.lit("nothing"))
+    asked = table(spark, sf_dir, "documents").select("doc_id", active.alias("active"), wanted.alias("wanted"))
+    return asked.select("doc_id", "active", "wanted", store.model_switch(F.col("active"), F.col("wanted"), F.array_contains(keys, F.col("wanted"))).alias("effect"))
 
 
-@query("missing_models", f"WITH known(k) AS (VALUES {_KEYS}) SELECT k AS model_key FROM known WHERE k NOT IN ('e5-small', 'minilm')")
+@query("missing_models", f"WITH known AS (SELECT unnest([{_KEYS}]) AS model_key), here AS (SELECT DISTINCT lang, [{_KEYS}][doc_id % 7 + length(lang) + 1] AS model_key FROM documents) SELECT lang, k.model_key FROM (SELECT DISTINCT lang FROM documents) l, known k WHERE NOT EXISTS (SELECT 1 FROM here h WHERE h.lang = l.lang AND h.model_key = k.model_key)")
 def missing_models(spark, sf_dir):
-    here = spark.createDataFrame([("e5-small",), ("minilm",)], "model_key string")
-    return readers.registry(spark).where("kind = 'embedding'").join(here, "model_key", "left_anti").select("model_key")
+    """For each collection, the registered models that none of its documents has."""
+    keys = F.array(*map(F.lit, readers.EMBEDDING_MODELS))
+    docs = table(spark, sf_dir, "documents")
+    here = docs.select("lang", F.get(keys, F.col("doc_id") % 7 + F.length("lang")).alias("model_key")).distinct()
+    known = readers.registry(spark).where("kind = 'embedding'").select("model_key")
+    return docs.select("lang").distinct().crossJoin(F.broadcast(known)).join(here, ["lang", "model_key"], "left_anti")
 
 
 @query("page_texts", r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script\b.*?</script>|style\b.*?</style>)', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))) AS text_md5 FROM pages")
@@ -600,9 +658,20 @@ def clean_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean(F.col("text"))).alias("text_md5"))
 
 
-@query("ingest_progress", "SELECT * FROM (VALUES (0, 0.10::DOUBLE), (1, 0.30::DOUBLE), (2, 0.55::DOUBLE), (3, 0.80::DOUBLE), (4, 0.95::DOUBLE), (5, 1.00::DOUBLE)) t(stage, progress)")
+def _lengths(texts: list[str]) -> list[list[float]]:
+    """Stands for a model: a vector from a text's length and its first letter."""
+    return [[float(len(t)), float(ord(t[-1])) if t else 1.0] for t in texts]
+
+
+@query("ingest_progress", "WITH n AS (SELECT count(*) AS documents FROM documents) SELECT CAST(stage AS INT) AS stage, documents, progress FROM n, (VALUES (0, 0.10::DOUBLE), (1, 0.30::DOUBLE), (2, 0.55::DOUBLE), (3, 0.80::DOUBLE), (4, 0.95::DOUBLE), (5, 1.00::DOUBLE)) t(stage, progress)")
 def ingest_progress(spark, sf_dir):
-    return ingest.progress(spark).select("stage", "progress")
+    """A run over all documents as a stream of files: what each stage counted while they passed, and the share at its end."""
+    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("collection"), F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("doc_id").alias("seq"))
+    arrivals = folders.new_folder(spark, "arrivals")
+    docs.repartition(4).write.json(arrivals)
+    own = store.Table(spark, folders.new_folder(spark, "store"), "collection string, chunk_id string, doc_id string, text string, embedding array<float>, seq long", ["collection", "chunk_id"], order="seq")
+    told = ingest.ingest_with_progress(spark, arrivals, docs.schema, own, folders.new_folder(spark, "stream"), total=docs.count(), embed=_lengths)
+    return told.groupBy("stage").agg(F.max("done").alias("documents"), F.max("progress").alias("progress"))
 
 
 @query("guards", f"WITH {FILES}, n AS (SELECT chat_id, count(*) AS n FROM files GROUP BY chat_id) SELECT c.conv_id, CASE WHEN coalesce(n, 0) = 0 THEN '{ingest.NO_DOCUMENTS}' WHEN c.conv_id % 2 = 0 THEN '{ingest.WAITING}' END AS message FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON c.conv_id = n.chat_id")
@@ -614,13 +683,9 @@ def guards(spark, sf_dir):
     return joined.select("conv_id", ingest.guard(share, F.col("n")).alias("message"))
 
 
-@query("hit_at_k", "WITH qa AS (SELECT item_id, [item_id, item_id + 1, item_id * 3] AS supporting FROM benchmark), r AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS place FROM documents) SELECT item_id, coalesce(bool_or(place <= 50), false) AS hit, round(coalesce(max(1E0 / place), 0), 6) AS reciprocal_at_200 FROM (SELECT item_id, unnest(supporting) AS doc_id FROM qa) s LEFT JOIN (SELECT * FROM r WHERE place <= 200) r USING (doc_id) GROUP BY item_id")
+@query("hit_at_k", "WITH qa AS (SELECT item_id, [item_id, item_id + 1, item_id * 3] AS supporting FROM benchmark), r AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS place FROM documents) SELECT item_id, coalesce(bool_or(place <= 50), false) AS hit, round(coalesce(max(1E0 / place), 0), 9) AS reciprocal FROM (SELECT item_id, unnest(supporting) AS doc_id FROM qa) s LEFT JOIN r USING (doc_id) GROUP BY item_id")
 def hit_at_k(spark, sf_dir):
-    """Questions with supporting chunks against one ranking of 200: hit among the first 50, and reciprocal rank."""
-    from pyspark.sql import Window
-
+    """Questions with supporting chunks against one ranking of all: hit among the first 50, and reciprocal rank, however far down."""
     wanted = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array(F.col("item_id"), F.col("item_id") + 1, F.col("item_id") * 3)).alias("doc_id"))
-    top = table(spark, sf_dir, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(200)
-    places = top.select("doc_id", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")).alias("place"))
-    joined = wanted.join(places, "doc_id", "left")
-    return joined.groupBy("item_id").agg(F.coalesce(F.bool_or(F.col("place") <= 50), F.lit(False)).alias("hit"), F.round(F.coalesce(F.max(1 / F.col("place")), F.lit(0.0)), 6).alias("reciprocal_at_200"))
+    joined = store.ranks_of(wanted, table(spark, sf_dir, "documents").select("doc_id", "n_chars"), [F.desc("n_chars"), F.asc("doc_id")], "doc_id")
+    return joined.groupBy("item_id").agg(F.coalesce(F.bool_or(F.col("place") <= 50), F.lit(False)).alias("hit"), F.round(F.coalesce(F.max(1 / F.col("place")), F.lit(0.0)), 9).alias("reciprocal"))

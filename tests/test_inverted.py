@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexispark import folders
-from lexispark.operators import inverted, lexical, retrieve
+from lexispark.operators import inverted, lexical, prompt, retrieve
 
 
 def corpus(spark, n=400):
@@ -86,3 +86,39 @@ def test_many_questions_equal_one_at_a_time(spark, indexed):
     empty = retrieve.Collection.build(chunks.limit(0), folders.new_folder(spark, "collection"))
     none = retrieve.retrieve_each(empty, questions)
     assert none.top.count() == 0 and not any(r.has_relevant_context for r in none.gate.collect())
+
+
+def test_answers_of_a_model(spark):
+    """Tokens that came before a failure stay, a batch that fails is asked again one by one, and nobody asks about closed questions."""
+    rows = [(f"c{i}", "d", f"rent {i} owner", i, [1.0, float(i)]) for i in range(12)] + [(f"z{i}", "d", "x", i, [1.0, 5.0]) for i in range(12)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, doc_id string, text string, page_number int, embedding array<double>")
+    listed = [(i, q, [1.0, 0.0]) for i, q in enumerate(["rent", "owner breaks late", "owner breaks at once", "owner empty", "rent again"])] + [(9, "qqxzqq", [0.0, 0.0])]
+    held = retrieve.Collection.build(chunks, folders.new_folder(spark, "collection"))
+    found = retrieve.retrieve_each(held, spark.createDataFrame(listed, "query_id long, question string, embedding array<double>"), top_k=2)
+
+    def load():
+        def answer(prompts):
+            assert not any("qqxzqq" in p for p in prompts)
+            if any("at once" in p for p in prompts):
+                raise OSError("no model")
+
+            def one(p):
+                if "empty" not in p:
+                    yield from ["so ", "", "many"]
+                if "late" in p:
+                    raise ValueError("cut off")
+
+            return [one(p) for p in prompts]
+
+        return answer
+
+    said = {}
+    for r in retrieve.answer_each(found, load).orderBy("query_id", "position").collect():
+        said.setdefault(r.query_id, []).append((r.type, r.content, len(r.citations)))
+    error = prompt.ERROR.partition("{")[0]
+    ok = [("token", "so ", 0), ("token", "many", 0), ("sources", "", 2)]
+    assert said[0] == said[4] == ok
+    assert said[1] == [*ok[:2], ("token", f"{error}cut off", 0), ok[2]] and said[2] == [("token", f"{error}no model", 0), ok[2]] and said[3] == [ok[2]]
+    assert [x[1] for x in said[9]] == [f"{w} " for w in prompt.FALLBACK.split(" ")] + [""] and said[9][-1] == ("sources", "", 0)
+    plain = retrieve.answer_each(found).where("query_id = 0").orderBy("position").collect()
+    assert "".join(r.content for r in plain).startswith("بر اساس") and [r.position for r in plain] == list(range(len(plain)))

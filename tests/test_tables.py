@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexispark.operators import store
+from lexispark.streaming import ingest
 
 ROWS = "id long, name string, seq long"
 
@@ -174,3 +175,48 @@ def test_ids_in_parallel(spark):
     assert [i for i, _ in listed] == list(range(42, 5042)) and [k for _, k in listed] == sorted(k for _, k in listed)
     assert "SinglePartition" not in got.select("id")._jdf.queryExecution().executedPlan().toString().split("Window")[0].split("numbered")[0]
     assert store.next_ids(spark.createDataFrame([], "id long"), new.limit(0), ["k"]).count() == 0
+
+
+def test_a_row_by_its_keys(spark, tmp_path):
+    table = store.Table(spark, f"file://{tmp_path}", ROWS, ["id"], order="seq", buckets=8)
+    table.replace(rows(spark, [(i, f"n{i}", 0) for i in range(100)] + [(None, "null", 0)]))
+    table.upsert(rows(spark, [(5, "new", 1)]))
+    assert [r.name for r in table.get(id=5).collect()] == ["new"] and [r.name for r in table.get(id=None).collect()] == ["null"]
+    assert table.get(id=1000).count() == 0 and len({f.split("bucket=")[1].split("/")[0] for f in table.get(id=7).inputFiles()}) == 1
+    with pytest.raises(ValueError):
+        table.get(name="x")
+
+
+def test_ranks_without_a_cut(spark):
+    ranking = spark.range(3000).select("id", (F.col("id") % 70).alias("score"))
+    wanted = spark.createDataFrame([(0,), (69,), (2999,), (5000,), (69,)], "id long")
+    got = sorted((r.id, r.place) for r in store.ranks_of(wanted, ranking, [F.desc("score"), F.asc("id")], "id").collect())
+    order = sorted(range(3000), key=lambda i: (-(i % 70), i))
+    place = {i: n + 1 for n, i in enumerate(order)}
+    assert got == [(i, place.get(i)) for i in (0, 69, 69, 2999, 5000)]
+
+
+def test_scan_of_a_collection(spark):
+    df = spark.createDataFrame([("a", "d1"), ("a", "d2"), ("b", "d1")], "collection string, doc_id string")
+    count = lambda *x: store.collection_scan(df, *x).count()
+    assert (count("a"), count("a", []), count("a", ["d1", " "]), count("none"), count("b", "d2")) == (2, 2, 1, 0, 0)
+
+
+def test_progress_is_that_of_rows(spark, tmp_path):
+    """Three files are three batches; each stage's share follows the documents that have passed it."""
+    for n, listed in enumerate([[("a", "d1", "one two " * 30, 0), ("a", "d2", "", 0)], [("a", "d3", None, 1)], [("a", "d1", "new text", 2), ("b", "d1", "x", 2)]]):
+        spark.createDataFrame(listed, "collection string, doc_id string, text string, seq long").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        assert n < 3
+    schema = "collection string, chunk_id string, doc_id string, text string, embedding array<float>, seq long"
+    table = store.Table(spark, f"file://{tmp_path}/t", schema, ["collection", "chunk_id"], order="seq", buckets=2)
+    told = ingest.ingest_with_progress(spark, str(tmp_path / "in"), "collection string, doc_id string, text string, seq long", table, str(tmp_path / "cp"), total=5, embed=lambda texts: [[1.0, float(len(t))] for t in texts])
+    rows_ = sorted((r.batch, r.stage, r.documents, r.done, r.progress, r.message) for r in told.collect())
+    assert len(rows_) == 18 and [r[2] for r in rows_ if r[1] == 0] and sum(r[2] for r in rows_ if r[1] == 4) == 5
+    final = {r[1]: r for r in rows_ if r[0] == max(x[0] for x in rows_)}
+    assert [final[s][4] for s in range(6)] == [0.1, 0.3, 0.55, 0.8, 0.95, 1.0] and final[5][5] == ingest.STAGES[5][0]
+    early = {r[1]: r for r in rows_ if r[0] == 0}
+    assert all(early[s][3] == early[0][3] < 5 for s in range(6)) and early[1][4] == round(0.1 + 0.2 * early[0][3] / 5, 4)
+    kept = {(r.collection, r.chunk_id): r.text for r in table.read().collect()}
+    assert kept["a", "d1_c000"] == "new text" and kept["b", "d1_c000"] == "x" and kept["a", "d2_c000"] == kept["a", "d3_c000"] == ""
+    again = ingest.ingest_with_progress(spark, str(tmp_path / "in"), "collection string, doc_id string, text string, seq long", table, str(tmp_path / "cp"), total=5, embed=lambda texts: [[1.0] for _ in texts])
+    assert again.count() == 0
