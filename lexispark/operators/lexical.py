@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens, without_stopwords
@@ -26,9 +26,17 @@ def term_statistics(words: DataFrame) -> DataFrame:
 
     One pass over the texts counts terms, texts and words, before the shuffle; what follows reads that one shuffle's result.
     """
+    return weighted(words.select(F.explode(entries(F.col("words"))).alias("e")).groupBy(F.col("e.term").alias("term")).agg(F.sum("e.n").alias("df")))
+
+
+def entries(words: Column) -> Column:
+    """What a text adds to the counts: 1 for each of its terms and for itself, and its number of words."""
     entry = lambda term, n: F.struct(term.alias("term"), n.cast("long").alias("n"))
-    entries = F.concat(F.transform(F.array_distinct("words"), lambda t: entry(t, F.lit(1))), F.array(entry(F.lit(TEXTS), F.lit(1)), entry(F.lit(WORDS), F.size("words"))))
-    counted = words.select(F.explode(entries).alias("e")).groupBy(F.col("e.term").alias("term")).agg(F.sum("e.n").alias("df"))
+    return F.concat(F.transform(F.array_distinct(words), lambda t: entry(t, F.lit(1))), F.array(entry(F.lit(TEXTS), F.lit(1)), entry(F.lit(WORDS), F.size(words))))
+
+
+def weighted(counted: DataFrame) -> DataFrame:
+    """The statistics from counts (term, df) that hold those of texts and words."""
     whole = counted.agg(F.max(F.when(F.col("term") == TEXTS, F.col("df"))).alias("n"), F.max(F.when(F.col("term") == WORDS, F.col("df"))).alias("n_words"))
     raw = counted.crossJoin(F.broadcast(whole)).withColumn("raw", F.when(~F.col("term").isin(TEXTS, WORDS), F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
     mean = raw.agg(F.avg("raw").alias("mean"))

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from .. import folders, schemas
 from ..functions import text as T
-from ..operators import chunking, dense, fusion, inverted, lexical, prompt, retrieve, store, vector_index
+from ..operators import chunking, corpus as stored_corpus, dense, fusion, inverted, lexical, prompt, retrieve, store, vector_index
 from ..sources import readers, synthetic
-from ..streaming import ingest
+from ..streaming import guard, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERY = ["the", "tion", "que", "the"]
@@ -101,6 +101,22 @@ def bm25_statistics(spark, sf_dir):
     return lexical.term_statistics(corpus(spark, sf_dir)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+EDITED = """edited AS (SELECT doc_id, lang, CASE WHEN doc_id % 10 = 0 THEN coalesce(text, '') || ' ' || source ELSE text END AS text FROM documents WHERE doc_id % 10 <> 3 AND lang = 'en')"""
+
+
+@query("bm25_statistics_kept", f"WITH {EDITED}, {BM25.replace('FROM documents', 'FROM edited')} SELECT term, df, round(idf, 6) AS idf FROM idf")
+def bm25_statistics_kept(spark, sf_dir):
+    """A stored corpus of which a tenth is rewritten and a tenth deleted: its kept counts are those of the texts that are left."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("lang").alias("collection"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("doc_id"), "text", F.lit(0).cast("long").alias("seq"))
+    held = stored_corpus.Corpus(spark, folders.new_folder(spark, "corpus"))
+    held.upsert(rows)
+    edited = docs.where("doc_id % 10 = 0").select(F.col("doc_id").cast("string").alias("chunk_id"), F.concat_ws(" ", F.coalesce("text", F.lit("")), "source").alias("edited"))
+    held.upsert(rows.join(edited, "chunk_id").withColumn("text", F.col("edited")).withColumn("seq", F.lit(1).cast("long")))
+    held.delete(F.col("chunk_id").cast("long") % 10 == 3)
+    return held.statistics("en").select("term", "df", F.round("idf", 6).alias("idf"))
+
+
 @query("bm25_topk", f"WITH {BM25}{SCORES}{LEXICAL.format(k=12)} SELECT * FROM lex")
 def bm25_topk(spark, sf_dir):
     return lexical.ranked(lexical.scores(corpus(spark, sf_dir), QUERY), 12).select("id", F.round("score", 6).alias("score"), "bm25_rank")
@@ -683,6 +699,24 @@ def guards(spark, sf_dir):
     return joined.select("conv_id", ingest.guard(share, F.col("n")).alias("message"))
 
 
+@query("guard_stream", f"""WITH {FILES}, n AS (SELECT chat_id, count(*) AS n, bool_or(id % 2 = 1) AS working FROM files GROUP BY chat_id), c AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT conv_id AS chat_id, conv_id || 'a' AS question_id, CASE WHEN n IS NULL THEN '{ingest.NO_DOCUMENTS}' ELSE '{ingest.WAITING}' END AS message FROM c LEFT JOIN n ON conv_id = chat_id
+UNION ALL SELECT conv_id, conv_id || 'b', CASE WHEN n IS NULL THEN '{ingest.NO_DOCUMENTS}' WHEN working THEN '{ingest.WAITING}' END FROM c LEFT JOIN n ON conv_id = chat_id
+UNION ALL SELECT conv_id, conv_id || 'c', CASE WHEN n IS NULL OR NOT coalesce(done, false) THEN '{ingest.NO_DOCUMENTS}' END FROM c LEFT JOIN n ON conv_id = chat_id LEFT JOIN (SELECT chat_id AS d, true AS done FROM files WHERE id % 2 = 0 GROUP BY chat_id) ON conv_id = d""")
+def guard_stream(spark, sf_dir):
+    """All chats ask at minute 5, while all files are in work, at minute 20, when every second one is done, and at minute 200, when the others are lost."""
+    at = lambda minute: F.make_timestamp(F.lit(2024), F.lit(1), F.lit(1), F.lit(minute // 60), F.lit(minute % 60), F.lit(0))
+    files, none = _files(spark, sf_dir), F.lit(None).cast("string")
+    told = lambda rows, minute, share: rows.select("chat_id", at(minute).alias("time"), F.col("id").cast("string").alias("file_id"), F.lit(share).alias("progress"), none.alias("question_id"))
+    chats = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    asks = lambda minute, mark: chats.select(F.col("conv_id").alias("chat_id"), at(minute).alias("time"), none.alias("file_id"), F.lit(None).cast("double").alias("progress"), F.concat(F.col("conv_id").cast("string"), F.lit(mark)).alias("question_id"))
+    events = told(files, 0, 0.55).unionByName(asks(5, "a")).unionByName(told(files.where("id % 2 = 0"), 10, 1.0)).unionByName(asks(20, "b")).unionByName(asks(200, "c"))
+    arrivals, out = folders.new_folder(spark, "events"), folders.new_folder(spark, "decisions")
+    events.write.json(arrivals)
+    guard.start_guard(spark, arrivals, out, folders.new_folder(spark, "guard"), files_a_batch=1_000_000).awaitTermination()
+    return spark.read.schema(guard.DECISIONS).parquet(out)
+
+
 @query("hit_at_k", "WITH qa AS (SELECT item_id, [item_id, item_id + 1, item_id * 3] AS supporting FROM benchmark), r AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS place FROM documents) SELECT item_id, coalesce(bool_or(place <= 50), false) AS hit, round(coalesce(max(1E0 / place), 0), 9) AS reciprocal FROM (SELECT item_id, unnest(supporting) AS doc_id FROM qa) s LEFT JOIN r USING (doc_id) GROUP BY item_id")
 def hit_at_k(spark, sf_dir):
     """Questions with supporting chunks against one ranking of all: hit among the first 50, and reciprocal rank, however far down."""
