@@ -188,6 +188,11 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(classes, counts), np.repeat(sizes, counts), sig.view("<u8").ravel()
 
 
+def bucket_of(sig: np.ndarray, n_buckets: int) -> np.ndarray:
+    """A signature's bucket, by its upper 31 bits; six lower bytes travel with it."""
+    return ((sig >> np.uint64(33)) * np.uint64(n_buckets) >> np.uint64(31)).astype(np.int32)
+
+
 def compatible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sizes of which a Jaccard similarity of 4/5 is possible."""
     return 5 * np.minimum(a, b).astype(np.int64) >= 4 * np.maximum(a, b).astype(np.int64)
@@ -229,7 +234,7 @@ def sign(docs: DataFrame, n_buckets: int) -> DataFrame:
             if not len(sig):
                 continue
             index = np.array(fresh)
-            bucket = ((sig >> np.uint64(48)) * np.uint64(n_buckets) >> np.uint64(16)).astype(np.int32)
+            bucket = bucket_of(sig, n_buckets)
             order = np.argsort(bucket, kind="stable")
             bucket, who, sig = bucket[order], who[order], sig[order]
             edges = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -427,8 +432,8 @@ def too_busy(members: DataFrame, busy: DataFrame) -> DataFrame:
 
 
 def buckets_for(size: int) -> int:
-    """Buckets for so many bytes of text; a signature's upper 16 bits choose one of them."""
-    return min(1 << 16, max(16, -(-size // BUCKET)))
+    """Buckets for so many bytes of text, as many as a task's number can name at most (64 PB of text)."""
+    return min((1 << 31) - 1, max(16, -(-size // BUCKET)))
 
 
 def jaccard_classes(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", n_buckets: int | None = None, small_list: int = 8) -> DataFrame:

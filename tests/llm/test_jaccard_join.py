@@ -147,3 +147,14 @@ def test_cases(spark):
     assert kept.columns == df.columns
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect() if r.text and r.text.strip()) == [(4, "a b"), (6, "b a"), (9, "x Y z"), (10, "word " * 20_000), (12, "é b")]
     assert jj.jaccard_classes(df.limit(0)).count() == 0
+
+
+def test_buckets_follow_the_input():
+    """Beyond 2 TB of text too, and a signature's bucket and lower bytes tell it apart."""
+    assert jj.buckets_for(0) == 16 and jj.buckets_for(100 << 40) == (100 << 40) // jj.BUCKET > 1 << 21
+    rng = np.random.default_rng(1)
+    sig = rng.integers(0, 2**64, 200_000, dtype=np.uint64)
+    for n in (16, 1000, 3_276_800, 2**31 - 1):
+        bucket = jj.bucket_of(sig, n)
+        assert bucket.min() >= 0 and bucket.max() < n and len(np.unique(bucket)) > 0.9 * min(n, len(sig)) * (1 - np.exp(-len(sig) / n)) / min(1, len(sig) / n)
+    assert (jj.bucket_of(np.sort(sig), 1 << 20)[1:] >= jj.bucket_of(np.sort(sig), 1 << 20)[:-1]).all()
