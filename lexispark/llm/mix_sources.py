@@ -26,8 +26,6 @@ Texts of any length are counted whole. An empty table gives no rows. Other colum
 
 from __future__ import annotations
 
-import warnings
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,13 +68,17 @@ def tilt(cap: int):
 
 
 def balance(histogram: DataFrame, sources: DataFrame, cap: int, *, tolerance: float = 1e-7, most_steps: int = 60) -> tuple[DataFrame, list[str]]:
-    """Newton iterations on the dual; returns the sources with their multipliers, and the folders that hold them."""
+    """Newton iterations on the dual; returns the sources with their multipliers, and the folders that hold them.
+
+    Each step narrows the interval that a multiplier lies in. Where ``most_steps`` don't settle all of them, twice as many halve the interval each time;
+    multipliers that are off even then are an error.
+    """
     state = sources.withColumns({
         "full": F.col("target") >= F.col("source_size") * cap * (1 - 1e-12), "multiplier": F.lit(0.0), "lo": -60 * F.col("scale"), "hi": F.log(F.lit(float(cap))) * F.col("scale") + 1, "error": F.lit(1.0),
     })
     state, folder = materialize(state, "balance")
     columns = state.columns
-    for _ in range(0, most_steps, 2):
+    for taken in range(0, 3 * most_steps, 2):
         nxt = state
         for _ in range(2):
             rated = histogram.join(nxt, KEY).withColumn("rate", tilt(cap))
@@ -87,7 +89,7 @@ def balance(histogram: DataFrame, sources: DataFrame, cap: int, *, tolerance: fl
             settled = F.col("full") | (F.col("target") <= 0)
             step = sums.withColumn("lo", F.when(excess < 0, F.col("multiplier")).otherwise(F.col("lo"))).withColumn("hi", F.when(excess > 0, F.col("multiplier")).otherwise(F.col("hi")))
             newton = F.col("multiplier") - F.try_divide(excess, F.col("slope"))
-            inside = (newton > F.col("lo")) & (newton < F.col("hi"))
+            inside = (newton > F.col("lo")) & (newton < F.col("hi")) & F.lit(taken < most_steps)
             step = step.withColumn("error", F.when(settled, 0.0).otherwise(F.abs(F.try_divide(excess, F.col("target"))))).withColumn(
                 "multiplier", F.when(settled | (F.col("error") <= tolerance), F.col("multiplier")).when(inside, newton).otherwise((F.col("lo") + F.col("hi")) / 2)
             )
@@ -98,8 +100,7 @@ def balance(histogram: DataFrame, sources: DataFrame, cap: int, *, tolerance: fl
         worst = state.agg(F.max("error")).first()[0]
         if worst is None or worst <= tolerance:
             return state, [folder]
-    warnings.warn(f"multipliers are off by {worst:.1e} of a target after {most_steps} steps", stacklevel=2)
-    return state, [folder]
+    raise RuntimeError(f"multipliers are off by {worst:.1e} of a target after {3 * most_steps} steps")
 
 
 #: Over ``cells`` (size, n, rate), large sizes first: copies a size, with the rounding error in tokens carried on.

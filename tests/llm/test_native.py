@@ -213,6 +213,19 @@ def test_decontamination(spark):
     assert dc.decontaminate(df, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_multipliers_that_do_not_settle_are_an_error(spark, monkeypatch):
+    rows = [(i, f"s{i % 3}", "w " * (1 + i * i % 97)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    whole = mx.balance
+    # One Newton step, and halvings only from then on.
+    monkeypatch.setattr(mx, "balance", lambda h, s, cap: whole(h, s, cap, tolerance=1e-3, most_steps=8))
+    settled = {r.doc_id: r.taken for r in mx.mix_sources(df).collect()}
+    assert len(settled) == 300
+    monkeypatch.setattr(mx, "balance", lambda h, s, cap: whole(h, s, cap, tolerance=1e-15, most_steps=1))
+    with pytest.raises(RuntimeError, match="off by"):
+        mx.mix_sources(df).collect()
+
+
 def test_equal_windows_are_one(spark):
     """A text of one word, and items that share all their windows: no row for each pair of them."""
     items = [(i, "a " * 40) for i in range(20)] + [(100 + i, "q w e r t z u i o p l k j") for i in range(200)] + [(400, "a " * 13 + "b")]
