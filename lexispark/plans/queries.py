@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import folders, schemas
 from ..functions import text as T
-from ..operators import chunking, corpus as stored_corpus, dense, fusion, inverted, lexical, prompt, retrieve, store, vector_index
+from ..operators import chunking, corpus as stored_corpus, dense, fusion, inverted, layout, lexical, prompt, retrieve, store, vector_index
 from ..sources import readers, synthetic
 from ..streaming import guard, ingest
 
@@ -547,6 +547,34 @@ def collection_scan(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("lang = 'fr'").select("doc_id", F.md5("text").alias("text_md5"), "source")
 
 
+@query("clustered_scan", "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE lang = 'es' AND source IN ('src1', 'src3') UNION ALL SELECT doc_id, md5(text) FROM documents WHERE lang = 'en'")
+def clustered_scan(spark, sf_dir):
+    """Documents as chunks of their source, clustered on disk: two sources of one collection, and the whole of another; a missing one is empty."""
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("collection"), F.col("source").alias("doc_id"), F.col("doc_id").alias("id"), "text")
+    held = layout.write_clustered(rows, folders.new_folder(spark, "clustered"), files=16)
+    some = held.scan(spark, "es", ["src1", "src3", " "]).unionByName(held.scan(spark, "en")).unionByName(held.scan(spark, "none"))
+    return some.select(F.col("id").alias("doc_id"), F.md5("text").alias("text_md5"))
+
+
+@query("files_by_time", f"WITH {FILES} SELECT chat_id, string_agg(filename, ',' ORDER BY id * 37 % 101, id) AS names FROM files GROUP BY chat_id")
+def files_by_time(spark, sf_dir):
+    """Each chat's files in the order of their creation, then of their id."""
+    at = F.make_timestamp(F.lit(2024), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)) + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("id") * 37 % 101).cast("int"))
+    files = _files(spark, sf_dir).withColumn("created_at", at)
+    ordered = F.array_sort(F.collect_list(F.struct("created_at", "id", "filename")))
+    return files.groupBy("chat_id").agg(F.array_join(F.transform(ordered, lambda x: x["filename"]), ",").alias("names"))
+
+
+@query("chat_rename", f"WITH {CHATS} SELECT id, CASE WHEN id % 10 = 4 THEN 'renamed' ELSE title END AS title, id % 10 = 4 AS moved FROM chats")
+def chat_rename(spark, sf_dir):
+    """A tenth of the chats get another title; these alone get a new time."""
+    chats = _chats(spark, sf_dir)
+    own = stored(spark, chats, "chats", "id")
+    own.update(F.col("id") % 10 == 4, title=F.lit("renamed"))
+    before = chats.select("id", F.col("updated_at").alias("old"))
+    return own.read().join(before, "id").select("id", "title", (F.col("updated_at") > F.col("old")).alias("moved"))
+
+
 STORE = "old AS (SELECT lang AS collection, source AS chunk_id, doc_id AS seq, n_chars FROM documents WHERE doc_id % 2 = 0), new AS (SELECT lang AS collection, source AS chunk_id, doc_id AS seq, n_chars FROM documents WHERE doc_id % 2 = 1)"
 
 
