@@ -38,3 +38,10 @@ def shared_root(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, label: str) -> str:
     """A folder name in the shared folder that nothing else uses."""
     return f"{shared_root(spark)}/lexispark/{label}-{uuid.uuid4().hex}"
+
+
+def delete_folders(spark: SparkSession, *folders: str) -> None:
+    """Deletes folders or files that no later plan reads."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -19,7 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .lexical import B, K1, term_statistics
+from ..folders import delete_folders
+from .lexical import B, K1, TEXTS, WORDS, weighted
 
 #: Documents of a range (about), folders of postings, and ranges that are evaluated for the threshold.
 RANGE_DOCS, BUCKETS, FIRST = 256, 32, 2
@@ -55,21 +56,30 @@ class Postings:
 
 def build_postings(words: DataFrame, path: str, *, range_docs: int = RANGE_DOCS, buckets: int = BUCKETS) -> Postings:
     """Writes postings and statistics of a corpus (id, words) at ``path``. Ids are unique; texts without words count, but have no postings."""
-    spark = words.sparkSession
-    sizes = words.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("words")).alias("w")).first()
+    spark, held = words.sparkSession, f"{path}/words"
+    id_type = words.schema["id"].dataType.simpleString()
+    # Texts are split once; everything else reads the words.
+    words.select("id", F.coalesce("words", F.array().cast("array<string>")).alias("words"), F.greatest(F.size("words"), F.lit(0)).alias("dl")).write.mode("overwrite").parquet(held)
+    split = spark.read.schema(f"id {id_type}, words array<string>, dl int").parquet(held)
+    sizes = split.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("w")).first()
     ranges = max(1, -(-sizes.n // range_docs))
-    term_statistics(words).write.mode("overwrite").parquet(f"{path}/statistics")
     place = F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int")
-    each = words.select("id", place.alias("range"), F.size("words").alias("dl"), F.explode("words").alias("term"))
+    each = split.select("id", place.alias("range"), "dl", F.explode("words").alias("term"))
     # Counted before the shuffle, as a text lies in one task.
     counted = each.groupBy("term", "range", "id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    average = F.lit((sizes.w or 0) / max(1, sizes.n))
+    average = F.lit(sizes.w / max(1, sizes.n))
     listed = counted.groupBy("term", "range").agg(F.max(_part(F.col("tf"), F.col("dl"), average)).alias("bound"), F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("postings"))
     bucket = _bucket(F.col("term"), buckets)
     listed.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(4))).sortWithinPartitions("bucket", "term", "range").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
-    said = {"texts": sizes.n, "ranges": ranges, "buckets": buckets, "id_type": words.schema["id"].dataType.simpleString()}
+    said = {"texts": sizes.n, "ranges": ranges, "buckets": buckets, "id_type": id_type}
     spark.createDataFrame([(json.dumps(said),)], "text string").coalesce(1).write.mode("overwrite").text(f"{path}/sizes")
-    return Postings(path, **said)
+    built = Postings(path, **said)
+    # A term's documents are those of its blocks, so the statistics need no pass over words.
+    whole = spark.createDataFrame([(TEXTS, sizes.n), (WORDS, sizes.w)] if sizes.n else [], "term string, df long")
+    per_term = built.blocks(spark).groupBy("term").agg(F.sum(F.size("postings")).cast("long").alias("df"))
+    weighted(per_term.unionByName(whole)).write.mode("overwrite").parquet(f"{path}/statistics")
+    delete_folders(spark, held)
+    return built
 
 
 def question_terms(index: Postings, questions: DataFrame) -> DataFrame:
