@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .line_quality import blocks
 from .shared import discard, documents, materialize, may_hold
 
-K, CACHED, BLOCK = 5, 300_000, 2 << 20
+K, CACHED, BLOCK = 5, 100_000, 2 << 20
 #: Bytes of text whose signatures share a bucket, and shingles that a piece of a long list holds.
 BUCKET, PIECE = 32 << 20, 400_000
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -222,7 +222,7 @@ def sign(docs: DataFrame, n_buckets: int) -> DataFrame:
                     if n[i] and key not in seen:
                         seen.add(key)
                         fresh.append(i)
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 who, sig = signatures([sets[i] for i in fresh])
                 drawn: list[bytes | None] = [None] * len(n)

@@ -132,7 +132,10 @@ def fit(rows: list[tuple[str, int]], *, rounds: int = 3) -> LineQuality:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK, text_at: int = 1) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Consecutive rows with about ``most`` bytes of text together (one row at least), and their texts; only these become Python objects."""
+    """Consecutive rows with about ``most`` bytes of text together (one row at least), and their texts; only these become Python objects.
+
+    At the end Arrow gives back what it holds unused, as the worker goes on to other tasks.
+    """
     for batch in batches:
         texts = batch.column(text_at)
         ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -142,6 +145,7 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK, text_at: int =
             stop = min(stop, len(ends))
             yield batch.slice(at, stop - at), texts.slice(at, stop - at).to_pylist()
             at, done = stop, int(ends[stop - 1])
+    pa.default_memory_pool().release_unused()
 
 
 def score_quality(df: DataFrame, model: LineQuality, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
