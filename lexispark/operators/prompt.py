@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from ..functions.text import snippet, strip
 
 # Texts of prompts and answers.
@@ -48,7 +49,7 @@ def citation_columns() -> list[Column]:
     """Over text, doc_id, page_number, similarity, score."""
     return [
         F.col("doc_id"), F.col("doc_id").alias("filename"), F.col("page_number"),
-        F.round(F.coalesce("similarity", "score", F.lit(0.0)), 3).alias("score"), snippet(F.coalesce("text", F.lit(""))).alias("snippet"),
+        rounded(F.coalesce("similarity", "score", F.lit(0.0)), 3).alias("score"), snippet(F.coalesce("text", F.lit(""))).alias("snippet"),
     ]
 
 
