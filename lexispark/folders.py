@@ -10,8 +10,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
@@ -45,3 +47,32 @@ def delete_folders(spark: SparkSession, *folders: str) -> None:
     for folder in folders:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Spark's setting for shuffle files to be removed when the query that made them ends.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+#: Spark's setting for how many files a task writes side by side, where its rows would be sorted by folder otherwise.
+SIDE_BY_SIDE = "spark.sql.maxConcurrentOutputFileWriters"
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of Spark's for what runs inside; what it was before holds again behind it."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def written(df: DataFrame, folder: str) -> DataFrame:
+    """Writes a table at ``folder`` and reads it back; the shuffle files behind it go at once, not when the driver next collects garbage."""
+    with setting(df.sparkSession, CLEANED, "true"):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -38,8 +38,9 @@ def tokens(text: Column) -> Column:
 
 def without_stopwords(words: Column, stopwords: list[str] | None = None) -> Column:
     """Drops stop words, unless nothing would be left."""
-    listed = F.array(*map(F.lit, STOPWORDS if stopwords is None else stopwords))
-    left = F.filter(words, lambda w: ~F.array_contains(listed, w))
+    listed = STOPWORDS if stopwords is None else stopwords
+    # A set that Spark looks words up in, not a list that it goes through for each.
+    left = F.filter(words, lambda w: ~w.isin(listed))
     return F.when(F.size(left) == 0, words).otherwise(left)
 
 

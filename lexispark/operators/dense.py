@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
+
 
 def id_filter(column: str, ids: object) -> Column | None:
     """No predicate for None, empty lists, "" and 0; blanks in a list don't count; ids are compared as texts."""
@@ -34,7 +36,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def similarity(distance: Column) -> Column:
-    return F.when(distance.isNotNull(), F.round(F.greatest(F.lit(0.0), 1 - distance), 4))
+    return F.when(distance.isNotNull(), rounded(F.greatest(F.lit(0.0), 1 - distance), 4))
 
 
 def candidate_depth(top_k: int, total: int) -> int:
@@ -60,33 +62,42 @@ def unit_rows(vectors: list, dimension: int) -> np.ndarray:
 
 
 class Best:
-    """The k nearest vectors of each query of a block, kept while vectors stream by."""
+    """The k nearest rows of each query of a block, kept while rows stream by."""
 
-    def __init__(self, names: list, vectors: list, k: int):
+    def __init__(self, names: list, k: int):
         self.names, self.k = names, k
+        self.found: list[list[tuple]] = [[] for _ in names]
+
+    def keep(self, places: Iterable[int], far: np.ndarray, ids: list) -> None:
+        """``far``: a row for each of these queries, a column for each id; ids ascend, so that of equally near ones the first are kept."""
+        edges = np.partition(far, self.k - 1, axis=1)[:, self.k - 1] if len(ids) > self.k else np.full(len(far), np.inf)
+        for i, row, edge in zip(places, far, edges, strict=True):
+            old = self.found[i]
+            if len(old) == self.k and old[-1][0] < row.min():
+                continue
+            inside = np.flatnonzero(row < edge)
+            some = np.concatenate([inside, np.flatnonzero(row == edge)[: self.k - len(inside)]]) if edge < np.inf else np.arange(len(ids))
+            self.found[i] = sorted(old + [(float(row[j]), ids[j]) for j in some])[: self.k]
+
+    def rows(self) -> list[tuple]:
+        return [(name, i, far) for name, top in zip(self.names, self.found, strict=True) for far, i in top]
+
+
+class Nearest(Best):
+    """By vectors, for queries and rows."""
+
+    def __init__(self, names: list, vectors: list, k: int):
+        super().__init__(names, k)
         at: dict[int, list[int]] = {}
         for i, v in enumerate(vectors):
             at.setdefault(len(v or ()), []).append(i)
         self.asked = {d: (places, unit_rows([vectors[i] for i in places], d)) for d, places in at.items()}
-        self.found: list[list[tuple]] = [[] for _ in names]
 
     def see(self, ids: list, vectors: list) -> None:
-        # In order of id, so that of equally near vectors the first places are the ones to keep.
         order = sorted(range(len(ids)), key=ids.__getitem__)
         ids, vectors = [ids[i] for i in order], [vectors[i] for i in order]
         for d, (places, q) in self.asked.items():
-            far = np.round(1 - q @ unit_rows(vectors, d).T, 9)
-            edges = np.partition(far, self.k - 1, axis=1)[:, self.k - 1] if len(ids) > self.k else np.full(len(places), np.inf)
-            for i, row, edge in zip(places, far, edges, strict=True):
-                old = self.found[i]
-                if len(old) == self.k and old[-1][0] < row.min():
-                    continue
-                inside = np.flatnonzero(row < edge)
-                some = np.concatenate([inside, np.flatnonzero(row == edge)[: self.k - len(inside)]]) if edge < np.inf else np.arange(len(ids))
-                self.found[i] = sorted(old + [(float(row[j]), ids[j]) for j in some])[: self.k]
-
-    def rows(self) -> list[tuple]:
-        return [(name, i, far) for name, top in zip(self.names, self.found, strict=True) for far, i in top]
+            self.keep(places, np.round(1 - q @ unit_rows(vectors, d).T, 9), ids)
 
 
 #: Vectors that one task reads for a block of queries, and queries of a block, at most (about, as both are dealt by hashes).
@@ -133,7 +144,7 @@ def nearest_in_cells(vectors: DataFrame, queries: DataFrame, k: int, *, segment_
                     names += column("query_id").slice(at, end - at).to_pylist()
                     asked += column("embedding").slice(at, end - at).to_pylist()
                 else:
-                    best = best or Best(names, asked, k)
+                    best = best or Nearest(names, asked, k)
                     best.see(column("id").slice(at, end - at).to_pylist(), column("embedding").slice(at, end - at).to_pylist())
                 at = end
         yield from tell()

@@ -122,3 +122,43 @@ def test_answers_of_a_model(spark):
     assert [x[1] for x in said[9]] == [f"{w} " for w in prompt.FALLBACK.split(" ")] + [""] and said[9][-1] == ("sources", "", 0)
     plain = retrieve.answer_each(found).where("query_id = 0").orderBy("position").collect()
     assert "".join(r.content for r in plain).startswith("بر اساس") and [r.position for r in plain] == list(range(len(plain)))
+
+
+@pytest.mark.parametrize("sizes", [{}, {"segment_words": 900, "block_terms": 12, "block_questions": 3}])
+def test_streamed_texts_equal_the_postings(spark, sizes):
+    """Also with terms that many questions have, scored apart, and with blocks and segments of a few rows."""
+    rows, words = corpus(spark)
+    words = words.unionByName(spark.createDataFrame([(5000, None), (5001, [])], "id long, words array<string>"))
+    index = inverted.build_postings(words, folders.new_folder(spark, "postings"))
+    asked = spark.createDataFrame(QUESTIONS + [(20 + i, rows[i][1]) for i in range(0, 60, 3)], "query_id long, words array<string>")
+    plain = sorted(map(tuple, inverted.search(index, asked, 10).select("query_id", "bm25_rank", "id", "score").collect()))
+    streamed = sorted(map(tuple, inverted.search_streamed(index, words, asked, 10, **sizes).select("query_id", "bm25_rank", "id", "score").collect()))
+    assert len(plain) > 150 and streamed == plain
+    assert inverted.search_streamed(index, words, asked.limit(0), 10).count() == 0
+
+
+def test_long_questions_shuffle_no_pairs(spark):
+    """Whole texts as questions: what leaves a task are the best rows of each, not a row for each pair with a common term."""
+    _, words = corpus(spark)
+    index = inverted.build_postings(words, folders.new_folder(spark, "postings"))
+    asked = words.where("id % 5 = 0").select(F.col("id").alias("query_id"), "words")
+    found = inverted.search_each(index, words, asked, 10, most_terms=50)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "postings:array" not in plan
+    assert inverted.search_each(index, words, asked.limit(1), 10, most_terms=10**6)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 0
+
+
+def test_few_terms_meet_blocks_where_these_lie(spark):
+    """Blocks hold documents that lie together, as no words are dealt to build them; a search doesn't shuffle them to its terms either."""
+    rows = [(i, ["w0", f"w{i % 7}"]) for i in range(100)]
+    index = inverted.build_postings(spark.createDataFrame(rows, "id long, words array<string>").coalesce(1), folders.new_folder(spark, "postings"), range_docs=10)
+    held = index.blocks(spark).where("term = 'w0'").select(F.transform("postings", lambda p: p["id"]).alias("ids")).collect()
+    assert index.words == 200 and sorted(r.ids for r in held) == [list(range(i, i + 10)) for i in range(0, 100, 10)]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = inverted.search(index, spark.createDataFrame([(1, ["w3", "w5"])], "query_id long, words array<string>"), 10)
+        plan = inverted.bounds(index, inverted._few(inverted.question_terms(index, spark.createDataFrame([(1, ["w3"])], "query_id long, words array<string>")), 10))._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 10 and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
