@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from ..folders import new_folder, written
 from ..functions.text import strip, tokens, with_prefix, without_stopwords
 from . import dense, fusion, inverted, lexical, prompt, vector_index
 
@@ -89,7 +90,7 @@ def retrieve(chunks: DataFrame, question: str, vector: DataFrame, *, top_k: int
 
 @dataclass
 class Collection:
-    """A collection with its indexes: chunks (chunk_id, doc_id, text, page_number), postings, and vectors that are either indexed or rows of (id, embedding)."""
+    """A stored collection with its indexes: chunks (chunk_id, doc_id, text, page_number), postings, and vectors that are either indexed or rows of (id, embedding)."""
 
     chunks: DataFrame
     postings: inverted.Postings
@@ -98,7 +99,11 @@ class Collection:
 
     @classmethod
     def build(cls, chunks: DataFrame, path: str, *, indexed: bool = False) -> Collection:
-        """Writes a collection's postings, and with ``indexed`` a vector index, at ``path``."""
+        """Writes a collection's chunks and postings, and with ``indexed`` a vector index, at ``path``.
+
+        What ``chunks`` is made of is so read once, not by everything that needs texts or vectors.
+        """
+        chunks = written(chunks, f"{path}/chunks")
         postings = inverted.build_postings(lexical.tokenised(chunks, "chunk_id"), f"{path}/postings")
         vectors = chunks.select(F.col("chunk_id").alias("id"), "embedding")
         held = vector_index.build_index(vectors, f"{path}/vectors", id_column="id") if indexed else vectors
@@ -114,21 +119,21 @@ class Retrievals:
 
 
 def retrieve_each(held: Collection, questions: DataFrame, *, top_k: int = 4, least: float = 0.8, probes: int = 8) -> Retrievals:
-    """A whole retrieval for each question (query_id, question, embedding), all in one job.
+    """A whole retrieval for each question (query_id, question, embedding), all at once.
 
-    Terms of all questions meet the stored postings, vectors meet questions in blocks; what is fused are two short lists a question.
-    Blank questions are left out; they have no row in the gate either.
+    Terms of few questions meet the stored postings, those of many stand in blocks that the chunks' words stream past, as vectors do; what is fused
+    are two short lists a question. The ``top_k`` ids of each are written to the shared folder, as answers and the gate both read them. Blank questions are left out; they have no row in the gate either.
     """
     asked = questions.where(F.length(strip(F.col("question"))) > 0)
     depth = dense.candidate_depth(top_k, held.total)
     words = asked.select("query_id", without_stopwords(tokens(F.col("question"))).alias("words"))
-    found = inverted.search(held.postings, words, depth)
+    found = inverted.search_each(held.postings, lexical.tokenised(held.chunks, "chunk_id"), words, depth)
     vectors = asked.select("query_id", F.col("query_id").alias("id"), "embedding")
     if isinstance(held.vectors, vector_index.VectorIndex):
         near = vector_index.search_index(held.vectors, vectors, depth, id_column="id", probes=probes)
     else:
         near = dense.nearest_each(held.vectors, vectors, depth, id_column="id")
-    best = fusion.fuse_each(near, found, top_k)
+    best = written(fusion.fuse_each(near, found, top_k), new_folder(questions.sparkSession, "retrieved"))
     top = held.chunks.select("chunk_id", "doc_id", "text", "page_number").join(best, F.col("chunk_id") == F.col("id")).select("query_id", "place", *TOP.split(", "))
     return Retrievals(asked.select("query_id", strip(F.col("question")).alias("question")), top, fusion.gate_each(best, asked, least), depth)
 

@@ -223,7 +223,8 @@ def _retrieved_each(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("doc_id"), "text", F.lit(1).alias("page_number"))
     chunks = docs.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id")
     held = retrieve.Collection.build(chunks, folders.new_folder(spark, "collection"))
-    questions = chunks.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("text").alias("question"), "embedding")
+    asked = held.chunks.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("text").alias("question"))
+    questions = asked.join(held.vectors.select(F.col("id").alias("query_id"), "embedding"), "query_id")
     return retrieve.retrieve_each(held, questions, top_k=5)
 
 
