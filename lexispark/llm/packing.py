@@ -32,6 +32,8 @@ from .shared import documents, materialize
 from .token_files import STRETCH, default_tokenizer, encoder_of
 
 CAPACITY = 4096
+#: Words in the younger half of the encoder's cache: nothing else here takes much memory.
+KEPT_WORDS = 500_000
 #: Bits of a sequence_id below the number of the task that made it.
 TASK_BITS = 33
 
@@ -176,7 +178,7 @@ def pack_documents(df: DataFrame, tokenizer: str, *, end_id: int = 2, capacity:
 
         packer, nth, done = SumOfSquares(capacity, most_open), TaskContext.get().partitionId() << TASK_BITS, []
         for rows, texts in blocks(batches, STRETCH):
-            encoder = encoder_of(tokenizer)
+            encoder = encoder_of(tokenizer, KEPT_WORDS)
             end = np.array([end_id], encoder.dtype).tobytes()
             for doc_id, ids in zip(rows.column(0).to_pylist(), encoder.encode_all(texts), strict=True):
                 done += packer.add(doc_id, np.frombuffer(ids + end, encoder.dtype))

@@ -1,3 +1,4 @@
+import gc
 import zlib
 
 import numpy as np
@@ -67,3 +68,15 @@ def test_round_trip_and_cases(spark):
     shard = shards[0]
     assert [shard.ids(i).tolist()[-1] for i in range(len(shard))] == [1] * len(shard)
     assert tf.read_token_shards(spark, tf.write_token_shards(df.limit(0), folder + "e", tf.default_tokenizer())).count() == 0
+
+
+def test_caches_of_any_size_give_the_same_ids():
+    """Also where words move between the halves all the time; cycles are looked for again behind a group."""
+    path = tf.default_tokenizer()
+    texts = [" ".join(f"wo{i % 50}rd, Ab{i}. anou{i % 7}" for i in range(n)) for n in (0, 1, 300, 2000)] * 3
+    small, large = tf.encoder_of(path, 10), tf.encoder_of(path, 10**6)
+    assert small is not large and tf.encoder_of(path, 10) is small
+    assert small.encode_all(texts) == large.encode_all(texts) == [large.encode(t) for t in texts]
+    for text in texts:
+        assert small.encode(text) == np.array(small.tokenizer.encode(text, add_special_tokens=False).ids, small.dtype).tobytes()
+    assert gc.isenabled()
